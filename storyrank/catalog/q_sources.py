@@ -177,7 +177,7 @@ select event_id, cast(event_id as varchar) as oid,
   case when event_id % 5 <> 0 then t end as title, case when event_id % 11 <> 0 then 'Story ' || t end as story_title,
   case when event_id % 4 <> 0 then 'https://h.example.com/' || cast(event_id as varchar) end as url,
   cast(floor(epoch(ts)) as bigint) as sec, cast(floor(value) as bigint) as points, user_id,
-  event_type = 'purchase' as show
+  event_type = 'purchase' as is_show
 from events"""
 _HIT_ITEMS = f"""
 with h as ({_HITS}), i as (
