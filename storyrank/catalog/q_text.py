@@ -162,10 +162,10 @@ def sq_clip(c: str, n: int) -> str:
         return (f"case when contains(cut, '{sep}') then length(regexp_extract(cut, '(?s)^(.*){w}', 1)) else -1 end")
     return f"""(select case when length(t) <= {n} then t
       when sent > {n / 2} then {sq_strip('left(cut, sent + 1)')}
-      when semi > {n / 2} then {sq_strip('left(cut, semi)')} || '…'
+      when sm > {n / 2} then {sq_strip('left(cut, sm)')} || '…'
       when comma > {n / 2} then {sq_strip('left(cut, comma)')} || '…'
       else regexp_replace(case when sp > 0 then left(cut, sp) else cut end, '{WS}+$', '') || '…' end
-    from (select t, cut, {idx('. ', '[.] ')} as sent, {idx('; ', '; ')} as semi, {idx(', ', ', ')} as comma, {idx(' ', ' ')} as sp
+    from (select t, cut, {idx('. ', '[.] ')} as sent, {idx('; ', '; ')} as sm, {idx(', ', ', ')} as comma, {idx(' ', ' ')} as sp
       from (select t, left(t, {n}) as cut from (select {sq_strip(c)} as t))))"""
 
 

@@ -40,4 +40,7 @@ def with_views(body: str, *names: str, recursive: bool = False, **extra: str) ->
     if not parts:
         return body
     head = "WITH RECURSIVE " if recursive else "WITH "
+    body = body.lstrip()
+    if body[:5].lower() == "with ":
+        return head + ",\n".join(parts) + ",\n" + body[5:]
     return head + ",\n".join(parts) + "\n" + body

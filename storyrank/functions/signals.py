@@ -93,7 +93,8 @@ def saturate(value, k: float) -> Column:
 
 
 def unit_clamp(col) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(col).cast("double")))
+    value = F.coalesce(_c(col).cast("double"), F.lit(0.0))  # least() would skip a NULL
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
 def clamp01(value, fallback) -> Column:
@@ -141,7 +142,7 @@ def rubric_score(col) -> Column:
     """One criterion forced into the rubric's range; unusable values take the minimum."""
     value = _c(col).cast("string").try_cast("double")
     low, high = F.lit(K.RUBRIC_MIN), F.lit(K.RUBRIC_MAX)
-    return F.coalesce(F.greatest(low, F.least(high, value)), low)
+    return F.when(value.isNull(), low).otherwise(F.greatest(low, F.least(high, value)))
 
 
 def weighted_total(scores: dict) -> Column:
