@@ -267,3 +267,22 @@ select doc_id, concat('item-', cast(doc_id as varchar)) as id,
   text as raw_text
 from documents"""),
 }
+
+
+def doc_stories(spark, d) -> DataFrame:
+    """Documents as scored stories of the days they fall on; days are quiet, notable or
+    breakthrough days in turn."""
+    n = F.col("doc_id")
+    day = F.to_date(F.timestamp_micros(F.unix_micros(F.lit(AS_OF).cast("timestamp")) - n * 360_000_000))
+    return titled(spark, d).select(
+        day.alias("day"), "doc_id", "id", "title", "family", "mention_count", "raw_text",
+        F.round((n * 31 % 100) / 100.0 * (1 + F.dayofmonth(day) % 3) / 5.0, 6).alias("importance"),
+        F.round((n * 37 % 101) / 130.0, 6).alias("final_rank"),
+    )
+
+
+CTES["doc_stories"] = (("titled",), """
+select cast(timestamp '2024-01-31 00:00:00' - doc_id * interval '6' minute as date) as day, doc_id, id, title, family, mention_count, raw_text,
+  round((doc_id * 31 % 100) / 100.0 * (1 + extract(day from cast(timestamp '2024-01-31 00:00:00' - doc_id * interval '6' minute as date)) % 3) / 5.0, 6)::double as importance,
+  round((doc_id * 37 % 101) / 130.0, 6)::double as final_rank
+from titled""")
