@@ -1 +1,212 @@
+"""Whole runs over the fixture tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from storyrank import fixtures as fx
+from storyrank.catalog.q_aggregates import tier_sql
+from storyrank.catalog.q_joins import BOOST_SQL
+from storyrank.catalog.q_render import weekly_digests, written_digests
+from storyrank.catalog.q_signals import IMPORTANCE_SQL, FAMILY_WEIGHT_SQL
+from storyrank.catalog.q_sources import land_golden, land_hits, land_papers
+from storyrank.catalog.q_text import ANNOUNCE_SQL
+from storyrank.catalog.q_windows import talks
+from storyrank.catalog.registry import query, with_views
+from storyrank.operators import feedback as fb
+from storyrank.operators import filters as fl
+from storyrank.operators import ranking as rk
+from storyrank.operators.inference import EchoModel, HashEmbedder
+from storyrank.params import Profile
+from storyrank.plans import assemble as asm
+from storyrank.plans import jobs
+from storyrank.session import scratch
+from storyrank.sources import landing
+
+INTEREST = [1.0] + [0.0] * 63
+FIXTURE_PROFILE = Profile(cluster_threshold=fx.CLUSTER_AT)
+
+
+def runs(spark, d):
+    """A run at the end of each day on which the items were published."""
+    day = F.to_date("published_at")
+    days = fx.items(spark, d).select(day.alias("run_day")).distinct()
+    return days.withColumn("as_of", F.date_add("run_day", 1).cast("timestamp"))
+
+
+_FLAG_SQL = f"""
+pool as (select *, row_number() over (partition by source order by published_at desc, id) as r from item_signals
+  where source <> 'smol.ai' and not coalesce(regexp_matches(url, '(?i)latent\\.space/p/ainews-'), false)
+  and published_at >= timestamp '2024-01-31 00:00:00' - case when family = 'academia' then interval '96' hour else interval '36' hour end),
+mem as (select *, 'story-' || cast(item_no % 100 as varchar) as sid, cast(published_at as date) as day,
+  2.0 * engagement + authority + 0.5 * citation as score from pool where r <= 20),
+stories as (select day, sid as id, arg_max(title, (score, -item_no)) as title, arg_max(family, (score, -item_no)) as family, count(*) as mention_count,
+  max(engagement) as engagement, max(citation) as citation, max(published_at) as created_at from mem group by 1, 2),
+{BOOST_SQL.strip()},
+sc as (select day, id, title, family, round({IMPORTANCE_SQL}, 6)::double as importance,
+  round(0.5 * {IMPORTANCE_SQL} + 0.1 * least(1.0, case when family = 'academia' then 1.0 else 0.0 end + 0.5 * {FAMILY_WEIGHT_SQL})
+    + coalesce(boost, 0.0) - case when contains(lower(title), 'crypto') or contains(lower(title), 'ai doomerism drama') or contains(lower(title), 'low-effort agent-framework hype') then 0.5 else 0.0 end, 6)::double as final_rank
+  from stories left join boosts on target_id = id),
+tops as (select day, max(importance) as top_importance, max(final_rank) as top_rank, max(importance) < 0.32 as quiet from sc group by 1),
+tg as (select s.*, quiet, top_importance, {tier_sql()} as tier from sc s join tops using (day)),
+leads as (select *, case when tier = 'breakthrough' then 1.0 else 0.0 end + {ANNOUNCE_SQL} as news from tg
+  where tier = 'breakthrough' or (tier = 'notable' and family <> 'academia')),
+rk as (select day, id, tier, importance, final_rank, row_number() over (partition by day order by news desc, importance desc, id) as pos from leads),
+pr as (select day, id, 'notable' as tier, importance, final_rank, 1 as pos from (
+  select *, row_number() over (partition by day order by importance desc, {ANNOUNCE_SQL} desc, id) as r from tg
+  where top_importance >= 0.32 and day not in (select day from leads)) where r = 1)"""
+
+
+@query("FLAGSHIP", with_views(f"""
+with {_FLAG_SQL.strip()}
+select * from rk where pos <= 6 union all select * from pr""", "item_signals", "feedback"))
+def flagship(spark, d):
+    """Window, pool, signals, stories, boosts, scores, day tiers, top stories."""
+    pool = asm.balanced_pool(fl.in_window(fx.items(spark, d), fx.AS_OF))
+    rows = pool.withColumn("as_of", F.lit(fx.AS_OF).cast("timestamp"))
+    rows = jobs.signalled(rows).withColumn(
+        "sid", F.concat(F.lit("story-"), (F.col("item_no") % 100).cast("string")))
+    best = F.struct("score", -F.col("item_no"))
+    stories = rows.groupBy(F.to_date("published_at").alias("day"), F.col("sid").alias("id")).agg(
+        F.max_by("title", best).alias("title"), F.max_by("family", best).alias("family"),
+        F.count("*").alias("mention_count"), F.max("engagement").alias("engagement"),
+        F.max("citation").alias("citation"), F.max("published_at").alias("created_at"))
+    boosts = fb.feedback_boosts(fx.feedback(spark, d), fx.AS_OF)
+    scored = rk.score_stories(stories, Profile(), fx.AS_OF, boosts=boosts)
+    return asm.top_stories(rk.classify_stories(scored)).select(
+        "day", "id", "tier", "importance", "final_rank", "pos")
+
+
+@query("PIP-01", """
+with h as (select distinct sha256(lower(case when event_id % 4 <> 0 then 'https://h.example.com/' || cast(event_id as varchar)
+     else 'https://news.ycombinator.com/item?id=' || cast(event_id as varchar) end)) as id, 'hn' as source from events
+  where event_id % 5 <> 0 or event_id % 11 <> 0),
+p as (select sha256('https://huggingface.co/papers/2401.' || lpad(cast(doc_id as varchar), 5, '0')) as id, 'hf_papers' as source from documents
+  where doc_id % 9 <> 0 and doc_id % 4 <> 0)
+select source, count(*) as n from (select * from h union all select * from p) group by 1
+union all select 'hf_papers-text', count(*) from (select distinct doc_id from documents where doc_id % 9 <> 0 and doc_id % 4 = 0)""")
+def pip_01(spark, d):
+    hits = landing.read_hn(spark, land_hits(spark, d))
+    papers = landing.read_hf_papers(spark, land_papers(spark, d))
+    target = hits.filter(F.col("published_at") < F.lit("2024-01-10").cast("timestamp")).select(
+        *landing.ITEM_COLUMNS, F.lit(None).cast("array<float>").alias("embedding"))
+    table = jobs.ingest([hits, papers, hits], target)
+    kind = F.when((F.col("source") == "hf_papers") & F.col("url").isNull(), "hf_papers-text").otherwise(F.col("source"))
+    return table.groupBy(kind.alias("source")).agg(F.count("*").alias("n"))
+
+
+def processed(spark, d):
+    return jobs.process(fx.items(spark, d), fx.feedback(spark, d), runs(spark, d), FIXTURE_PROFILE, INTEREST)
+
+
+@query("PIP-02")
+def pip_02(spark, d):
+    stories, _ = processed(spark, d)
+    return stories.select("run_day", "id", "family", "mention_count", "importance", "personal", "final_rank")
+
+
+@query("PIP-03")
+def pip_03(spark, d):
+    stories, _ = processed(spark, d)
+    out = jobs.daily(stories, runs(spark, d))
+    return out.select("id", "overall_tier", "quiet_day", "tldr", F.size("sections").alias("n_sections"),
+                      F.size("story_ids").alias("n_stories"))
+
+
+@query("PIP-04")
+def pip_04(spark, d):
+    stories, members, items = talks(spark, d)
+    rows = stories.withColumn("importance", F.col("final_rank"))
+    model = EchoModel({"title": "string", "lede": "string", "body_markdown": "string"})
+    judge = EchoModel({"insight": "number", "accuracy": "number", "narrative": "number",
+                       "personal_fit": "number", "honesty": "number"})
+    out = jobs.weekly(rows, members, items, Profile(), model, judge)
+    return out.select("id", "week_of", "title", "overall_tier", "quiet_week", "winning_candidate")
+
+
+@query("PIP-05")
+def pip_05(spark, d):
+    from storyrank.catalog.q_joins import vector_stories
+
+    base = spark.range(1).select(F.lit(INTEREST).cast("array<double>").alias("vector"))
+    state = fx.table(spark, d, "events").select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"),
+        F.col("ts").alias("updated_at"))
+    digests = written_digests(spark, d).withColumn("created_at", F.col("date"))
+    log = fx.table(spark, d, "labels").select(
+        F.concat(F.lit("digest-"), F.col("doc_id").cast("string")).alias("digest_id"),
+        F.lit("{}").alias("scores"), F.lit("earlier").alias("notes"))
+    table, evals = jobs.nightly(
+        fx.feedback(spark, d), vector_stories(spark, d), base, state, digests, log, fx.AS_OF, 64,
+        {"insight": F.lit(4.0), "accuracy": F.lit(5.0), "honesty": F.length("md") % 5})
+    return table.select("key", F.length("value").alias("size")).union(evals.select("digest_id", F.length("scores")))
+
+
+@query("PIP-06")
+def pip_06(spark, d):
+    out = jobs.replay(fx.items(spark, d), runs(spark, d), FIXTURE_PROFILE, INTEREST)
+    return out.select("id", "overall_tier", "quiet_day", F.size("story_ids").alias("n_stories"))
+
+
+@query("PIP-07")
+def pip_07(spark, d):
+    sets = landing.load_golden(spark, land_golden(spark, d))
+    out = jobs.golden_eval(sets, Profile(), fx.AS_OF, HashEmbedder(64), {"insight": F.lit(4.0), "accuracy": F.lit(4.0)}, 3.0)
+    return out.withColumn("failures", F.array_join("failures", "; "))
+
+
+@query("PIP-08", with_views("""
+with s as (select *, id as title from day_stories),
+tops as (select day, max(importance) as top_importance, max(final_rank) as top_rank, max(importance) < 0.32 as quiet from s group by 1),
+tg as (select s.*, quiet, top_importance, """ + tier_sql() + """ as tier from s join tops using (day) where day = (select max(day) from s)),
+leads as (select * from tg where tier = 'breakthrough' or (tier = 'notable' and family <> 'academia')),
+rk as (select id, row_number() over (order by case when tier = 'breakthrough' then 1 else 0 end desc, importance desc, id) as pos from leads),
+pr as (select id from (select id, row_number() over (order by importance desc, id) as r from tg where top_importance >= 0.32
+   and not exists (select 1 from leads)) where r = 1),
+top as (select id from rk where pos <= 6 union all select id from pr),
+br as (select id, row_number() over (partition by family order by final_rank desc, id) as pos from tg where id not in (select id from top)),
+done as (select id from top union all select id from br where pos <= 6),
+best as (select id, row_number() over (order by final_rank desc, id) as pos from tg),
+c as (select round(avg(case when id in (select id from done) then 1.0 else 0.0 end), 3)::double as coverage, count(*) as top_k,
+  coalesce(string_agg(case when id not in (select id from done) then id end, '|' order by pos), '') as uncovered from best where pos <= 10)
+select 'daily-' || cast((select max(day) from s) as varchar) as digest_id, coverage, top_k, uncovered,
+  case when (select bool_or(quiet) from tg) or coverage >= 0.7 then 'recall ok'
+    else 'top-' || cast(top_k as varchar) || ' coverage ' || cast(coverage as varchar) || ' < floor 0.7' end as notes from c""", "day_stories"))
+def pip_08(spark, d):
+    stories = fx.day_stories(spark, d).withColumn("title", F.col("id"))
+    days = stories.select(F.col("day").alias("run_day")).distinct()
+    digests = jobs.daily(stories, days).withColumn("created_at", F.col("date"))
+    return jobs.recall_eval(digests, stories)
+
+
+def _tuning_sql():
+    from storyrank.constants import TIER_CANDIDATES
+
+    parts = []
+    for col in ("importance", "final_rank"):
+        parts.append(f"""select 'quantile' as part, '{col}' as name, m as metric, v as value from (
+          select {col} as v, row_number() over (order by {col}) - 1 as i, count(*) over () as n from day_stories) s
+          join (values (0.5, 'p50'), (0.75, 'p75'), (0.9, 'p90'), (1.0, 'max')) q(q, m) on i = cast(round_even(q * (n - 1), 0) as bigint)""")
+    parts.append("select 'top', id, 'final_rank', final_rank from (select * from day_stories order by final_rank desc, id limit 20)")
+    for name, over in TIER_CANDIDATES.items():
+        gate = over.get("quiet_day_min_importance", 0.32)
+        parts.append(f"""select 'sweep', '{name}', m, v::double from (
+          select count(*) filter (where tier = 'quiet_day') as quiet_day, count(*) filter (where tier = 'minor') as minor,
+            count(*) filter (where tier = 'notable') as notable, count(*) filter (where tier = 'breakthrough') as breakthrough,
+            max(case when quiet then 1 else 0 end)::bigint as quiet
+          from (select *, {tier_sql(over)} as tier from (select *, max(final_rank) over () as top_rank, max(importance) over () < {gate} as quiet from day_stories)))
+          unpivot (v for m in (quiet_day, minor, notable, breakthrough, quiet))""")
+    return "\nunion all ".join(parts)
+
+
+@query("PIP-09", with_views(_tuning_sql(), "day_stories"))
+def pip_09(spark, d):
+    return jobs.tuning_report(fx.day_stories(spark, d))
+
+
+@query("PIP-10")
+def pip_10(spark, d):
+    out = jobs.wiki_export(written_digests(spark, d), weekly_digests(spark, d), scratch(spark, "wiki"))
+    return out.select("path", F.md5("content").alias("content_md5"))
+
 

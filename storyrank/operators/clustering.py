@@ -14,7 +14,7 @@ from storyrank.functions.vectors import centroid
 from storyrank.operators.components import connected_components
 from storyrank.operators.grouping import exact_rank
 from storyrank.operators.similarity import BLOCK_ROWS, link_edges, similar_pairs
-from storyrank.session import ensure_checkpoint_dir
+from storyrank.session import ensure_checkpoint_dir, stage
 
 MAX_COMPONENT = 3000
 
@@ -165,9 +165,8 @@ def cluster_stories(
     the whole cluster. ``within`` (the day) keeps windows from meeting.
     """
     within = within or []
-    ensure_checkpoint_dir(items.sparkSession)
-    nodes, owner = link_nodes(link_profile(items, within), within)
-    edges = allowed_edges(nodes, threshold, within, block_rows).checkpoint()
+    nodes, owner = link_nodes(stage(link_profile(items, within)), within)
+    edges = stage(allowed_edges(stage(nodes), threshold, within, block_rows))
     found = connected_components(edges)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     placed = edges.join(found.select(F.col("id").alias("id_a"), "component"), "id_a").join(sizes, "component")
@@ -267,10 +266,10 @@ def fold_leads(
     # Equal vectors outside the breakthroughs share their fate with the best-ranked copy.
     sig = F.when(F.col("solo") | F.col("embedding").isNull(), F.col("id").cast("string")).otherwise(
         F.sha2(F.to_json(F.struct(*keys, "embedding")), 256))
-    marked = rows.withColumn("sig", sig)
+    marked = stage(rows.withColumn("sig", sig))
     heads = marked.groupBy(*keys, "sig").agg(F.min_by("id", order).alias("head"), F.min(order).alias("head_pos"))
     nodes = marked.join(heads.select(*keys, F.col("head").alias("id"), F.col("head_pos")), [*keys, "id"])
-    ident = nodes.withColumn("node", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys], F.col("id").cast("string")))
+    ident = stage(nodes).withColumn("node", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys], F.col("id").cast("string")))
     pairs = similar_pairs(ident, threshold, ident="node", within=keys, solo="solo", collapse=False)
     at = ident.select("node", F.col(order).alias("at"))
     placed = pairs.join(at.withColumnRenamed("node", "id_a").withColumnRenamed("at", "at_a"), "id_a").join(

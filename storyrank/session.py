@@ -54,3 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable; a folder already set is left alone."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
+
+
+def stage(df):
+    """A stage boundary: the rows are kept in the shared checkpoint folder, so that what
+    follows neither plans nor computes the steps before it again, on any executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
