@@ -1 +1,128 @@
+"""Streams worked off to the end; each equals its batch twin."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from storyrank import fixtures as fx
+from storyrank.catalog.q_joins import BOOST_SQL
+from storyrank.catalog.registry import query, with_views
+from storyrank.session import scratch
+from storyrank.streaming import jobs as st
+
+DELAY = "4 days"  # longer than one landed time range
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def land_events(spark, d) -> str:
+    """Events landed in ten arrivals, one time range after the other."""
+    path = scratch(spark, "stream-events")
+    ev = fx.table(spark, d, "events")
+    ends = ev.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (ends["b"] - ends["a"]) / 10
+    for i in range(10):
+        lo, hi = ends["a"] + i * step, ends["a"] + (i + 1) * step
+        part = ev.filter(F.col("ts") >= lo) if i else ev
+        part = part.filter(F.col("ts") < hi) if i < 9 else part
+        part.write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark, d):
+    path = land_events(spark, d)
+    landed = spark.read.parquet(path)
+    per_trigger = max(1, math.ceil(len(landed.inputFiles()) / 10))
+    return spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def signals_of(ev):
+    kind = F.col("event_type")
+    return ev.select(
+        "user_id", "ts", "value",
+        F.concat(F.lit("story-"), F.get_json_object("props", "$.k")).alias("target_id"),
+        F.when(kind == "purchase", "up").when(kind == "error", "down").when(kind == "click", "click")
+        .when(kind == "view", "dwell").otherwise("nl_instruction").alias("signal"),
+        F.col("ts").alias("created_at"))
+
+
+@query("STR-01", """
+select distinct 'e' || cast(event_id as varchar) as id, event_type as source from events""")
+def str_01(spark, d):
+    """Every event arrives, and arrives again as a copy in the same file."""
+    ev = event_stream(spark, d)
+    twice = ev.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "*")
+    items = twice.select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("source"),
+        F.col("ts").alias("published_at"))
+    log = scratch(spark, "stream-items")
+    st.stream_ingest(items, log, scratch(spark, "ckpt"))
+    return st.ingested(spark, log).select("id", "source")
+
+
+_ARRIVAL = """select event_id, case user_id % 4 when 0 then 'academia' when 1 then 'industry' when 2 then 'community' else 'meta' end as family,
+  case when event_id % 50 = 0 then 48 else 0 end as delay from events"""
+
+
+@query("STR-02", f"""
+select event_id, not (delay = 48 and family <> 'academia') as on_time from ({_ARRIVAL})""")
+def str_02(spark, d):
+    """Every fiftieth row arrives two days after it was published."""
+    rows = event_stream(spark, d).select(
+        "event_id", fx.family_of(F.col("user_id") % 4).alias("family"), F.col("ts").alias("published_at"),
+        F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("interval 48 hours")).otherwise(F.col("ts")).alias("fetched_at"))
+    kept, late = scratch(spark, "stream-kept"), scratch(spark, "stream-late")
+    st.stream_window_gate(rows, kept, late, scratch(spark, "ckpt"))
+    return st.read_log(spark, kept).select("event_id", F.lit(True).alias("on_time")).union(
+        st.read_log(spark, late).select("event_id", F.lit(False)))
+
+
+@query("STR-03", with_views(f"with {BOOST_SQL.strip()} select target_id, round(boost, 6)::double as boost from boosts", "feedback"))
+def str_03(spark, d):
+    log = scratch(spark, "stream-boosts")
+    epoch = "2024-01-20 00:00:00"
+    st.stream_boosts(signals_of(event_stream(spark, d)), log, scratch(spark, "ckpt"), epoch)
+    return st.boosts_at(spark, log, epoch, fx.AS_OF).select("target_id", F.round("boost", 6).alias("boost"))
+
+
+@query("STR-04", """
+with w as (select event_type, value, time_bucket(interval '3' hour, ts) - i * interval '3' hour as start
+  from events, range(0, 12) t(i)),
+g as (select event_type, start, start + interval '36' hour as "end", count(*) as n, round(sum(value), 4) as total from w group by 1, 2)
+select * from g where "end" <= (select max(ts) from events) - interval '4' day""")
+def str_04(spark, d):
+    log = scratch(spark, "stream-windows")
+    st.run_available(st.running_engagement(event_stream(spark, d), "event_type", delay=DELAY), scratch(spark, "ckpt"), st.log_batches(log))
+    return st.read_log(spark, log).select("event_type", "start", "end", "n", F.round("total", 4).alias("total"))
+
+
+@query("STR-05")
+def str_05(spark, d):
+    """The throttle with three hits an hour per kind of event, as keyed state."""
+    hits = event_stream(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("who"), "ts")
+    log = scratch(spark, "stream-throttle")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        st.run_available(st.stream_throttle(hits, 3, 3600), scratch(spark, "ckpt"), st.log_batches(log))
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+    return st.read_log(spark, log).select("id", "who", "admitted")
+
+
+@query("STR-06", """
+with a as (select user_id, ts, case when event_type = 'view' then least(value, 120.0) else 0.0 end as secs,
+   case when ts - lag(ts) over (partition by user_id order by ts) < interval '30' minute then 0 else 1 end as fresh
+   from events where event_type in ('click', 'view')),
+s as (select *, sum(fresh) over (partition by user_id order by ts) as no from a),
+g as (select user_id, min(ts) as start, max(ts) + interval '30' minute as "end", count(*) as n, round(sum(secs), 4)::double as dwell from s group by user_id, no)
+select * from g where "end" <= (select max(ts) from events where event_type in ('click', 'view')) - interval '4' day""")
+def str_06(spark, d):
+    log = scratch(spark, "stream-sessions")
+    st.run_available(st.reading_sessions(signals_of(event_stream(spark, d)), delay=DELAY), scratch(spark, "ckpt"), st.log_batches(log))
+    return st.read_log(spark, log).select("user_id", "start", "end", "n", F.round("dwell", 4).alias("dwell"))
