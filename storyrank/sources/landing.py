@@ -215,6 +215,7 @@ def feed_entries(spark: SparkSession, path: str) -> DataFrame:
                    F.lit("")).alias("markup"),
         F.coalesce(_present("author"), _present("`dc:creator`")).alias("author"),
         F.array().cast("array<string>").alias("categories"),
+        F.col("_metadata.file_path").alias("file"),
     )
     atom = xml.option("rowTag", "entry").schema(ATOM_SCHEMA).load(path).select(
         "title",
@@ -229,6 +230,7 @@ def feed_entries(spark: SparkSession, path: str) -> DataFrame:
         F.try_element_at("author", F.lit(1))["name"].alias("author"),
         F.filter(F.coalesce("category._term", F.array().cast("array<string>")),
                  lambda t: t.isNotNull() & (t != "")).alias("categories"),
+        F.col("_metadata.file_path").alias("file"),
     )
     return rss.unionByName(atom)
 
@@ -303,7 +305,7 @@ def catalogue_entries(spark: SparkSession, path: str, feeds: DataFrame, since) -
     """All feeds at once: files land below ``<path>/<slug>/`` and meet their catalogue
     row through the folder name."""
     entries = recent_entries(feed_entries(spark, f"{path}/*"), since)
-    slug = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    slug = F.element_at(F.split("file", "/"), -2)
     return entries.withColumn("slug", slug).join(feed_catalogue(feeds), "slug")
 
 
