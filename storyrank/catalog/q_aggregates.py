@@ -23,6 +23,7 @@ from storyrank.operators import filters as fl
 from storyrank.operators import ranking as rk
 from storyrank.operators.grouping import first_per_key
 from storyrank.params import Profile
+from storyrank.session import stage
 from storyrank.sources.landing import union_sources
 
 
@@ -94,15 +95,15 @@ select * from (values ('pair not allowed', 0::bigint), ('pair of groups left to
   ('item in several groups', 0::bigint)) t("check", violations)""")
 def agg_05(spark, d):
     items = vector_items(spark, d)
-    nodes, owner = cl.link_nodes(cl.link_profile(items, []), [])
-    edges = cl.allowed_edges(nodes, fx.CLUSTER_AT, [])
+    nodes, owner = cl.link_nodes(stage(cl.link_profile(items, [])), [])
+    edges = stage(cl.allowed_edges(stage(nodes), fx.CLUSTER_AT, []))
     groups = cl.cluster_stories(items, fx.CLUSTER_AT)
-    on_nodes = owner.join(groups, "id").select(F.col("node").alias("id"), "group").distinct()
+    on_nodes = stage(owner.join(groups, "id").select(F.col("node").alias("id"), "group").distinct())
     return cl.cluster_violations(on_nodes, edges)
 
 
 @query("AGG-06", f"""
-with {MEMBERS_SQL.strip()},
+with {MEMBERS_SQL.replace("label as grp", "vec_id // 5 as grp").strip()},
 o as (select *, row_number() over (partition by grp order by score desc, id) as pos from lm),
 s as (select grp, max(case when pos = 1 then title end) as title, max(case when pos = 1 then id end) as rep,
    string_agg(id, '|' order by pos) as ids, string_agg(id, '|' order by id) as sorted_ids, count(*) as mention_count,
@@ -110,7 +111,8 @@ s as (select grp, max(case when pos = 1 then title end) as title, max(case when
 select {sq_slug('title')} || '-' || left(sha256(sorted_ids), 8) as id, title, rep as representative_item_id, md5(ids) as ids_md5,
   mention_count, round(engagement, 6) as engagement, round(citation, 6) as citation from s""")
 def agg_06(spark, d):
-    out = cl.build_stories(label_members(spark, d), with_vectors=False)
+    members = label_members(spark, d).withColumn("group", F.floor(F.split_part("id", F.lit("-"), F.lit(2)).cast("bigint") / 5))
+    out = cl.build_stories(members, with_vectors=False)
     return out.select("id", "title", "representative_item_id", F.md5(F.array_join("item_ids", "|")).alias("ids_md5"),
                       "mention_count", r6("engagement", "engagement"), r6("citation", "citation"))
 

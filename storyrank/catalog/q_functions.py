@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyrank import fixtures as fx
 from storyrank.catalog import q_text
+from storyrank.catalog.q_text import sq_squeeze, sq_strip
 from storyrank.catalog.registry import query, with_views
 from storyrank.functions import registry as R
 from storyrank.functions import text as X
@@ -30,7 +31,8 @@ def udf_01(spark, d):
     return out.select("title", "url")
 
 
-@query("UDF-02")
+@query("UDF-02", """
+select 'item-' || cast(doc_id as varchar) as id, 64::integer as dim, 1.0::double as norm from documents""")
 def udf_02(spark, d):
     from storyrank.operators.inference import HashEmbedder, embed_missing
 
@@ -52,15 +54,15 @@ def udf_03(spark, d):
                       F.try_variant_get(obj, "$.score", "double").alias("score"))
 
 
-@query("UDF-04", with_views("""
-select i.id, sha256(coalesce(lower(url), lower(trim(title)))) is not null as has_hash, round(engagement, 6) as engagement,
+@query("UDF-04", with_views(f"""
+select i.id, sha256(coalesce(lower(nullif({sq_strip('url')}, '')), lower({sq_squeeze('title')}))) as hash, round(engagement, 6) as engagement,
   round(citation, 6) as velocity, authority, round(pow(0.5, epoch(timestamp '2024-01-31 00:00:00' - published_at) / 86400.0 / 14.0), 6) as decay
 from item_signals i""", "item_signals"))
 def udf_04(spark, d):
     R.register(spark)
     fx.items(spark, d).createOrReplaceTempView("sr_items")
     return spark.sql(f"""
-        SELECT id, sr_content_hash(url, title) IS NOT NULL AS has_hash,
+        SELECT id, sr_content_hash(url, title) AS hash,
           round(sr_engagement(metrics), 6) AS engagement,
           round(sr_citation_velocity(metrics, published_at, TIMESTAMP '{fx.AS_OF}'), 6) AS velocity,
           sr_authority(family, source) AS authority,

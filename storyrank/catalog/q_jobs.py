@@ -20,7 +20,7 @@ from storyrank.operators.inference import EchoModel, HashEmbedder
 from storyrank.params import Profile
 from storyrank.plans import assemble as asm
 from storyrank.plans import jobs
-from storyrank.session import scratch
+from storyrank.session import scratch, stage
 from storyrank.sources import landing
 
 INTEREST = [1.0] + [0.0] * 63
@@ -72,7 +72,7 @@ def flagship(spark, d):
         F.count("*").alias("mention_count"), F.max("engagement").alias("engagement"),
         F.max("citation").alias("citation"), F.max("published_at").alias("created_at"))
     boosts = fb.feedback_boosts(fx.feedback(spark, d), fx.AS_OF)
-    scored = rk.score_stories(stories, Profile(), fx.AS_OF, boosts=boosts)
+    scored = stage(rk.score_stories(stories, Profile(), fx.AS_OF, boosts=boosts))
     return asm.top_stories(rk.classify_stories(scored)).select(
         "day", "id", "tier", "importance", "final_rank", "pos")
 

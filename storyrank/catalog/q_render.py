@@ -113,7 +113,7 @@ def all_notes(spark, d):
 _NOTES_SQL = f"""
 {_DRESS_SQL.strip()},
 {_WEEKLY_SQL.strip()},
-st as (select 'stories/' || {sq_slug('title')} || '.md' as path,
+st as (select day, section, pos, 'stories/' || {sq_slug('title')} || '.md' as path,
    '---' || {_NL} || 'title: ' || ttl || {_NL} || 'type: story' || {_NL} || 'family: ' || family || {_NL} || 'tier: ' || tier || {_NL} || 'tags:'
    || {_NL} || '  - digest' || {_NL} || '  - ' || replace(tags, ',', {_NL} || '  - ') || {_NL} || '---' || {_NN} || '# ' || ttl || {_NL}
    || case when lead then {_NL} || 'Take ' || id else '' end
@@ -152,7 +152,10 @@ def rnd_03(spark, d):
     return all_notes(spark, d).select("path", F.md5("content").alias("content_md5"))
 
 
-@query("SNK-11")
+@query("SNK-11", with_views(f"""
+with {_NOTES_SQL.strip()}
+select path, md5(arg_max(content, (day, section, pos))) as content_md5 from st group by 1
+union all select path, md5(content) from dn union all select path, md5(content) from wn""", "doc_stories"))
 def snk_11(spark, d):
     """All notes written as files and read back."""
     return tb.export_notes(all_notes(spark, d), scratch(spark, "notes")).select(

@@ -64,11 +64,10 @@ select o_orderkey, round(case when coalesce(recent, 0) > 0 then round(recent / 2
 from orders left join c on l_orderkey = o_orderkey""")
 def sig_04(spark, d):
     cites = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.collect_list(F.year("l_shipdate")).alias("years"), F.count("*").alias("n"))
+        S.recent_citations(F.year("l_shipdate"), F.lit(1998)).alias("recent"), F.count("*").alias("n"))
     papers = fx.table(spark, d, "orders").join(cites, "o_orderkey", "left")
-    years = F.coalesce("years", F.array().cast("array<int>"))
     return papers.select("o_orderkey", F.round(S.paper_velocity(
-        years, F.col("n"), F.year("o_orderdate"), F.lit(1998)), 3).alias("velocity"))
+        F.col("recent"), F.col("n"), F.year("o_orderdate"), F.lit(1998)), 3).alias("velocity"))
 
 
 @query("SIG-05", f"""

@@ -52,14 +52,14 @@ def txt_02(spark, d):
 
 
 @query("TXT-03", f"""
-select label, {sq_slug("concat('Label ', cast(label as varchar))")} || '-' ||
+select vec_id // 5 as grp, {sq_slug("concat('Group ', cast(vec_id // 5 as varchar))")} || '-' ||
   left(sha256(string_agg('item-' || cast(vec_id as varchar), '|' order by 'item-' || cast(vec_id as varchar))), 8) as story_id
-from embeddings group by label""")
+from embeddings group by vec_id // 5""")
 def txt_03(spark, d):
     ids = F.collect_list(F.concat(F.lit("item-"), F.col("vec_id").cast("string"))).alias("ids")
-    groups = fx.table(spark, d, "embeddings").groupBy("label").agg(ids)
-    title = F.concat(F.lit("Label "), F.col("label").cast("string"))
-    return groups.select("label", X.story_id(title, "ids").alias("story_id"))
+    groups = fx.table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 5).alias("grp")).agg(ids)
+    title = F.concat(F.lit("Group "), F.col("grp").cast("string"))
+    return groups.select("grp", X.story_id(title, "ids").alias("story_id"))
 
 
 @query("TXT-04", """
@@ -317,7 +317,7 @@ def txt_21(spark, d):
         bad.select("event_id", none, none, F.lit(None).cast("double"), F.lit(True)))
 
 
-@query("TXT-22")
+@query("TXT-22", "select event_id, event_id % 5 <> 0 and event_id % 3 <> 0 as ok from events")
 def txt_22(spark, d):
     """Every third click carries a wrong signature, every fifth none."""
     from storyrank.sources.clicks import signature, verify_clicks

@@ -41,10 +41,15 @@ def citation_velocity(metrics, published, as_of) -> Column:
     )
 
 
-def paper_velocity(citation_years, total, pub_year, as_of_year) -> Column:
-    """Citations per year of a paper record; years after ``as_of`` count as recent."""
+def recent_citations(year, as_of_year) -> Column:
+    """Aggregate: citing works at most two years old; later years count as well."""
+    return F.count(F.when(_c(as_of_year) - _c(year) <= 2, F.lit(1)))
+
+
+def paper_velocity(recent, total, pub_year, as_of_year) -> Column:
+    """Citations per year of a paper record, from its counts of recent and of all citations."""
     now = _c(as_of_year)
-    recent = F.size(F.filter(_c(citation_years), lambda y: y.isNotNull() & (now - y <= 2)))
+    recent = F.coalesce(_c(recent), F.lit(0))
     count = F.coalesce(_c(total), F.lit(0)).cast("double")
     aged = F.round(count / F.greatest(now - _c(pub_year), F.lit(1)), 3)
     return (

@@ -30,16 +30,16 @@ def literal_array(values, kind: str = "string") -> Column:
 
 # --- whitespace -----------------------------------------------------------------
 def strip(col) -> Column:
-    return F.regexp_replace(_c(col), rf"^{K.WS}+|{K.WS}+$", "")
+    return F.btrim(_c(col), F.lit(K.WS_CHARS))
 
 
 def rstrip(col) -> Column:
-    return F.regexp_replace(_c(col), rf"{K.WS}+$", "")
+    return F.rtrim(_c(col), F.lit(K.WS_CHARS))
 
 
 def squeeze(col) -> Column:
     """Whitespace runs become one space, ends trimmed."""
-    return strip(F.regexp_replace(_c(col), f"{K.WS}+", " "))
+    return F.trim(F.regexp_replace(_c(col), f"{K.WS}+", " "))
 
 
 def non_blank(col) -> Column:
@@ -114,7 +114,7 @@ def trim_links(links, n: int) -> Column:
 # --- titles ---------------------------------------------------------------------
 def title_tokens(col) -> Column:
     words = F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit("([A-Za-z]{3,})"), F.lit(1))
-    return F.array_except(F.transform(words, F.lower), literal_array(K.TITLE_STOP_WORDS))
+    return F.array_except(F.transform(F.array_distinct(words), F.lower), literal_array(K.TITLE_STOP_WORDS))
 
 
 def token_jaccard(a, b) -> Column:

@@ -11,6 +11,7 @@ from storyrank.functions.text import _c, announce_score, is_release_title
 from storyrank.functions.vectors import cosine_bulk
 from storyrank.operators.filters import source_lengths
 from storyrank.params import Profile, tier_thresholds
+from storyrank.session import ensure_checkpoint_dir
 
 
 def personal_score(embedding, interest: Column | str) -> Column:
@@ -147,23 +148,21 @@ def tier_sweep(
 
 # --- quantiles --------------------------------------------------------------------
 def quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
-    """Nearest-rank quantiles ``(q, value)``, exact. Equal values are counted together
-    first; counts are then summed over 4096 even value ranges, and only the ranges that
-    hold a wanted rank are ranked inside."""
+    """Nearest-rank quantiles ``(q, value)``, exact. Equal values are counted together,
+    the counts are range-partitioned by value and kept by a reliable checkpoint; only the
+    ranges that hold a wanted rank are then summed up inside."""
+    ensure_checkpoint_dir(df.sparkSession)
     hist = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
         F.count("*").alias("n"))
-    ends = hist.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    width = F.when(hi > lo, (hi - lo) / 4096.0).otherwise(F.lit(1.0))
-    cells = hist.withColumn("cell", F.floor((F.col("v") - lo) / width))
-    sums = cells.groupBy("cell").agg(F.sum("n").alias("cn"))
-    order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("cn").over(order), F.lit(0)))
-    total = sums.agg(F.sum("cn")).scalar()
+    ranged = hist.repartitionByRange("v").withColumn("pid", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy("pid").agg(F.sum("n").alias("pn"))
+    order = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = sums.withColumn("start", F.coalesce(F.sum("pn").over(order), F.lit(0)))
+    total = sums.agg(F.sum("pn")).scalar()
     wanted = starts.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn(
         "rank", F.bround(F.col("q") * (total - 1)).cast("bigint")
-    ).filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("cn")))
-    inside = cells.join(wanted.select("cell", "start", "q", "rank"), "cell")
+    ).filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("pn")))
+    inside = ranged.join(wanted.select("pid", "start", "q", "rank"), "pid")
     run = Window.partitionBy("q").orderBy("v")
     found = inside.withColumn("upto", F.col("start") + F.sum("n").over(run)).filter(F.col("upto") > F.col("rank"))
     return found.groupBy("q").agg(F.min("v").alias("value"))

@@ -15,7 +15,7 @@ from storyrank.operators import filters as fl
 from storyrank.operators import ranking as rk
 from storyrank.operators.clustering import cluster_stories, fold_leads, modal_family
 from storyrank.operators.feedback import interest_vector, signal_weight
-from storyrank.operators.grouping import first_per_key, top_n
+from storyrank.operators.grouping import exact_rank, first_per_key, top_n
 from storyrank.operators.inference import Embedder, Model, embed_missing, infer
 from storyrank.operators.lookup import enrich_metrics
 from storyrank.operators.tables import append_eval, export_notes, save_state, upsert_items
@@ -61,22 +61,19 @@ def signalled(items: DataFrame) -> DataFrame:
 
 
 def run_boosts(feedback: DataFrame, runs: DataFrame, half_life_days: float = K.FEEDBACK_HALF_LIFE_DAYS) -> DataFrame:
-    """``(run_day, target_id, boost)`` over the feedback window of every run. Reactions are
-    first summed per target and hour, at that hour's weight, and only the sums are laid
-    out over the run days. The hour keeps the window's edge exact to the hour."""
+    """``(run_day, target_id, boost)`` over the feedback window of every run. A reaction is
+    laid out over the runs it counts for and summed in the same map task, so only one row
+    per run and target is shuffled."""
     rows = feedback.withColumn("__w", signal_weight()).filter(F.col("__w").isNotNull())
-    hour = F.date_trunc("hour", "created_at")
-    lead = (F.unix_micros("created_at") - F.unix_micros(hour)) / 86_400_000_000.0
-    per_hour = rows.groupBy("target_id", hour.alias("hour")).agg(
-        F.sum(F.col("__w") * F.pow(F.lit(2.0), lead / half_life_days)).alias("w"))
-    back = K.FEEDBACK_LOOKBACK_DAYS + 2
-    days = F.explode(F.sequence(F.to_date("hour"), F.date_add(F.to_date("hour"), back), F.expr("interval 1 day")))
-    laid = per_hour.select("*", days.alias("run_day")).join(runs.select("run_day", "as_of"), "run_day")
-    since = F.unix_micros("as_of") - (K.NEWS_LOOKBACK_HOURS + 24 * K.FEEDBACK_LOOKBACK_DAYS) * 3_600_000_000
-    kept = laid.filter((F.unix_micros("hour") >= since) & (F.col("hour") <= F.col("as_of")))
-    age = (F.unix_micros("as_of") - F.unix_micros("hour")) / 86_400_000_000.0
+    at = F.to_date("created_at")
+    days = F.explode(F.sequence(at, F.date_add(at, K.FEEDBACK_LOOKBACK_DAYS + 3), F.expr("interval 1 day")))
+    laid = rows.select("target_id", "created_at", "__w", days.alias("run_day")).join(
+        runs.select("run_day", "as_of"), "run_day")
+    span = (K.NEWS_LOOKBACK_HOURS + 24 * K.FEEDBACK_LOOKBACK_DAYS) * 3_600_000_000
+    kept = laid.filter(
+        (F.unix_micros("created_at") >= F.unix_micros("as_of") - F.lit(span)) & (F.col("created_at") <= F.col("as_of")))
     return kept.groupBy("run_day", "target_id").agg(
-        F.sum(F.col("w") * F.pow(F.lit(0.5), age / half_life_days)).alias("boost"))
+        F.sum(F.col("__w") * S.decay("created_at", F.col("as_of"), half_life_days)).alias("boost"))
 
 
 def stories_of_groups(members: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +117,7 @@ def process(
     scored = score_runs(boosted, profile, interest)
     kept = fl.curate_prefilter(scored)
     if keep is not None:
-        listed = top_n(kept, ["run_day"], [F.desc("final_rank"), F.asc("id")], 2_147_483_647)
+        listed = exact_rank(kept, ["run_day"], [F.desc("final_rank"), F.asc("id")])
         listed = listed.withColumn("pos", F.col("pos") - 1).withColumn("batch", F.col("run_day"))
         kept = pr.apply_keep(listed, keep).drop("batch", "pos", "ord")
     lens = fl.source_lengths(members.withColumnRenamed("group", "story_group"), "story_group")
