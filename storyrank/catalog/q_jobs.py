@@ -74,7 +74,7 @@ def flagship(spark, d):
     boosts = fb.feedback_boosts(fx.feedback(spark, d), fx.AS_OF)
     scored = stage(rk.score_stories(stories, Profile(), fx.AS_OF, boosts=boosts))
     return asm.top_stories(rk.classify_stories(scored)).select(
-        "day", "id", "tier", "importance", "final_rank", "pos")
+        "day", "id", "tier", "importance", "final_rank", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("PIP-01", """

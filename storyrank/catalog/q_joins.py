@@ -74,7 +74,7 @@ def jon_03(spark, d):
     sid = F.concat(F.lit("s"), F.col("label").cast("string"))
     members = vec.select(sid.alias("story_id"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("pos"))
     reps = members.groupBy(F.col("story_id").alias("id")).agg(F.max("item_id").alias("representative_item_id"))
-    items = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"))
+    items = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("bigint").alias("n_chars"))
     return lk.story_items(reps, members, items).select("story_id", "item_id", "n_chars", "ord")
 
 

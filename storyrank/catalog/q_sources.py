@@ -420,4 +420,4 @@ def src_20(spark, d):
     queries = vec.groupBy(F.col("label").cast("int").alias("query_id")).agg(
         F.min_by("embedding", "id").alias("embedding"))
     out = similar_items(vec, queries, k=20)
-    return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+    return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))

@@ -101,7 +101,7 @@ select doc_id, len(a) as n_tokens, round(case when len(a) = 0 or len(b) = 0 then
 def txt_06(spark, d):
     other = F.concat("source", F.lit(" "), "lang", F.lit(" alpha the and "), F.split_part("text", F.lit("\n"), F.lit(1)))
     rows = docs(spark, d).select("doc_id", X.title_tokens("text").alias("a"), X.title_tokens(other).alias("b"))
-    return rows.select("doc_id", F.size("a").alias("n_tokens"), F.round(X.token_jaccard("a", "b"), 6).alias("jaccard"))
+    return rows.select("doc_id", F.size("a").cast("bigint").alias("n_tokens"), F.round(X.token_jaccard("a", "b"), 6).alias("jaccard"))
 
 
 def sq_html(c: str, n: int) -> str:
@@ -115,7 +115,7 @@ def sq_html(c: str, n: int) -> str:
 @query("TXT-07", f"select page_id, md5({sq_html('html', 4000)}) as text_md5, length({sq_html('html', 100000000)}) as full_len from pages")
 def txt_07(spark, d):
     return pages(spark, d).select("page_id", F.md5(X.html_to_text("html")).alias("text_md5"),
-                                  F.length(X.html_to_text("html", 100000000)).alias("full_len"))
+                                  F.length(X.html_to_text("html", 100000000)).cast("bigint").alias("full_len"))
 
 
 _BLOCKS = "html"
@@ -269,7 +269,7 @@ k as (select doc_id, sents, list_filter(sents, lambda x: len(list_filter({sq_num
 select doc_id, array_to_string(kept, ' ') as text, len(sents) - len(kept) as dropped from k""", "grounding_pairs"))
 def txt_19(spark, d):
     out = fx.grounding_pairs(spark, d).select("doc_id", X.strip_ungrounded("text", "ground").alias("s"))
-    return out.select("doc_id", "s.text", "s.dropped")
+    return out.select("doc_id", "s.text", F.col("s.dropped").cast("bigint").alias("dropped"))
 
 
 @query("TXT-20", """

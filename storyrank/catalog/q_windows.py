@@ -69,7 +69,7 @@ topset as (select * from firsts union all select * from promo)"""
     day_t="select *, id as title from day_stories"))
 def win_04(spark, d):
     rows = rk.classify_stories(fx.day_stories(spark, d).withColumn("title", F.col("id")))
-    return asm.top_stories(rows).select("day", "id", "tier", "pos")
+    return asm.top_stories(rows).select("day", "id", "tier", F.col("pos").cast("bigint").alias("pos"))
 
 
 BRIEFS_SQL = f"""
@@ -86,7 +86,7 @@ def report_rows(spark, d):
 
 @query("WIN-05", with_views(f"with {BRIEFS_SQL.strip()} select day, family, id, pos from brief where pos <= 6", "doc_stories"))
 def win_05(spark, d):
-    return report_rows(spark, d)[2].select("day", "family", "id", "pos")
+    return report_rows(spark, d)[2].select("day", "family", "id", F.col("pos").cast("bigint").alias("pos"))
 
 
 def talks(spark, d):

@@ -136,6 +136,11 @@ def digests(spark, d) -> DataFrame:
     )
 
 
+def sixth(col):
+    """Rounded to six places by steps that every engine takes alike."""
+    return F.floor(col * 1e6 + 0.5) / 1e6
+
+
 def day_stories(spark, d) -> DataFrame:
     day = F.to_date("ts")
     return (
@@ -143,17 +148,17 @@ def day_stories(spark, d) -> DataFrame:
         .groupBy(day.alias("day"), "user_id")
         .agg(
             F.count("*").alias("mention_count"),
-            F.max("value").alias("mx"), F.avg("value").alias("av"), F.max("ts").alias("created_at"),
+            F.max("value").alias("mx"), F.max("ts").alias("created_at"),
+            # Whole cents add up the same in any order.
+            F.sum(F.floor(F.col("value") * 100 + 0.5)).alias("cents"),
         )
         .select(
             F.concat(F.col("day").cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("id"),
             "day",
             family_of(F.col("user_id") % 4).alias("family"),
             "mention_count",
-            F.round(
-                F.least(F.lit(1.0), F.col("mx") / 500.0 * (F.dayofmonth("day") % 5) / 2.0), 6
-            ).alias("importance"),
-            F.round(F.least(F.lit(1.0), F.col("av") / 120.0), 6).alias("final_rank"),
+            sixth(F.least(F.lit(1.0), F.col("mx") / 500.0 * (F.dayofmonth("day") % 5) / 2.0)).alias("importance"),
+            sixth(F.least(F.lit(1.0), F.col("cents") / (F.col("mention_count") * 12000.0))).alias("final_rank"),
             "created_at",
         )
     )
@@ -248,8 +253,8 @@ select concat('digest-', cast(o_orderkey as varchar)) as id,
 select concat(cast(cast(ts as date) as varchar), '-', cast(user_id as varchar)) as id, cast(ts as date) as day,
   case user_id % 4 when 0 then 'academia' when 1 then 'industry' when 2 then 'community' else 'meta' end as family,
   count(*) as mention_count,
-  round(least(1.0, max(value) / 500.0 * (extract(day from cast(ts as date)) % 5) / 2.0), 6) as importance,
-  round(least(1.0, avg(value) / 120.0), 6) as final_rank, max(ts) as created_at
+  floor(least(1.0::double, max(value) / 500.0::double * (extract(day from cast(ts as date)) % 5) / 2.0::double) * 1e6 + 0.5::double) / 1e6 as importance,
+  floor(least(1.0::double, cast(sum(cast(floor(value * 100 + 0.5::double) as bigint)) as double) / (count(*) * 12000.0::double)) * 1e6 + 0.5::double) / 1e6 as final_rank, max(ts) as created_at
 from events group by cast(ts as date), user_id"""),
     "grounding_pairs": ((), """
 select doc_id, concat('Gains of ', cast(doc_id % 12 as varchar), '% were seen. It cost $', cast(doc_id % 9 as varchar),
