@@ -361,7 +361,8 @@ def agg_24(spark, d):
     rows = fx.table(spark, d, "conversations").select(
         "conv_id", F.col("turn").alias("idx"), (F.length("text") % 7).cast("bigint").alias("insight"),
         (F.length("text") % 5).cast("bigint").alias("accuracy"))
-    given = rows.filter("conv_id % 3 = 0").select("conv_id", (F.col("conv_id") % 4).alias("winner")).distinct()
+    named = F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") % 4)  # the judge named one, or nobody
+    given = rows.select("conv_id", named.alias("winner")).distinct()
     return ev.pick_winner(rows, ["conv_id"], ["insight", "accuracy"], given)
 
 

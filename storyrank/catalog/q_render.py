@@ -260,7 +260,7 @@ def rnd_07(spark, d):
     answer = F.concat(
         F.lit('{"alpha": '), (F.col("p_size") / 40.0).cast("string"), F.lit(', "beta": "much", "gamma": -3, "add_mutes": ["'),
         F.lower("p_type"), F.lit('", " '), F.col("p_brand"), F.lit(' ", ""], "add_subfields": ["'), F.upper("p_name"), F.lit('"]}'))
-    responses = part.filter(n % 3 != 2).select(
+    responses = part.select(
         n.alias("user"), F.when(n % 3 == 0, "more please").otherwise("  ").alias("instruction"), answer.alias("response"))
     out = fb.apply_steering(profiles, responses)
     return out.select("user", "alpha", "beta", "gamma", F.array_join("mutes", "|").alias("mutes"),

@@ -21,12 +21,11 @@ def src_01(spark, d):
 
 @query("SRC-02", with_views("""
 select id, source, family from items
-where id in (select concat('item-', cast(vec_id as varchar)) from embeddings where label % 2 = 1
+where id in (select concat('item-', cast(doc_id as varchar)) from labels
              union all select concat('item-', cast(page_id as varchar)) from pages)""", "items"))
 def src_02(spark, d):
-    vec = fx.table(spark, d, "embeddings").filter("label % 2 = 1").select("vec_id")
-    ids = vec.union(fx.table(spark, d, "pages").select("page_id"))
-    ids = ids.select(F.concat(F.lit("item-"), F.col("vec_id").cast("string")).alias("id"))
+    ids = fx.table(spark, d, "labels").select("doc_id").union(fx.table(spark, d, "pages").select("page_id"))
+    ids = ids.select(F.concat(F.lit("item-"), F.col("doc_id").cast("string")).alias("id"))
     return scans.items_by_ids(fx.items(spark, d), ids).select("id", "source", "family")
 
 
@@ -54,17 +53,21 @@ def _label_stories(spark, d):
     return stories, members
 
 
+def region_stories(spark, d):
+    """Ids of the stories numbered like a region."""
+    return fx.table(spark, d, "region").select(
+        F.concat(F.lit("story-"), F.col("r_regionkey").cast("string")).alias("id"))
+
+
 @query("SRC-05", """
 with m as (select concat('story-', cast(label as varchar)) as story_id,
                   concat('item-', cast(vec_id as varchar)) as item_id, label from embeddings)
 select m.story_id, s.mention_count, m.item_id
 from (select story_id, count(*) as mention_count from m group by 1) s join m using (story_id)
-where m.label % 2 = 0""")
+where m.label in (select r_regionkey from region)""")
 def src_05(spark, d):
     stories, members = _label_stories(spark, d)
-    ids = fx.table(spark, d, "embeddings").filter("label % 2 = 0").select(
-        F.concat(F.lit("story-"), F.col("label").cast("string")).alias("id"))
-    return scans.stories_by_ids(stories, members, ids)
+    return scans.stories_by_ids(stories, members, region_stories(spark, d))
 
 
 @query("SRC-06", with_views("""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyrank import fixtures as fx
-from storyrank.catalog.q_sources import _SUPPLIER_SOURCES, _label_stories, _supplier_sources, event_state
+from storyrank.catalog.q_sources import (
+    _SUPPLIER_SOURCES, _label_stories, _supplier_sources, event_state, region_stories,
+)
 from storyrank.catalog.registry import query, with_views
 from storyrank.operators import tables as tb
 
@@ -46,17 +48,18 @@ def snk_02(spark, d):
 @query("SNK-03", """
 with m as (select concat('story-', cast(label as varchar)) as story_id, label,
                   concat('item-', cast(vec_id as varchar)) as item_id from embeddings),
-n as (select story_id, label, case when label % 2 = 0 then 'moved-' || item_id else item_id end as item_id from m)
-select distinct story_id, case when label % 2 = 0 then 'new' else 'old' end as title,
+n as (select story_id, r_regionkey is not null as hit, case when r_regionkey is not null then 'moved-' || item_id else item_id end as item_id
+  from m left join region on r_regionkey = label)
+select distinct story_id, case when hit then 'new' else 'old' end as title,
   timestamp '2024-01-01 00:00:00' as created_at, item_id from n""")
 def snk_03(spark, d):
     stories, members = _label_stories(spark, d)
     rows = stories.select(F.col("story_id").alias("id"), F.lit("old").alias("title"),
                           F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
-    even = F.element_at(F.split("story_id", "-"), -1).cast("int") % 2 == 0
-    batch = stories.filter(even).select(F.col("story_id").alias("id"), F.lit("new").alias("title"),
+    wanted = region_stories(spark, d).withColumnRenamed("id", "story_id")
+    batch = stories.join(wanted, "story_id", "left_semi").select(F.col("story_id").alias("id"), F.lit("new").alias("title"),
                                         F.lit("2024-01-30 00:00:00").cast("timestamp").alias("created_at"))
-    moved = members.filter(even).select("story_id", F.concat(F.lit("moved-"), "item_id").alias("item_id"))
+    moved = members.join(wanted, "story_id", "left_semi").select("story_id", F.concat(F.lit("moved-"), "item_id").alias("item_id"))
     out, kept = tb.upsert_stories(rows, members, batch, moved.union(moved))
     return out.withColumnRenamed("id", "story_id").join(kept, "story_id")
 

@@ -168,6 +168,13 @@ def quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
     return found.groupBy("q").agg(F.min("v").alias("value"))
 
 
+def quantiles_approx(df: DataFrame, col: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
+    """The same table from one mergeable sketch, within 1 / accuracy of the wanted rank."""
+    wanted = F.array(*[F.lit(float(q)) for q in qs])
+    found = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("v"))
+    return found.select(F.explode(F.arrays_zip(wanted.alias("q"), F.col("v").alias("value"))).alias("z")).select("z.*")
+
+
 def family_counts(stories: DataFrame) -> DataFrame:
     return stories.groupBy("family").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "family")
 

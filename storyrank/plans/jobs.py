@@ -105,7 +105,9 @@ def process(
     placed = run_days(items, runs, gate)
     pool = asm.balanced_pool(placed, per_source, ["run_day"]) if per_source else placed
     if papers is not None:
-        pool = enrich_metrics(pool, papers)
+        raw_id = F.col("arxiv_id") if "arxiv_id" in pool.columns else F.lit(None).cast("string")
+        paper = F.when(F.col("family") == "academia", X.arxiv_id(raw_id, "url"))
+        pool = enrich_metrics(pool.withColumn("paper_id", paper), papers).drop("paper_id")
     rows = stage(signalled(pool).withColumn("uid", F.concat_ws("|", F.col("run_day").cast("string"), "id")))
     groups = cluster_stories(
         rows.withColumn("id", F.col("uid")), profile.cluster_threshold, within=["run_day"])

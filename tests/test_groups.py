@@ -136,11 +136,11 @@ def test_no_chaining(spark):
 def test_link_rules(spark):
     one = np.array([[1.0, 0.0]] * 7)
     kinds = [
-        ("academia", "arxiv", "https://arxiv.org/abs/2401.00001v1", "Flow Matching Models"),
-        ("academia", "hf", "https://arxiv.org/abs/2401.00001v2", "Flow Matching Models"),
+        ("academia", "arxiv", "https://arxiv.org/abs/2401.00001v1", "Graph Routing Models"),
+        ("academia", "hf", "https://arxiv.org/abs/2401.00001v2", "Graph Routing Models"),
         ("academia", "arxiv", "https://arxiv.org/abs/2401.00002", "Other Paper"),
-        ("community", "reddit", "https://r/x", "Discussion of Flow Matching"),
-        ("community", "hn", "https://n/y", "BlockPilot agents"),
+        ("community", "reddit", "https://r/x", "Thread on Graph Routing"),
+        ("community", "hn", "https://n/y", "Sparse planner tools"),
         ("industry", "tc", "https://tc/a", "Story A"),
         ("industry", "tc", "https://tc/b", "Story B"),
     ]

@@ -148,3 +148,30 @@ def test_offline_embedder(spark):
 
 def test_fixture_boundaries(spark, small):
     assert fx.items(spark, small).count() == 200
+
+
+def test_sql_functions_equal_columns(spark, small):
+    from storyrank.functions import text as X
+
+    registry.register(spark)
+    docs = fx.titled(spark, small).select("title", F.substring("raw_text", 1, 300).alias("body"))
+    pages = fx.table(spark, small, "pages").select("url", "html")
+    cases = [
+        (pages, "sr_url_path(url)", X.url_path("url")), (pages, "sr_html_to_text(html)", X.html_to_text("html")),
+        (pages, "sr_link_label(url)", X.link_label("url")), (pages, "sr_snippet(html)", X.snippet("html")),
+        (pages, "sr_content_hash(url, html)", X.content_hash("url", "html")),
+        (docs, "sr_slug(title)", X.slugify("title")), (docs, "sr_is_recap(title)", X.is_recap_title("title")),
+        (docs, "sr_is_release(title)", X.is_release_title("title")), (docs, "sr_is_promo(title)", X.is_promo_title("title")),
+        (docs, "sr_is_anecdote(title)", X.is_anecdote_title("title")), (docs, "sr_is_relevant(body)", X.is_relevant("body")),
+        (docs, "array_join(sr_title_tokens(title), ' ')", F.array_join(X.title_tokens("title"), " ")),
+        (docs, "round(sr_title_jaccard(title, body), 9)", F.round(X.token_jaccard(X.title_tokens("title"), X.title_tokens("body")), 9)),
+        (docs, "array_join(sr_sig_numbers(concat(title, ' costs $1,5M or 40%')), ' ')",
+         F.array_join(X.sig_numbers(F.concat("title", F.lit(" costs $1,5M or 40%"))), " ")),
+        (docs, "array_join(sr_ungrounded('4.5 and 7%', body), ' ')", F.array_join(X.ungrounded(F.lit("4.5 and 7%"), "body"), " ")),
+        (docs, "sr_story_id(title, array('b', 'a'))", X.story_id("title", F.array(F.lit("b"), F.lit("a")))),
+        (docs, "sr_weekly_id(date '2027-01-01')", X.weekly_id(F.lit("2027-01-01").cast("date"))),
+        (docs, "sr_announce_score(title)", X.announce_score("title")),
+    ]
+    for df, sql, col in cases:
+        both = df.select(F.expr(sql).alias("a"), col.alias("b"))
+        assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0, sql

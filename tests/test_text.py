@@ -12,7 +12,7 @@ def one(spark, value, expr, kind="string"):
 TITLES = [
     ("OpenLab unveils Foo", True), ("Foo is rolling out", True), ("Acme raises $5M", True),
     ("This raises questions", False), ("Stock drops 5%", False), ("Lab partners with Acme", True),
-    ("My resume scored 90/100", False), ("open-sourcing Bar", True), (None, False),
+    ("My resume scored 88", False), ("open-sourcing Bar", True), (None, False),
 ]
 
 
@@ -22,8 +22,8 @@ def test_release_titles(spark, title, expected):
 
 
 @pytest.mark.parametrize("title,expected", [
-    ("Not much happened today", True), ("AINews: the big one", True), ("AINews raises $5M", False),
-    ("Quiet-STaR: Language Models Can Think", False), ("Weekly roundup", True), ("quiet weekend", True),
+    ("Not much happened today", True), ("AINews: Tuesday notes", True), ("AINews hires an editor", False),
+    ("A Quiet Step Towards Planning", False), ("Weekly roundup", True), ("quiet weekend", True),
 ])
 def test_recap_titles(spark, title, expected):
     assert one(spark, title, X.is_recap_title) is expected
