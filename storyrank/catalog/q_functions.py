@@ -42,7 +42,10 @@ def udf_02(spark, d):
     return out.select("id", F.size("embedding").alias("dim"), F.round(F.sqrt(norm), 3).alias("norm"))
 
 
-@query("UDF-03")
+@query("UDF-03", """
+with s as (select doc_id, cast(cast('0x' || left(sha256(text), 16) as ubigint) as hugeint) as seed from documents)
+select cast(doc_id as varchar) as prompt_id, 'stub-' || cast(seed % 10000 as varchar) as takeaway,
+  cast((seed + 1) % 1000 as integer) / 1000.0::double as score from s""")
 def udf_03(spark, d):
     from storyrank.operators.inference import EchoModel, infer
 

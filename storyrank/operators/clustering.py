@@ -70,7 +70,9 @@ def link_nodes(profile: DataFrame, within: list[str]) -> tuple[DataFrame, DataFr
     solo = (F.col("p.family") == "academia") & F.col("p.paper").isNull()
     sig = F.sha2(F.to_json(F.struct(*within, "embedding", "p")), 256)
     marked = profile.withColumn("solo", F.coalesce(solo, F.lit(False))).withColumn(
-        "sig", F.when(F.col("solo") | F.col("embedding").isNull(), F.col("id")).otherwise(sig))
+        "sig", F.when(
+            F.col("solo") | F.col("embedding").isNull(), F.concat(F.lit("id:"), F.col("id").cast("string"))
+        ).otherwise(sig))
     heads = marked.groupBy("sig").agg(F.min("id").alias("node"))
     owner = marked.select("id", "sig").join(heads, "sig").select("id", "node")
     nodes = marked.join(heads.select(F.col("node").alias("id")), "id", "left_semi").drop("sig")

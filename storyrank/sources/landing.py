@@ -172,6 +172,29 @@ def read_hf_papers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_hf_feed(spark: SparkSession, path: str, since) -> DataFrame:
+    """The feed form of the trending papers, for days without the JSON listing: votes and
+    paper id are found in the text."""
+    entries = recent_entries(feed_entries(spark, path), since)
+    link, body = _present("link"), X.html_to_text("markup")
+    ups = X.text_upvotes(body).cast("double")
+    return _items(
+        entries,
+        source=F.lit("hf_papers"),
+        family=F.lit("academia"),
+        url=link,
+        title=X.strip(F.coalesce("title", F.lit(""))),
+        author=F.col("author"),
+        published_at=F.col("dt"),
+        raw_text=body,
+        metrics=F.when(ups != 0, F.create_map(F.lit("hf_upvotes"), ups)).otherwise(
+            F.create_map().cast("map<string,double>")
+        ),
+        raw=F.to_json(F.struct(
+            X.first_paper_id("link", "entry_id", body).alias("arxiv_id"), link.alias("hf_link"))),
+    )
+
+
 # --- conference notes -------------------------------------------------------------
 def _unwrapped(field: str, kind: str = "string") -> Column:
     """A note value, whether bare or wrapped as ``{"value": X}``."""

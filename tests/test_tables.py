@@ -74,6 +74,15 @@ def test_feeds(spark):
         ("rss:lab", "A & B", "Hi & bye", "2024-01-02 03:04:05"), ("rss:lab", "Undated", "", SINCE)]
 
 
+def test_paper_feed(spark):
+    rss = """<rss><channel><item><title>P</title><link>https://x/papers/2401.01234</link>
+    <description>Liked: 42 upvotes</description></item><item><title>Q</title><link>https://x/q</link>
+    <description>see 2312.00001</description></item></channel></rss>"""
+    got = landing.read_hf_feed(spark, put("h.xml", rss), SINCE)
+    assert rows(got.select("title", F.get_json_object("raw", "$.arxiv_id"), F.try_element_at("metrics", F.lit("hf_upvotes")))) == [
+        ("P", "2401.01234", 42.0), ("Q", "2312.00001", None)]
+
+
 def test_arxiv_categories(spark):
     atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>q</title>
     <entry><id>http://arxiv.org/abs/2401.1v1</id><title>One
