@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyrank import fixtures as fx
 from storyrank.catalog.q_aggregates import tier_sql
 from storyrank.catalog.q_joins import BOOST_SQL
-from storyrank.catalog.q_render import weekly_digests, written_digests
+from storyrank.catalog.q_render import _NOTES_SQL, weekly_digests, written_digests
 from storyrank.catalog.q_signals import IMPORTANCE_SQL, FAMILY_WEIGHT_SQL
 from storyrank.catalog.q_sources import land_golden, land_hits, land_papers
 from storyrank.catalog.q_text import ANNOUNCE_SQL
@@ -204,7 +204,11 @@ def pip_09(spark, d):
     return jobs.tuning_report(fx.day_stories(spark, d))
 
 
-@query("PIP-10")
+@query("PIP-10", with_views(f"""
+with {_NOTES_SQL.strip()}
+select path, md5(arg_max(content, (section, pos))) as content_md5 from st where day = (select max(day) from st) group by 1
+union all select path, md5(content) from (select * from dn order by path desc limit 1)
+union all select path, md5(content) from (select * from wn order by path desc limit 1)""", "doc_stories"))
 def pip_10(spark, d):
     out = jobs.wiki_export(written_digests(spark, d), weekly_digests(spark, d), scratch(spark, "wiki"))
     return out.select("path", F.md5("content").alias("content_md5"))

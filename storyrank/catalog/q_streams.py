@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storyrank import fixtures as fx
 from storyrank.catalog.q_joins import BOOST_SQL
+from storyrank.catalog.q_windows import THROTTLE_SQL
 from storyrank.catalog.registry import query, with_views
 from storyrank.session import scratch
 from storyrank.streaming import jobs as st
@@ -98,7 +99,7 @@ def str_04(spark, d):
     return st.read_log(spark, log).select("event_type", "start", "end", "n", F.round("total", 4).alias("total"))
 
 
-@query("STR-05")
+@query("STR-05", THROTTLE_SQL + " select id, who, admitted from r")
 def str_05(spark, d):
     """The throttle with three hits an hour per kind of event, as keyed state."""
     hits = event_stream(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("who"), "ts")

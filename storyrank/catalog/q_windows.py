@@ -198,7 +198,20 @@ def win_11(spark, d):
     return asm.latest_digest(fx.digests(spark, d)).select("kind", "id", "date", "created_at")
 
 
-@query("WIN-12")
+# One step per hit of a kind, in time order, carrying the admitted times still in the hour.
+THROTTLE_SQL = """
+with recursive h as (
+  select event_type as who, event_id as id, ts, epoch_us(ts) as t,
+    row_number() over (partition by event_type order by ts, event_id) as rn from events),
+r(who, rn, id, ts, recent, admitted) as (
+  select who, rn, id, ts, [t], true from h where rn = 1
+  union all
+  select who, rn, id, ts, case when len(kept) < 3 then list_append(kept, t) else kept end, len(kept) < 3
+  from (select h.who, h.rn, h.id, h.ts, h.t, list_filter(r.recent, lambda x: h.t - x <= 3600000000) as kept
+        from r join h on h.who = r.who and h.rn = r.rn + 1))"""
+
+
+@query("WIN-12", THROTTLE_SQL + " select id, who, ts, admitted from r")
 def win_12(spark, d):
     """Three admitted hits an hour per kind of event."""
     hits = fx.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("who"), "ts")
