@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyrank import constants as K
 from storyrank import fixtures as fx
 from storyrank.catalog.q_filters import RELEASE_SQL
 from storyrank.catalog.registry import query, with_views

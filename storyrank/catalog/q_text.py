@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from storyrank import constants as K
 from storyrank import fixtures as fx
-from storyrank.catalog.q_filters import RELEASE_SQL  # noqa: F401
 from storyrank.catalog.registry import query, with_views
 from storyrank.functions import text as X
 
