@@ -86,17 +86,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: its bytes as a polynomial, then mixed."""
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of ``values`` (unsigned 64 bits): a polynomial, then mixed."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(size)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
+    up, down = _powers(1 << max(12, int(len(values)).bit_length()))
+    total = np.empty(len(values) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
+    np.cumsum((values + np.uint64(1)) * up[:len(values)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return sequence_hashes(data.astype(np.uint64), starts, ends)
+
+
 def per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)
