@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyrank.session import stage
+
 TEMPERATURE = 0.5
 SEED = "mix-1"
+BROADCAST_SOURCES = 5_000  # beyond that the join is left to Spark, which splits a hot source
 SPREAD = 10  # the table of the distribution ends so many deviations above its mean
 
 
@@ -67,6 +70,9 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, temperature:
     rates = source_rates(docs, weights, temperature, epochs, source_col)
     table = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"),
                          poisson_cdf(F.col("rate")).alias("__cdf"))
+    table = stage(table)
+    if table.count() <= BROADCAST_SOURCES:  # a row is one number and a short table: a few MB at most
+        table = F.broadcast(table)
     drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
     u = unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
