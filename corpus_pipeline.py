@@ -1,7 +1,71 @@
-"""The corpus pipeline (filled in as its operators are)."""
-STAGES = []
+"""The corpus pipeline: five stages over whole documents, each on what the one before kept.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet
+and read again before the next. All but the last return the columns of ``documents``; the
+last adds a copy number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyrank.llm import decontamination, lines, mixing, simhash, toxicity
+from storyrank.session import scratch
+
+TOXIC_FROM = 0.5
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below ``TOXIC_FROM`` by the lexicon learned from ``labels``; texts are null-safe."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.learn(toxicity.training_rows(docs, labels, "toxic"))
+    scored = toxicity.with_scores(docs.select(*COLUMNS), lexicon, name="__score")
+    return scored.filter(F.col("__score") < TOXIC_FROM).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of three-line windows. A document that loses all its
+    lines goes; ``n_chars`` follows the text."""
+    cut = lines.remove_repeated_windows(docs.select(*COLUMNS))
+    emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
+    length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.filter(~emptied).withColumn("n_chars", length).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document of smallest id."""
+    return simhash.representatives(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontamination.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards the target shares of their sources, in global disorder."""
+    return mixing.poisson_mix(docs.select(*COLUMNS)).select(*COLUMNS, "copy")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("source_mixing", mix_sources),
+]
+
+# Learned scores, fingerprints and the latent space have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what a stage kept lies in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
