@@ -62,7 +62,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, temperature:
 
     The draw inverts the distribution at a number hashed from the seed, the id and the
     digest of the text, so a rerun gives the same mix and repeated rows get the same
-    count each. ``copy`` counts a document's copies from 1. Rows are dealt to partitions
+    count each. ``copy`` counts a document's copies from 1 (a column of that name is replaced). Rows are dealt to partitions
     by the hash of id and copy and sorted by it inside: that is the shuffled order, and
     no source or id weighs on one partition. A null source is a source of its own, a null
     id hashes as the empty text. Rates ride along as one row for each source.
@@ -73,17 +73,17 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, temperature:
     table = stage(table)
     if table.count() <= BROADCAST_SOURCES:  # a row is one number and a short table: a few MB at most
         table = F.broadcast(table)
-    drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
+    drawn = docs.drop("copy").join(table, F.col(source_col).eqNullSafe(F.col("__source")))
     u = unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     laid = (
         drawn.withColumn("__u", u).withColumn("__n", count).filter("__n > 0")
-        .drop("__cdf", "__source", "__u")
+        .drop("__cdf", "__source", "__u", "__rate")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
         .withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
     )
     mixed = laid.repartition(F.col("__key")).sortWithinPartitions("__key")
-    return mixed.withColumnRenamed("__rate", "rate").drop("__n", "__key")
+    return mixed.drop("__n", "__key")
 
 
 ORACLE = f"""

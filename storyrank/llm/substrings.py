@@ -309,30 +309,32 @@ def _resolve(span: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with their words counted and the covered ones cut out."""
-    for batch in batches:
-        rows = batch.select(["text", "all", "starts", "stops"]).to_pylist()
-        total, removed, kept_texts, digests = [], [], [], []
-        for r in rows:
-            words = r["text"].encode().split()
-            kept = words
-            if r["all"]:
-                kept = []
-            elif r["starts"]:
-                cut = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(cut, r["starts"], 1)
-                np.add.at(cut, r["stops"], -1)
-                kept = [w for w, c in zip(words, cut.cumsum().tolist(), strict=False) if not c]
-            text = b" ".join(kept)
-            total.append(len(words))
-            removed.append(len(words) - len(kept))
-            kept_texts.append(text.decode())
-            digests.append(hashlib.sha256(text).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-             pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+def _cut(span: int):
+    """The rows with their words counted and the covered ones cut out, one text at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, removed, kept_texts, digests = [], [], [], []
+            for text, copy, starts, stops in zip(*(batch.column(c) for c in ("text", "copy", "starts", "stops")), strict=True):
+                words = text.as_py().encode().split()
+                kept = words
+                if copy.as_py() and len(words) >= span:
+                    kept = []
+                elif starts.is_valid and len(starts):
+                    cut = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.add.at(cut, starts.as_py(), 1)
+                    np.add.at(cut, stops.as_py(), -1)
+                    kept = [w for w, c in zip(words, cut.cumsum().tolist(), strict=False) if not c]
+                joined = b" ".join(kept)
+                total.append(len(words))
+                removed.append(len(words) - len(kept))
+                kept_texts.append(joined.decode())
+                digests.append(hashlib.sha256(joined).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
+                names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id",
@@ -345,7 +347,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     repeated rows are repeats of each other.
     """
     text = whole(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"),
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"),
                        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), text.alias("text"))
     keys = ["id", "a", "b"]
     texts = base.groupBy("a", "b").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
@@ -355,7 +357,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
         "anchor", (F.col("n") > HOT).alias("hot")))
     starts = found.join(repeated, "anchor").groupBy(*keys).agg(F.collect_set(F.struct("low", "hot")).alias("starts"))
     starts = starts.join(texts.select(*keys), keys)  # of equal texts, one
-    routed = base.select(*keys, "text").join(starts, keys).select(*keys, "text", "starts").mapInArrow(_route(span, gram), ROUTED)
+    routed = base.join(starts, keys).select(*keys, "text", "starts").mapInArrow(_route(span, gram), ROUTED)
     dealt = routed.repartition(F.col("key")).sortWithinPartitions("key", "key2")
     covered = dealt.mapInArrow(_resolve(span), "id long, a long, b long, start int, stop int")
     copies = base.select(*keys).join(texts.filter("n > 1").select("a", "b"), ["a", "b"])
@@ -364,7 +366,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
                       F.lit(True).alias("copy")))
     marks = marks.groupBy(*keys).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"),
                                      F.max("copy").alias("copy"))
-    out = base.select("doc_id", *keys, "text").join(marks, keys, "left").select(
-        "doc_id", "text", "starts", "stops", F.coalesce("copy", F.lit(False)).alias("all"))
-    out = out.withColumn("all", F.col("all") & (F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")) >= span))
-    return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    # The same columns as for `routed`, so that both read one exchange of the texts.
+    out = base.join(marks, keys, "left").select(
+        "id", "text", "starts", "stops", F.coalesce("copy", F.lit(False)).alias("copy"))
+    out = out.mapInArrow(_cut(span), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    kind = docs.schema[id_col].dataType
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id"),
+                      "n_words", "n_removed", "kept_sha256", "kept")
