@@ -43,9 +43,9 @@ def udf_02(spark, d):
 
 
 @query("UDF-03", """
-with s as (select doc_id, cast(cast('0x' || left(sha256(text), 16) as ubigint) as hugeint) as seed from documents)
-select cast(doc_id as varchar) as prompt_id, 'stub-' || cast(seed % 10000 as varchar) as takeaway,
-  cast((seed + 1) % 1000 as integer) / 1000.0::double as score from s""")
+with s as (select doc_id, regexp_extract_all(text, '\\S+') as words from documents)
+select cast(doc_id as varchar) as prompt_id, coalesce(words[1], '') as takeaway,
+  coalesce((len(list_distinct(words)) * 1000 // nullif(len(words), 0)) / 1000.0, 0.0)::double as score from s""")
 def udf_03(spark, d):
     from storyrank.operators.inference import EchoModel, infer
 

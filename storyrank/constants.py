@@ -69,6 +69,8 @@ MIN_POINTS = 20
 MIN_FORUM_SCORE = 5
 REPLAY_MIN_POINTS = 40
 REPLAY_LIMIT = 60
+REPLAY_SAMPLE_HOURS = 72
+PAPER_SOURCES = ("arxiv", "hf_papers")
 
 RANKING = {"alpha": 0.5, "beta": 0.4, "gamma": 0.1}
 TIER_THRESHOLDS = {

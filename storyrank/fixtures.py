@@ -67,7 +67,7 @@ def items(spark, d) -> DataFrame:
         .otherwise(F.col("source")).alias("source"),
         family_of(n % 4).alias("family"),
         "url",
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.timestamp_micros(
             F.unix_micros(F.lit(AS_OF).cast("timestamp")) - n * 360_000_000
         ).alias("published_at"),
@@ -191,7 +191,7 @@ def titled(spark, d) -> DataFrame:
         "doc_id",
         F.concat(F.lit("item-"), F.col("doc_id").cast("string")).alias("id"),
         F.concat(
-            head, F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
+            head, F.split_part("text", F.lit("\n"), F.lit(1))
         ).alias("title"),
         (1 + F.col("doc_id") % 3).alias("mention_count"),
         family_of(F.col("doc_id") % 4).alias("family"),
@@ -212,7 +212,7 @@ select d.doc_id as item_no, concat('item-', cast(d.doc_id as varchar)) as id,
   case when d.doc_id % 7 = 0 then 'arxiv' when d.doc_id % 7 = 1 then 'hn'
        when d.doc_id % 50 = 2 then 'smol.ai' else d.source end as source,
   case d.doc_id % 4 when 0 then 'academia' when 1 then 'industry' when 2 then 'community' else 'meta' end as family,
-  p.url as url, substr(split_part(d.text, chr(10), 1), 1, 80) as title,
+  p.url as url, split_part(d.text, chr(10), 1) as title,
   timestamp '2024-01-31 00:00:00' - d.doc_id * interval '6' minute as published_at,
   d.text as raw_text, e.embedding as embedding,
   coalesce(g.upvotes,0) * (1 + d.doc_id % 97) as upvotes,
@@ -266,7 +266,7 @@ from documents"""),
 select doc_id, concat('item-', cast(doc_id as varchar)) as id,
   concat(case doc_id % 6 when 0 then 'OpenLab unveils ' when 1 then 'Show HN: ' when 2 then 'Weekly recap: '
     when 3 then 'My resume scored ' when 4 then 'Acme raises $' else 'How ' end,
-    substr(split_part(text, chr(10), 1), 1, 80)) as title,
+    split_part(text, chr(10), 1)) as title,
   1 + doc_id % 3 as mention_count,
   case doc_id % 4 when 0 then 'academia' when 1 then 'industry' when 2 then 'community' else 'meta' end as family,
   text as raw_text

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,52 +77,22 @@ def cosine_bulk(a: pd.Series, b: pd.Series) -> pd.Series:
 def vector_sums(df: DataFrame, keys: list[str], vec: str, weight: Column | None = None) -> DataFrame:
     """Per-key position-wise weighted sum: ``(keys, total array<double>, weight_sum, n)``.
 
-    Each map task folds its rows into one partial vector per (key, length) and the
-    partials are exploded by position and summed, so a hot key costs one partial per
-    task and never gathers its rows in one place.
+    A partial aggregate of dense vectors in the JVM: a map task ships one vector per key,
+    so a hot key is never gathered. Vectors of several lengths under one key: the length
+    that most of them have (ties: the longer) stands, the others are left out.
     """
     w = F.lit(1.0) if weight is None else weight
     src = df.filter(F.col(vec).isNotNull()).select(
         *keys, F.col(vec).cast("array<double>").alias("__v"), w.cast("double").alias("__w")
     )
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keys).schema)
-    schema = (key_schema + ", " if keys else "") + "__p array<double>, __aw double, __n long"
-
-    def fold(batches):
-        sums: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
-            for key, part in groups:
-                for dim, rows in part.groupby(part["__v"].map(len), sort=False):
-                    mat = np.vstack(rows["__v"].to_numpy())
-                    ws = rows["__w"].to_numpy()
-                    slot = sums.setdefault((key, dim), [np.zeros(dim), 0.0, 0])
-                    slot[0] += ws @ mat
-                    slot[1] += np.abs(ws).sum()
-                    slot[2] += len(ws)
-            if len(sums) > 4096:
-                yield emit(sums)
-                sums = {}
-        if sums:
-            yield emit(sums)
-
-    def emit(sums):
-        rows = [[*k, v[0].tolist(), v[1], v[2]] for (k, _), v in sums.items()]
-        return pd.DataFrame(rows, columns=[*keys, "__p", "__aw", "__n"])
-
-    partial = src.mapInPandas(fold, schema)
-    by_pos = (
-        partial.select(*keys, F.size("__p").alias("__dim"), "__aw", "__n", F.posexplode("__p"))
-        .groupBy(*keys, "__dim", "pos")
-        .agg(F.sum("col").alias("s"), F.sum("__aw").alias("aw"), F.sum("__n").alias("n"))
-    )
-    return by_pos.groupBy(*keys, "__dim").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"]
-        ).alias("total"),
-        F.max("aw").alias("weight_sum"),
-        F.max("n").alias("n"),
-    ).drop("__dim")
+    scaled = F.transform("__v", lambda x: F.coalesce(x, F.lit(0.0)) * F.col("__w"))
+    by_length = src.withColumns({"__dim": F.size("__v"), "__x": array_to_vector(scaled)}).groupBy(*keys, "__dim").agg(
+        Summarizer.sum(F.col("__x")).alias("__sum"), F.sum(F.abs("__w")).alias("weight_sum"), F.count(F.lit(1)).alias("n"))
+    picked = by_length.groupBy(*keys).agg(
+        F.max_by(F.struct("__sum", "weight_sum", "n"), F.struct("n", "__dim")).alias("__row"))
+    if not keys:
+        picked = picked.filter(F.col("__row").isNotNull())
+    return picked.select(*keys, vector_to_array("__row.__sum").alias("total"), "__row.weight_sum", "__row.n")
 
 
 def centroid(df: DataFrame, keys: list[str], vec: str) -> DataFrame:

@@ -13,7 +13,7 @@ from storyrank.functions import text as X
 from storyrank.functions.vectors import centroid
 from storyrank.operators.components import connected_components
 from storyrank.operators.grouping import exact_rank
-from storyrank.operators.similarity import BLOCK_ROWS, link_edges, similar_pairs
+from storyrank.operators.similarity import BLOCK_ROWS, has_direction, link_edges, similar_pairs
 from storyrank.session import ensure_checkpoint_dir, stage
 
 MAX_COMPONENT = 3000
@@ -71,7 +71,7 @@ def link_nodes(profile: DataFrame, within: list[str]) -> tuple[DataFrame, DataFr
     sig = F.sha2(F.to_json(F.struct(*within, "embedding", "p")), 256)
     marked = profile.withColumn("solo", F.coalesce(solo, F.lit(False))).withColumn(
         "sig", F.when(
-            F.col("solo") | F.col("embedding").isNull(), F.concat(F.lit("id:"), F.col("id").cast("string"))
+            F.col("solo") | ~has_direction("embedding"), F.concat(F.lit("id:"), F.col("id").cast("string"))
         ).otherwise(sig))
     heads = marked.groupBy("sig").agg(F.min("id").alias("node"))
     owner = marked.select("id", "sig").join(heads, "sig").select("id", "node")
@@ -266,7 +266,7 @@ def fold_leads(
     top = F.col("tier") == "breakthrough"
     rows = leads.select(*keys, "id", "embedding", order, top.alias("solo"))
     # Equal vectors outside the breakthroughs share their fate with the best-ranked copy.
-    sig = F.when(F.col("solo") | F.col("embedding").isNull(), F.col("id").cast("string")).otherwise(
+    sig = F.when(F.col("solo") | ~has_direction("embedding"), F.col("id").cast("string")).otherwise(
         F.sha2(F.to_json(F.struct(*keys, "embedding")), 256))
     marked = stage(rows.withColumn("sig", sig))
     heads = marked.groupBy(*keys, "sig").agg(F.min_by("id", order).alias("head"), F.min(order).alias("head_pos"))

@@ -24,9 +24,11 @@ def story_items(stories: DataFrame, members: DataFrame, items: DataFrame) -> Dat
 
 
 def enrich_metrics(items: DataFrame, papers: DataFrame) -> DataFrame:
-    """Paper metrics (paper_id, metrics) laid over the items' own, by paper id. Items
+    """Paper metrics (paper_id, metrics) laid over the items' own, by paper id; of several
+    rows for a paper the one whose metrics are largest as JSON. Items
     without one skip the join instead of meeting in its NULL bucket."""
-    new = papers.select("paper_id", F.col("metrics").alias("__new"))
+    by = F.to_json("metrics")
+    new = papers.groupBy("paper_id").agg(F.max_by("metrics", by).alias("__new"))
     plain = items.filter(F.col("paper_id").isNull())
     hit = items.filter(F.col("paper_id").isNotNull()).join(new, "paper_id", "left")
     old = F.map_filter("metrics", lambda k, v: ~F.map_contains_key("__new", k))
@@ -63,8 +65,9 @@ def find_stories(ids: DataFrame, ranked: DataFrame, summaries: DataFrame) -> Dat
 
 def richer_body(items: DataFrame, fetched: DataFrame, min_chars: int = K.READER_MIN_CHARS) -> DataFrame:
     """Industry rows with a thin body and a web url take the landed page text
-    (url, body) when it is longer."""
-    pages = fetched.select("url", X.strip("body").alias("__body"))
+    (url, body) when it is longer; of several pages of a url the longest, ties by text."""
+    body = X.strip("body")
+    pages = fetched.groupBy("url").agg(F.max_by(body, F.struct(F.length(body), body)).alias("__body"))
     trimmed = F.length(X.strip(F.coalesce("raw_text", F.lit(""))))
     wants = (
         (F.col("family") == "industry") & (trimmed < min_chars)

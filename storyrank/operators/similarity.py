@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyrank.functions.vectors import unit_rows
@@ -127,6 +127,12 @@ def _pairs(
     return spread.drop("__nb").groupBy(*keys, "__p", "__q").applyInArrow(kernel, schema)
 
 
+def has_direction(vec: str) -> Column:
+    """False for a null, empty or zero vector, or one without finite numbers: it is like nothing."""
+    return F.coalesce(
+        F.exists(F.col(vec), lambda x: (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
 def similar_pairs(
     df: DataFrame,
     threshold: float,
@@ -150,10 +156,11 @@ def similar_pairs(
     if not collapse:
         return _pairs(df, threshold, *args)
     usable = df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0))
+    if solo:
+        return _with_solo(usable, threshold, ident, vec, within, solo, block_rows)
     heads = distinct_vectors(usable, ident, vec, within)
     pairs = _pairs(heads, threshold, *args)
-    norm_ok = F.exists(F.col(vec), lambda x: (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    copied = heads.filter((F.col("copies") > 1) & norm_ok).select(*within, vec, F.col(ident).alias("id_a"))
+    copied = heads.filter((F.col("copies") > 1) & has_direction(vec)).select(*within, vec, F.col(ident).alias("id_a"))
     stars = (
         usable.select(*within, vec, F.col(ident).alias("id_b"))
         .join(copied, [*within, vec]).filter(F.col("id_b") != F.col("id_a"))
@@ -162,6 +169,28 @@ def similar_pairs(
     return pairs.unionByName(stars)
 
 
+def _with_solo(usable: DataFrame, threshold: float, ident: str, vec: str, within: list[str], solo: str, block_rows: int) -> DataFrame:
+    """Solo rows keep their own place, the others collapse; a copy of a solo row is found by
+    the comparison like any other near row."""
+    flag = F.coalesce(F.col(solo), F.lit(False))
+    alone, rest = usable.filter(flag), usable.filter(~flag)
+    heads = distinct_vectors(rest, ident, vec, within)
+    both = alone.select(*within, ident, vec, F.lit(True).alias(solo)).unionByName(
+        heads.select(*within, ident, vec, F.lit(False).alias(solo)))
+    pairs = _pairs(both, threshold, ident, vec, within, solo, block_rows, False)
+    copied = heads.filter((F.col("copies") > 1) & has_direction(vec)).select(*within, vec, F.col(ident).alias("head"))
+    others = rest.select(*within, vec, F.col(ident).alias("copy")).join(copied, [*within, vec]).filter(
+        F.col("head") != F.col("copy")).select("head", "copy")
+    stars = others.select(F.col("head").alias("id_a"), F.col("copy").alias("id_b"), F.lit(1.0).alias("similarity"))
+    # A solo row is like every copy of a head that it is like, as without a collapse.
+    lone = alone.select(F.col(ident).alias("lone"))
+    ends = pairs.select(F.col("id_a").alias("lone"), F.col("id_b").alias("head"), "similarity").unionByName(
+        pairs.select(F.col("id_b").alias("lone"), F.col("id_a").alias("head"), "similarity")).join(lone, "lone", "left_semi")
+    carried = ends.join(others, "head").select(
+        F.least("lone", "copy").alias("id_a"), F.greatest("lone", "copy").alias("id_b"), "similarity")
+    return pairs.unionByName(stars).unionByName(carried)
+
+
 def link_edges(
     df: DataFrame, threshold: float, ident: str = "id", vec: str = "embedding",
     within: list[str] | None = None, block_rows: int = BLOCK_ROWS,
@@ -175,8 +204,7 @@ def link_edges(
     usable = df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0))
     heads = distinct_vectors(usable, ident, vec, within)
     edges = _pairs(heads, threshold, ident, vec, within, None, block_rows, True)
-    norm_ok = F.exists(F.col(vec), lambda x: (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    copied = heads.filter((F.col("copies") > 1) & norm_ok).select(*within, vec, F.col(ident).alias("id_a"))
+    copied = heads.filter((F.col("copies") > 1) & has_direction(vec)).select(*within, vec, F.col(ident).alias("id_a"))
     stars = (
         usable.select(*within, vec, F.col(ident).alias("id_b"))
         .join(copied, [*within, vec]).filter(F.col("id_b") != F.col("id_a"))

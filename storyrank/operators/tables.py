@@ -23,12 +23,13 @@ def upsert(
     """Rows of ``target`` updated and extended by ``batch``.
 
     ``rules`` names, per column, which side wins on a match: ``new`` (the default),
-    ``old`` or ``coalesce`` (new unless NULL). With ``order``, several batch rows of
-    one key are applied in that order. ``insert=False`` ignores unknown keys.
+    ``old`` or ``coalesce`` (new unless NULL). Several batch rows of one key give one row:
+    the last by ``order``, ties and batches without an order by their values as JSON; a
+    ``coalesce`` column takes the last value that is not NULL. ``insert=False`` ignores
+    unknown keys.
     """
     rules = rules or {}
-    if order:
-        batch = last_per_key(batch, keys, order)
+    batch = _one_per_key(batch, keys, rules, order or [])
     rest = [c for c in target.columns if c not in keys]
     given = [c for c in rest if c in batch.columns]
     old = target.select(*keys, *[F.col(c).alias(f"__o_{c}") for c in rest], F.lit(True).alias("__old"))
@@ -52,6 +53,18 @@ def upsert(
     return both.select(*[F.col(c) if c in keys else picked[c] for c in target.columns])
 
 
+def _one_per_key(batch: DataFrame, keys: list[str], rules: dict[str, str], order: list) -> DataFrame:
+    rest = [c for c in batch.columns if c not in keys]
+    if not rest:
+        return batch.distinct()
+    by = F.struct(*order, F.to_json(F.struct(*rest)))
+    whole = F.max_by(F.struct(*rest), by).alias("__last")
+    filled = [F.max_by(c, F.when(F.col(c).isNotNull(), by)).alias(f"__f_{c}") for c in rest if rules.get(c) == "coalesce"]
+    picked = batch.groupBy(*keys).agg(whole, *filled)
+    return picked.select(*keys, *[
+        (F.col(f"__f_{c}") if rules.get(c) == "coalesce" else F.col(f"__last.{c}")).alias(c) for c in rest])
+
+
 def upsert_items(target: DataFrame, batch: DataFrame, order: list | None = None) -> DataFrame:
     return upsert(target, batch, ["id"], {"embedding": "coalesce"}, order)
 

@@ -16,15 +16,9 @@ class Profile:
     gamma: float = K.RANKING["gamma"]
     family_weights: dict = field(default_factory=lambda: dict(K.FAMILY_AUTHORITY))
     tiers: dict = field(default_factory=lambda: dict(K.TIER_THRESHOLDS))
-    mutes: tuple = ("crypto", "AI doomerism drama", "low-effort agent-framework hype")
-    subfields: tuple = (
-        "Multi-Agent Systems",
-        "Efficient and Scalable NLP",
-        "Reinforcement Learning for NLP",
-        "Large Language Models and Foundation Models",
-        "Optimization",
-    )
-    venues: tuple = ("NeurIPS", "ACL")
+    mutes: tuple = ()
+    subfields: tuple = ()
+    venues: tuple = ()
     cluster_threshold: float = K.STORY_COSINE
 
 

@@ -32,27 +32,45 @@ def ingest(sources: list[DataFrame], target: DataFrame) -> DataFrame:
     """The item table after one ingest: all sources, the first of equal ids, upserted."""
     batches = [df.withColumn("__batch", F.lit(i)) for i, df in enumerate(sources)]
     rows = union_sources(batches)
-    once = first_per_key(rows, ["id"], ["__batch", F.xxhash64("title", "url")]).drop("__batch")
+    every = F.to_json(F.struct(*[c for c in rows.columns if c not in ("__batch", "embedding")]))
+    once = first_per_key(rows, ["id"], ["__batch", every]).drop("__batch")
     return upsert_items(target, once)
 
 
 # --- process ----------------------------------------------------------------------
 def run_days(items: DataFrame, runs: DataFrame, gate: bool = True) -> DataFrame:
     """Items once per run (run_day, as_of) whose look-back holds them: candidate days come
-    from the item's own date, so runs and items meet on equality."""
+    from the item's own date, so runs and items meet on equality.
+
+    With ``gate=False`` a run takes every item between its ``since`` (a column of ``runs``;
+    without it, or null, from the beginning) and its ``as_of``, whatever the family.
+    """
+    if not gate:
+        return _since_days(items, runs)
     span = F.when(F.col("family") == "academia", F.lit(K.ACADEMIA_LOOKBACK_HOURS)).otherwise(
         F.lit(K.NEWS_LOOKBACK_HOURS))
     at = F.col("published_at")
     reach = F.date_add(F.to_date(at), (F.ceil(span / 24) + 1).cast("int"))
     days = F.explode(F.sequence(F.to_date(at), reach, F.expr("interval 1 day"))).alias("run_day")
     joined = items.select("*", days).join(runs.select("run_day", "as_of"), "run_day")
-    if not gate:
-        return joined.filter(at <= F.col("as_of"))
     micros = span.cast("bigint") * 3_600_000_000
     return joined.filter(
         (F.unix_micros(at) >= F.unix_micros("as_of") - micros) & (at <= F.col("as_of")))
 
 
+MAX_OPEN_RUNS = 10_000
+
+
+def _since_days(items: DataFrame, runs: DataFrame) -> DataFrame:
+    since = F.col("since").cast("timestamp") if "since" in runs.columns else F.lit(None).cast("timestamp")
+    open_runs = runs.select("run_day", "as_of", since.alias("__since"))
+    if open_runs.count() > MAX_OPEN_RUNS:
+        raise ValueError(f"more than {MAX_OPEN_RUNS} runs without a look-back at once; give them in parts")
+    at = F.col("published_at")
+    inside = (at <= F.col("as_of")) & (F.col("__since").isNull() | (at >= F.col("__since")))
+    return items.join(F.broadcast(open_runs), inside).drop("__since")
+
+
 def signalled(items: DataFrame) -> DataFrame:
     """Adds engagement, citation and score at each row's ``as_of``."""
     return items.withColumn("engagement", S.engagement("metrics")).withColumn(
@@ -243,10 +261,11 @@ def nightly(
 
 
 # --- replay -----------------------------------------------------------------------
-def replay_pool(items: DataFrame, runs: DataFrame, paper_cap: int = 14, industry_cap: int = 5) -> DataFrame:
+def replay_pool(items: DataFrame, runs: DataFrame, paper_cap: int = 14, industry_cap: int = 5, now=None) -> DataFrame:
     """Items of past days (run_day, as_of): the day's first community hits with enough
-    points, strictly inside the day, and a sample of papers and industry posts as they
-    stand now. The caps are the feature: a replay looks at a front page."""
+    points, strictly inside the day, and a sample of papers (of the two paper sources) and
+    industry posts of the last three days before ``now`` (default: the latest ``as_of``).
+    The caps are the feature: a replay looks at a front page."""
     day = F.to_date("published_at")
     start = F.col("published_at") > day.cast("timestamp")
     hits = items.filter((F.col("source") == "hn") & start).withColumn("run_day", day).join(
@@ -255,8 +274,12 @@ def replay_pool(items: DataFrame, runs: DataFrame, paper_cap: int = 14, industry
     front = top_n(hits, ["run_day"], [points.desc(), F.asc("id")], K.REPLAY_LIMIT).drop("pos")
     front = front.filter((points >= K.REPLAY_MIN_POINTS) & X.non_blank("title").isNotNull())
     newest = [F.desc("published_at"), F.asc("id")]
-    papers = top_n(items.filter(F.col("family") == "academia"), ["source"], newest, paper_cap)
-    posts = top_n(items.filter(F.col("family") == "industry"), ["source"], newest, industry_cap)
+    until = F.lit(now).cast("timestamp") if now is not None else F.lit(runs.agg(F.max("as_of")).scalar())
+    fresh = items.withColumn("__until", until).filter(
+        F.unix_micros("published_at") >= F.unix_micros("__until") - K.REPLAY_SAMPLE_HOURS * 3_600_000_000).drop("__until")
+    papers = fresh.filter((F.col("family") == "academia") & F.col("source").isin(*K.PAPER_SOURCES))
+    papers = top_n(papers, ["source"], newest, paper_cap)
+    posts = top_n(fresh.filter(F.col("family") == "industry"), ["source"], newest, industry_cap)
     sample = papers.unionByName(posts).drop("pos")
     # The sample is bounded by the caps and belongs to every replayed day.
     every = sample.withColumn("run_day", F.explode(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyrank import constants as K
 from storyrank.functions import text as X
+from storyrank.operators.grouping import first_per_key
 
 ITEM_COLUMNS = (
     "id", "source", "family", "url", "title", "author", "published_at", "raw_text", "metrics", "raw",
@@ -67,6 +68,12 @@ def _items(df: DataFrame, **cols: Column) -> DataFrame:
     return out.withColumn("id", X.item_id("url", "title", "raw_text")).select(*ITEM_COLUMNS)
 
 
+def _first_of(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """One row for each key: the earliest by ``at`` (if the rows have it), ties by their values."""
+    seen = [F.coalesce(F.col(at).cast("double"), F.lit(0.0))] if at in rows.columns else []
+    return first_per_key(rows, [key], [*seen, F.to_json(F.struct(*rows.columns))])
+
+
 # --- community hits ---------------------------------------------------------------
 def hn_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HN_SCHEMA).json(path).select(F.inline("hits"))
@@ -80,7 +87,7 @@ def admit_hn(hits: DataFrame) -> DataFrame:
     front = (F.coalesce("points", F.lit(0)) >= K.MIN_POINTS) & X.is_relevant(title, F.col("url"))
     admitted = hits.filter(show | front)
     named = F.coalesce("objectID", F.lit("")) != ""
-    return admitted.filter(named).dropDuplicates(["objectID"]).unionByName(admitted.filter(~named))
+    return _first_of(admitted.filter(named), "objectID", "created_at_i").unionByName(admitted.filter(~named))
 
 
 def hn_items(hits: DataFrame) -> DataFrame:
@@ -115,7 +122,7 @@ def admit_reddit(posts: DataFrame) -> DataFrame:
     shown = ~F.coalesce("stickied", F.lit(False)) & ~F.coalesce("hidden", F.lit(False))
     admitted = posts.filter(shown & (F.coalesce("score", F.lit(0)) >= K.MIN_FORUM_SCORE))
     named = F.coalesce("id", F.lit("")) != ""
-    return admitted.filter(named).dropDuplicates(["id"]).unionByName(admitted.filter(~named))
+    return _first_of(admitted.filter(named), "id", "created_utc").unionByName(admitted.filter(~named))
 
 
 def forum_items(posts: DataFrame) -> DataFrame:

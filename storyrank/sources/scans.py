@@ -61,11 +61,14 @@ def digest_title(kind="kind", content="content"):
 
 
 def list_digests(digests: DataFrame, kind: str | None = None, limit: int = 30) -> DataFrame:
+    """The latest digests, ``limit`` of them."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     out = digests if kind is None else digests.filter(F.col("kind") == kind)
     return (
         out.select("id", "kind", "date", "tier", "quiet", digest_title().alias("title"), "created_at")
         .orderBy(F.desc("date"), F.desc("created_at"), "id")
-        .limit(max(1, min(limit, 100)))
+        .limit(limit)
     )
 
 

@@ -7,6 +7,7 @@ row per key over the log.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,8 +20,6 @@ from storyrank.functions import signals as S
 from storyrank.operators.feedback import signal_weight
 from storyrank.operators.grouping import last_per_key
 
-LATENESS = f"{K.ACADEMIA_LOOKBACK_HOURS} hours"
-
 
 def run_available(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Work off everything there is, batch by batch, then stop."""
@@ -43,17 +42,20 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- ingest -----------------------------------------------------------------------
-def dedupe_items(stream: DataFrame, delay: str = LATENESS, ts: str = "published_at") -> DataFrame:
-    """First arrival of each id; ids are remembered as long as the watermark allows."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
-
+def stream_ingest(stream: DataFrame, log: str, checkpoint: str, order: list[str], late: str | None = None) -> None:
+    """Every arrival goes to the log, of each id in a micro-batch the last by ``order``. With
+    ``late`` (rows then carry family and fetched_at), rows that came after their look-back
+    are written there as well, so that they can be told and counted; none is dropped."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last_per_key(batch, ["id"], order).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        if late:
+            batch.filter(~on_time()).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
 
-def stream_ingest(stream: DataFrame, log: str, checkpoint: str) -> None:
-    run_available(dedupe_items(stream), checkpoint, log_batches(log))
+    run_available(stream, checkpoint, write)
 
 
 def ingested(spark: SparkSession, log: str) -> DataFrame:
-    """The item table: the latest written row per id, an older vector kept if it has none."""
+    """The item table: the newest version of each id by arrival, an older vector kept if it has none."""
     rows = read_log(spark, log)
     latest = last_per_key(rows.drop("embedding") if "embedding" in rows.columns else rows, ["id"], ["batch"])
     if "embedding" not in rows.columns:
@@ -106,31 +108,54 @@ def boosts_at(spark: SparkSession, log: str, epoch, as_of, half_life_days: float
 
 # --- engagement and sessions ------------------------------------------------------
 def running_engagement(stream: DataFrame, key: str, length: str = "36 hours", slide: str | None = "3 hours", delay: str = "1 hour") -> DataFrame:
-    """Counts and sums per key over sliding (or, without ``slide``, tumbling) windows; a
-    window is given once, when the watermark has passed it."""
+    """Counts and sums per key over sliding (or, without ``slide``, tumbling) windows. In
+    update mode every change of an open window is given, in append mode a window once,
+    when the watermark has passed it."""
     span = F.window("ts", length, slide) if slide else F.window("ts", length)
     return stream.withWatermark("ts", delay).groupBy(span, key).agg(
         F.count("*").alias("n"), F.sum("value").alias("total")
     ).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "total")
 
 
+def stream_engagement(stream: DataFrame, key: str, log: str, checkpoint: str, **spans) -> None:
+    run_available(running_engagement(stream, key, **spans), checkpoint, log_batches(log), "update")
+
+
+def engagement_now(spark: SparkSession, log: str, key: str) -> DataFrame:
+    """All windows as they stand, open ones included."""
+    return last_per_key(read_log(spark, log), [key, "start", "end"], ["batch"]).drop("batch")
+
+
+def sessions_now(closed: DataFrame, landed: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """All sessions as they stand: the closed ones the stream has given, and the open ones
+    out of the landed rows that lie in none of them."""
+    acts = landed.filter(F.col("signal").isin("click", "dwell"))
+    known = closed.select(F.col("user_id").alias("__user"), F.col("start").alias("__start"), F.col("end").alias("__end"))
+    rest = acts.join(known, (F.col("user_id") == F.col("__user")) & (F.col("ts") >= F.col("__start")) & (F.col("ts") < F.col("__end")), "left_anti")
+    return closed.unionByName(_sessions(rest, gap))
+
+
 def reading_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Clicks and dwell times of a reader up to a pause: the dwell signal's seconds are
     capped per event."""
     acts = stream.filter(F.col("signal").isin("click", "dwell"))
+    return _sessions(acts.withWatermark("ts", delay), gap)
+
+
+def _sessions(acts: DataFrame, gap: str) -> DataFrame:
     seconds = F.when(F.col("signal") == "dwell", F.least("value", F.lit(K.DWELL_CAP_SECONDS))).otherwise(F.lit(0.0))
-    return acts.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(
+    return acts.groupBy(F.session_window("ts", gap), "user_id").agg(
         F.count("*").alias("n"), F.sum(seconds).alias("dwell")
     ).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "dwell")
 
 
 # --- throttle ---------------------------------------------------------------------
 class Throttle(StatefulProcessor):
-    """Remembers the admitted times of a key, at most ``n``, and forgets a key that has
-    been quiet for longer than the window."""
+    """Remembers the admitted times of a key over the window and the lateness that the
+    watermark allows, and forgets a key that has been quiet for longer."""
 
-    def __init__(self, n: int, secs: int) -> None:
-        self.n, self.span = n, secs * 1_000_000
+    def __init__(self, n: int, secs: int, late_secs: int = 60) -> None:
+        self.n, self.span, self.slack = n, secs * 1_000_000, late_secs * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -142,16 +167,18 @@ class Throttle(StatefulProcessor):
         recent = [r[0] for r in self.recent.get()]
         out = []
         for t in hits["t"]:
-            recent = [x for x in recent if t - x <= self.span]
-            ok = len(recent) < self.n
+            # A late hit is judged by what had been admitted at its own time.
+            ok = sum(0 <= t - x <= self.span for x in recent) < self.n
             if ok:
-                recent.append(t)
+                insort(recent, t)
             out.append(ok)
+            newest = recent[-1] if recent else t
+            recent = [x for x in recent if newest - x <= self.span + self.slack]
         if recent:
             self.recent.put([(int(t),) for t in recent])
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(int((recent[-1] + self.span) // 1000) + 1)
+            self.handle.registerTimer(int((recent[-1] + self.span + self.slack) // 1000) + 1)
         yield pd.DataFrame({"id": hits["id"], "who": key[0], "t": hits["t"], "admitted": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -162,9 +189,9 @@ class Throttle(StatefulProcessor):
         pass
 
 
-def stream_throttle(stream: DataFrame, n: int = 60, secs: int = 60, delay: str = "1 minute") -> DataFrame:
+def stream_throttle(stream: DataFrame, n: int = 60, secs: int = 60, late_secs: int = 60) -> DataFrame:
     """``(id, who, t, admitted)`` for hits (id, who, ts): the streaming form of the throttle."""
-    rows = stream.withWatermark("ts", delay).select("id", "who", "ts", F.unix_micros("ts").alias("t"))
+    rows = stream.withWatermark("ts", f"{late_secs} seconds").select("id", "who", "ts", F.unix_micros("ts").alias("t"))
     return rows.groupBy("who").transformWithStateInPandas(
-        statefulProcessor=Throttle(n, secs), outputStructType="id long, who string, t long, admitted boolean",
+        statefulProcessor=Throttle(n, secs, late_secs), outputStructType="id long, who string, t long, admitted boolean",
         outputMode="Append", timeMode="EventTime")
