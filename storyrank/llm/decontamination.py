@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from storyrank.llm import scan
 
 TERMS = 8192
-RANK = 128
-SKETCH = 144
+RANK = 80
+SKETCH = 96
 SIGNS = 4  # entries of R in each row
-PASSAGE = 48  # words of a passage
-STEP = 24  # words from a passage to the next, in the search
+PASSAGE = 48  # words of a passage; half as many for items of at most SHORT words
+SHORT = 24
+STEP = 12  # words of a block; passages are two or four blocks and start at every one or two
 COMMON = 1 / 500  # terms with a larger share of all words are left out of the vectors
 NEAR = 0.4  # least cosine of a candidate
 SHARED = 0.5  # least weight of the item's terms in a candidate, as a share of what fits into a passage
@@ -226,11 +227,17 @@ class Searcher:
         for k, w in enumerate(self.items.words):
             terms = (w % np.uint64(TERMS)).astype(np.int64)
             self.own[terms, k] = self.weight[terms]
-        fits = np.array([min(1.0, (PASSAGE - STEP / 2) / len(w)) for w in self.items.words])
-        self.needed = SHARED * fits * self.own.sum(axis=0)
+        length = np.array([len(w) for w in self.items.words])
+        blocks = PASSAGE // STEP
         self.folded = self.vectors.astype(np.float32)
         self.item_places = [_places(w) for w in self.items.words]
         self.answer_places = [_places(w) for w in self.items.answers]
+        self.scales = []  # blocks of a passage, blocks from one to the next, items, weight they need
+        for wide, stride, chosen in ((blocks, blocks // 2, length > SHORT), (blocks // 2, blocks // 4, length <= SHORT)):
+            some = np.flatnonzero(chosen)
+            fits = np.minimum(1.0, (wide - stride / 2) * STEP / length[some])
+            if len(some):
+                self.scales.append((wide, stride, some, SHARED * fits * self.own[:, some].sum(axis=0)))
 
     def leaks(self, column: pa.Array) -> Iterator[tuple[int, int, float, float, float, int, int]]:
         """``(row, item, cosine, overlap, answer, first word, last word)``, one for each row and leaked item."""
@@ -242,31 +249,38 @@ class Searcher:
                 continue
             count = np.bincount(at, minlength=len(piece))
             first = np.cumsum(count) - count
-            n = np.maximum(0, -(-(count - PASSAGE) // STEP)) + 1  # passages of each text; the last one reaches its end
-            whose = np.repeat(np.arange(len(piece)), n)
-            start = first[whose] + STEP * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            stop = np.minimum(start + PASSAGE, first[whose] + count[whose])
-            low, high = np.searchsorted(place, start), np.searchsorted(place, stop)
-            some = np.flatnonzero(high - low >= 2)
-            for part in np.array_split(some, max(1, len(some) // 10_000)):
-                if not len(part):
-                    continue
-                lo, hi = low[part], high[part]
-                a, z = lo.min(), hi.max()
-                total = np.zeros((z - a + 1, self.folded.shape[1]), dtype=np.float64)
-                np.cumsum(self.folded[term[a:z]], axis=0, out=total[1:])
-                x = (total[hi - a] - total[lo - a]).astype(np.float32)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                cosine = x @ self.queries.T
-                near, item = np.nonzero(cosine >= NEAR)
-                size = (hi - lo)[near]
-                token = np.arange(int(size.sum())) + np.repeat(lo[near] - (np.cumsum(size) - size), size)
-                candidate = np.repeat(np.arange(len(near)), size)
-                shared = np.bincount(candidate, self.own[term[token], item[candidate]], len(near))
-                enough = shared >= self.needed[item]
-                near, item = near[enough], item[enough]
-                yield from self._checked(piece, hashes, first, count, whose[part[near]], item, cosine[near, item],
-                                         start[part[near]], stop[part[near]])
+            n_blocks = -(-count // STEP)
+            first_block = np.cumsum(n_blocks) - n_blocks
+            text = at[place]
+            block = first_block[text] + (place - first[text]) // STEP
+            size = int(n_blocks.sum())
+            sums = np.zeros((self.folded.shape[1], size + PASSAGE // STEP), dtype=np.float32)
+            for row, column in zip(sums, self.folded.T, strict=True):
+                row[:size] = np.bincount(block, column[term], size)
+            for wide, stride, items, needed in self.scales:
+                n = np.maximum(0, -(-(n_blocks - wide) // stride)) + 1  # passages of each text; the last reaches its end
+                whose = np.repeat(np.arange(len(piece)), n)
+                inner = stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                start = first[whose] + STEP * inner
+                stop = np.minimum(start + STEP * wide, first[whose] + count[whose])
+                low, high = np.searchsorted(place, start), np.searchsorted(place, stop)
+                some = np.flatnonzero(high - low >= 2)
+                for part in np.array_split(some, max(1, len(some) // 10_000)):
+                    x = np.zeros((len(part), len(sums)), dtype=np.float32)
+                    for k in range(wide):
+                        inside = inner[part] + k < n_blocks[whose[part]]
+                        x += sums[:, first_block[whose[part]] + inner[part] + k].T * inside[:, None]
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    cosine = x @ self.queries[items].T
+                    near, item = np.nonzero(cosine >= NEAR)
+                    tokens = (high - low)[part][near]
+                    token = np.arange(int(tokens.sum())) + np.repeat(low[part][near] - (np.cumsum(tokens) - tokens), tokens)
+                    candidate = np.repeat(np.arange(len(near)), tokens)
+                    shared = np.bincount(candidate, self.own[term[token], items[item[candidate]]], len(near))
+                    enough = shared >= needed[item]
+                    near, item = near[enough], item[enough]
+                    yield from self._checked(piece, hashes, first, count, whose[part[near]], items[item],
+                                             cosine[near, item], start[part[near]], stop[part[near]])
 
     def _checked(self, piece, hashes, first, count, rows, items, cosine, start, stop):
         order = np.lexsort((-cosine, items, rows))
