@@ -42,7 +42,7 @@ CONTEXT = {  # words in the last characters before a candidate
     "other": r"(?:version|\bv\.?$|isbn|order|invoice|page|token|key|id\b|no\.?$|#)",
 }
 BEFORE, AFTER = 24, 2
-PRECISION = 0.95
+PRECISION = 0.8  # against spans that passed only: the right ones among the others count as wrong here
 LEAST = 20  # accepted examples that a threshold rests on
 BINS = {"gen": 7, "length": 8, "digits": 8, "groups": 6, "parens": 2, "before": 4, "after": 4, "word": 6}
 MOST_ROWS = 2 * 2 * int(np.prod(list(BINS.values())))

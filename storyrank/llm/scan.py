@@ -24,7 +24,7 @@ LOWER[65:91] += 32
 
 @dataclass(frozen=True)
 class Piece:
-    """Consecutive texts: ``data`` holds their bytes with one blank after each."""
+    """Consecutive texts: ``data`` holds their bytes with one line feed after each."""
 
     first: int  # row of the batch
     data: np.ndarray
@@ -48,7 +48,7 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Piece]:
         n = stop - row
         lengths = np.diff(part)
         starts = part[:-1] - part[0] + np.arange(n)
-        data = np.full(int(part[-1] - part[0]) + n, 0x20, dtype=np.uint8)
+        data = np.full(int(part[-1] - part[0]) + n, 0x0A, dtype=np.uint8)
         inside = np.ones(len(data), dtype=bool)
         inside[starts + lengths] = False
         data[inside] = raw[part[0]:part[-1]]

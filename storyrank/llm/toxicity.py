@@ -41,7 +41,7 @@ LOOKALIKES = str.maketrans(
     "aeopcyxijsdhlrktbmhaeoptuiknbnxy" "0123456789")
 DIGITS = str.maketrans("0134578", "oieastb")
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "£": "l"}
-INNER_SIGN = re.compile(r"(?<=[^\W\d_])[@$!|€£](?=[^\W\d_])")
+INNER_SIGNS = re.compile(r"(?<=[^\W\d_])[@$!|€£]+(?=[^\W\d_])")
 NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -50,9 +50,10 @@ def folded(text: str | None) -> str:
     low = (text or "").lower()
     if not low.isascii():
         low = low.translate(LOOKALIKES)
+    low = low.translate(DIGITS)
     if any(s in low for s in SIGNS):
-        low = INNER_SIGN.sub(lambda m: SIGNS[m.group()], low)
-    return f" {NOT_WORD.sub(' ', low.translate(DIGITS))} "
+        low = INNER_SIGNS.sub(lambda m: "".join(SIGNS[c] for c in m.group()), low)
+    return f" {NOT_WORD.sub(' ', low).strip()} "
 
 
 @dataclass(frozen=True)

@@ -1,0 +1,279 @@
+"""Toxicity, quality, personal data, archives, leaks and the pipeline on small fixtures."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from storyrank.llm import boosting, decontamination, pii, quality, scan, toxicity, warc
+from storyrank.session import scratch
+from tests.llm.conftest import edge_rows, prose, rows, text_of
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def auc(score, y):
+    rank = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1.0
+    n = y.sum()
+    return (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+# --- toxicity and quality -----------------------------------------------------------
+@pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.8), (quality, "quality", 0.95)])
+def test_held_out_accuracy(spark, module, label, least):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    got = module.score(docs, labels).toPandas()
+    assert len(got) == docs.count() and got["score"].between(0, 1).all()
+    assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
+    known = got.merge(labels.toPandas(), on="doc_id").query("held_out")
+    assert auc(known["score"].to_numpy(), known[label].to_numpy()) > least
+    # Labels of the held-out fold are never used.
+    turned = labels.withColumn(label, F.when(toxicity.held_out(), 1 - F.col(label)).otherwise(F.col(label)))
+    again = module.score(docs, turned).toPandas()
+    assert (again.sort_values("doc_id")["score"].to_numpy() == got.sort_values("doc_id")["score"].to_numpy()).all()
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_scores_of_edge_cases(spark, make, module, label):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (4, 0), (None, 1), (6, None)], f"doc_id long, {label} int")
+    got = module.score(make(edge_rows(), clash=True), labels).collect()
+    assert len(got) == len(edge_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got)
+    assert module.score(make([]), labels).collect() == []
+    none = spark.createDataFrame([], f"doc_id long, {label} int")
+    assert len({r["score"] for r in module.score(make(edge_rows()[:5]), none).collect()}) == 1
+
+
+def test_folding_and_exceptions():
+    words = toxicity.Lexicon({" idiot ": 5.0, " scum": 3.0}, ("pond scum",), (-4.0, 2.0, 20.0, 2.0))
+    clean, plain, hidden, look, stem, excused = words.measures(
+        ["a kind word", "an idiot", "an 1d!0t", "an іdіоt", "such scumbags", "green pond scum"])[:, 1]
+    assert clean == excused == 0 and plain == hidden == look > stem > 0
+    long = words.scores(["idiot " + "word " * 5000, "idiot word"])
+    assert long[0] < long[1]
+    assert toxicity.folded(None) == "  " and toxicity.folded("50$ & a$$et!") == " so asset "
+
+
+def test_matching_against_plain_search():
+    rnd = random.Random(1)
+    lexicon = toxicity.Lexicon({f" {w} ": 1.0 + i for i, w in enumerate(prose(70, 12))}, ())
+    for _ in range(20):
+        words = [rnd.choice([*prose(70, 12), "other"]) for _ in range(40)]
+        text = toxicity.folded(" ".join(words))
+        total = sum(w for e, w in lexicon.weights.items() for s in range(len(text)) if text.startswith(e, s))
+        best = {}
+        for e, w in lexicon.weights.items():
+            for s in range(len(text)):
+                if text.startswith(e, s):
+                    best[s] = max(best.get(s, 0), w)
+        assert lexicon.measures([" ".join(words)])[0, 1] == pytest.approx(np.log1p(sum(best.values()))) and total >= 0
+
+
+def test_flat_trees_follow_each_row():
+    rnd = np.random.default_rng(2)
+    x = rnd.random((600, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
+    trees = boosting.fit(x, y, trees=40, depth=3)
+    assert ((trees.probability(x) > 0.5) == y).mean() > 0.97
+
+    def follow(row):
+        out = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (1 if row[f[node]] <= t[node] else 2)
+            out += v[node - len(f)]
+        return out
+
+    assert np.allclose([follow(r) for r in x[:50]], trees.margin(x[:50]))
+    assert boosting.fit(x[:0], y[:0]).probability(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_statistics_do_not_depend_on_pieces(monkeypatch):
+    column = pa.array([t for _, t, *_ in edge_rows()])
+    whole = quality.statistics(column)
+    monkeypatch.setattr(scan, "PIECE", 50)
+    parts = np.concatenate([quality.statistics(column.slice(k, 1)) for k in range(len(column))])
+    assert np.allclose(whole, parts) and np.isfinite(whole).all()
+    assert np.allclose(whole[0], 0) and np.allclose(whole[1], 0)
+    names = list(quality.NAMES)
+    row = quality.statistics(pa.array(["Ab ab ab, cd.\nCd 12"]))[0]
+    assert row[names.index("log_words")] == pytest.approx(np.log1p(6))
+    assert row[names.index("distinct_words")] == pytest.approx(5 / 6)
+    assert row[names.index("letterless_words")] == pytest.approx(1 / 6)
+
+
+def test_word_hashes():
+    (piece,) = scan.pieces(pa.array(["ab cd ab", None, "é x ab"]))
+    starts, ends = scan.spans(piece.data, scan.BLANKS)
+    words = [bytes(piece.data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+    assert words == ["ab", "cd", "ab", "é x", "ab"]
+    h = scan.hashes(piece.data, starts, ends)
+    assert h[0] == h[2] == h[4] and len(set(h.tolist())) == 3
+
+
+# --- personal data ------------------------------------------------------------------
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for n, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), n, m.end()))
+    return sorted(out)
+
+
+def test_base_spans(make):
+    texts = [
+        None, "", "é mail a.b@c.de and x@y, z@w.com_q@r.org", "a@b.c.d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1 0.00.000.0255",
+        "4111 1111 1111 1111 and 4111-1111-1111-1112", "call +1 (132) 555-1352 or +49 30 1 or +123456789012345678",
+        "+1 (132) 555-1352" * 3, "𝄞 card 4111111111111111, again 4111111111111111", "9" * 5000, "a" * 5000 + "@" + "b.c" * 500,
+        "1." * 300, "0" * 14, "x" * 50 + "@" * 20 + "y.z",
+    ]
+    data = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 0), (None, "me@you.org", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in pii.report(make(data, clash=True)).collect()}
+    assert len(got) == len(texts) + 1
+    for i, t, *_ in data:
+        spans, r = brute_spans(t or ""), got[i]
+        text = ",".join(f"{list(PATTERNS)[n]}:{a}:{b}" for a, n, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), t
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(n == k for _, n, _ in spans) for k in range(4)]
+        assert set(filter(None, text.split(","))) <= set(filter(None, r["spans"].split(",")))
+    assert pii.report(make([])).collect() == []
+
+
+def test_added_spans_and_redaction(make):
+    rnd = random.Random(5)
+    data = []
+    for i in range(400):
+        number = f"({rnd.randint(100, 999)}) {rnd.randint(100, 999)}-{rnd.randint(1000, 9999)}"
+        data.append((i, f"please phone {'+1 ' if i % 10 else ''}{number} today", "en", "s", 0))
+    data += [(1000 + i, f"order {rnd.randint(10, 99)}-{rnd.randint(100, 999)}-{rnd.randint(10, 99)} sent", "en", "s", 0) for i in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(make(data)).collect()}
+    assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(200))
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(make([*data, (5000, None, "en", "s", 0)])).collect()}
+    assert clean[0] == clean[1] == "please phone [phone] today" and clean[1000] == data[400][1] and clean[5000] is None
+
+
+# --- archives -----------------------------------------------------------------------
+def test_archive_round_trip(spark):
+    data = [(5, "http://a/ b", "same"), (2, None, "same"), (9, "http://c", None), (7, "http://d", ""), (1, "http://é", "𝄞 <p>"),
+            (3, "http://e", "x" * 300_000), (None, "http://f", "lost"), (5, "http://a/ b", "same"), (8, "u", "a\r\n\r\nb")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+    first = {}
+    for i, _, h in sorted((d for d in data if d[0] is not None), key=lambda d: d[0]):
+        first.setdefault(h or "", i)
+    for least in (0, 10):
+        want = []
+        for i, _, h in data:
+            if i is not None:
+                body = (h or "").encode()
+                to = first[h or ""] if first[h or ""] != i and len(body) >= least else None
+                want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(),
+                             "response" if to is None else "revisit", to))
+        assert rows(warc.round_trip(spark, pages, least)) == sorted(want, key=repr)
+    assert warc.round_trip(spark, pages.limit(0)).collect() == []
+
+
+def test_one_record_by_its_index(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 50) for i in range(60)], "page_id long, url string, html string")
+    folder = scratch(spark, "warc-test")
+    index = warc.archive(pages.coalesce(1), folder, frame=2000)
+    assert index.select("frame").distinct().count() > 10
+    (one,) = warc.read_bundles(index.filter("record_id = 37"), folder).collect()
+    assert bytes(one["payload"]).decode() == "page 37 " * 50 and one["url"] == "http://x/37"
+    with pytest.raises(Exception, match="seek table"):
+        warc.seek_table(pa.BufferReader(b"\0" * 40))
+
+
+# --- leaks and the pipeline -----------------------------------------------------------
+def test_subsequence():
+    rnd = random.Random(4)
+    for _ in range(30):
+        a, b = ([rnd.randint(0, 4) for _ in range(rnd.randint(1, 30))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        places = decontamination._places(np.array(a, dtype=np.uint64))
+        assert decontamination.common_subsequence(places, len(a), b) == table[-1][-1]
+
+
+def leak_fixture():
+    items = [(k, " ".join(prose(900 + k, 16 + 4 * k))) for k in range(8)]
+    docs, want = [], set()
+    for i in range(60):
+        words = prose(2000 + i, 180)
+        if i % 3 == 0:
+            k = i % 8
+            passage = items[k][1].split()
+            if i % 2:  # a paraphrase: every ninth word is another
+                passage = [w if n % 9 else "changed" for n, w in enumerate(passage, 1)]
+            words[50:50] = passage
+            want.add((i, k))
+        docs.append((i, text_of(words), "en", "s", 0))
+    return items, docs, want
+
+
+def test_leaks(spark, make):
+    items, docs, want = leak_fixture()
+    benchmark = spark.createDataFrame([*items, (98, None), (99, "")], "item_id long, text string")
+    frame = make([*docs, (100, None, "en", "s", 0), (101, "", "en", "s", 0)], clash=True).repartition(3)
+    found = decontamination.leaks(frame, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    blocks = decontamination.leaks(frame, benchmark, block=3).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in blocks} == want
+    kept = decontamination.clean(frame, benchmark)
+    assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - {i for i, _ in want} | {100, 101}
+    assert decontamination.leaks(make([]), benchmark).collect() == []
+    assert decontamination.leaks(frame, benchmark.limit(0)).collect() == []
+    assert decontamination.clean(frame, benchmark.limit(0)).count() == 62
+
+
+def test_pipeline_stages_keep_columns_and_clean_documents(spark, make, tmp_path):
+    items, docs, want = leak_fixture()
+    base = prose(1, 400)
+    copies = [(200 + k, text_of(base[:k * 7] + ["fresh"] + base[k * 7 + 1:], 1000), "en", "t", 0) for k in range(4)]
+    toxic = [(300 + i, text_of(prose(4000 + i, 60) + ["moron", "idiot"]), "en", "s", 0) for i in range(40)]
+    # One window of lines comes again in document 400; it keeps the rest.
+    again = [(400, docs[1][1].rsplit("\n", 11)[0] + "\n" + text_of(prose(77, 120)), "en", "u", 0)]
+    make([*docs, *copies, *toxic, *again, (500, None, "en", "s", None), (501, "", "en", None, 0)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 300)) for i in [*range(60), *range(300, 330)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        frame = spark.read.parquet(f"{tmp_path}/{k}")
+        assert frame.columns == corpus_pipeline.COLUMNS + (["copy"] if k == 4 else [])
+        seen[name] = {r["doc_id"]: r["text"] for r in frame.collect()}
+    clean = {d[0] for d in docs} | {200, 400, 500}
+    assert set(seen["toxicity"]) == clean | {201, 202, 203, 501}
+    kept = seen["line_dedup"]
+    assert set(kept) == set(seen["toxicity"]) and len(kept[400]) < len(again[0][1]) and kept[400].endswith(text_of(prose(77, 120))[-200:])
+    assert set(seen["simhash_near_dedup"]) == clean
+    assert set(seen["simhash_near_dedup"]) - set(seen["benchmark_decontamination"]) == {i for i, _ in want}
+    assert set(seen["source_mixing"]) <= set(seen["benchmark_decontamination"])
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(r["doc_id"] for r in frame.collect())
