@@ -45,7 +45,7 @@ stories as (select day, sid as id, arg_max(title, (score, -item_no)) as title, a
 {BOOST_SQL.strip()},
 sc as (select day, id, title, family, round({IMPORTANCE_SQL}, 6)::double as importance,
   round(0.5 * {IMPORTANCE_SQL} + 0.1 * least(1.0, case when family = 'academia' then 1.0 else 0.0 end + 0.5 * {FAMILY_WEIGHT_SQL})
-    + coalesce(boost, 0.0) - case when contains(lower(title), 'crypto') or contains(lower(title), 'ai doomerism drama') or contains(lower(title), 'low-effort agent-framework hype') then 0.5 else 0.0 end, 6)::double as final_rank
+    + coalesce(boost, 0.0), 6)::double as final_rank
   from stories left join boosts on target_id = id),
 tops as (select day, max(importance) as top_importance, max(final_rank) as top_rank, max(importance) < 0.32 as quiet from sc group by 1),
 tg as (select s.*, quiet, top_importance, {tier_sql()} as tier from sc s join tops using (day)),
@@ -107,10 +107,22 @@ def pip_02(spark, d):
 
 @query("PIP-03")
 def pip_03(spark, d):
-    stories, _ = processed(spark, d)
-    out = jobs.daily(stories, runs(spark, d))
-    return out.select("id", "overall_tier", "quiet_day", "tldr", F.size("sections").alias("n_sections"),
-                      F.size("story_ids").alias("n_stories"))
+    """The whole daily run: links, prompts, answers, grounding, folded sources, stored tiers
+    and an idempotent write of the digests."""
+    stories, bridge = processed(spark, d)
+    model = EchoModel({"takeaway": "string", "why_it_matters": "string", "tags": "strings", "tldr": "string"})
+    digests, tagged = jobs.daily_run(stories, bridge, fx.items(spark, d), runs(spark, d), FIXTURE_PROFILE, model, ["the", "and"])
+    saved = jobs.store_digests(digests.limit(0).transform(jobs.digest_table), digests)
+    twice = jobs.store_digests(saved, digests)
+    every = F.flatten(F.transform("sections", lambda s: s["summaries"]))
+    shown = digests.select(
+        "id", "overall_tier", "quiet_day", "tldr", F.size("sections").alias("n_sections"),
+        F.size("story_ids").alias("n_stories"),
+        F.size(F.flatten(F.transform(every, lambda m: m["links"]))).alias("n_links"),
+        F.size(F.filter(every, lambda m: m["takeaway"] != "")).alias("n_takeaways"))
+    tiers = tagged.groupBy(F.concat(F.lit("daily-"), F.col("day").cast("string")).alias("id")).agg(
+        F.count(F.lit(1)).alias("n_tagged"), F.sum((F.col("tier") == "notable").cast("int")).alias("n_notable"))
+    return shown.join(tiers, "id", "left").join(twice.groupBy("id").agg(F.count(F.lit(1)).alias("n_saved")), "id")
 
 
 @query("PIP-04")

@@ -13,12 +13,12 @@ from storyrank.functions.vectors import centroid
 from storyrank.operators import evaluation as ev
 from storyrank.operators import filters as fl
 from storyrank.operators import ranking as rk
-from storyrank.operators.clustering import cluster_stories, fold_leads, modal_family
+from storyrank.operators.clustering import cluster_stories, fold_leads, folded_mentions, modal_family
 from storyrank.operators.feedback import interest_vector, signal_weight
 from storyrank.operators.grouping import exact_rank, first_per_key, top_n
 from storyrank.operators.inference import Embedder, Model, embed_missing, infer
 from storyrank.operators.lookup import enrich_metrics
-from storyrank.operators.tables import append_eval, export_notes, save_state, upsert_items
+from storyrank.operators.tables import append_eval, export_notes, save_digests, save_state, upsert_items
 from storyrank.params import Profile
 from storyrank.plans import assemble as asm
 from storyrank.plans import prompts as pr
@@ -175,6 +175,79 @@ def daily(stories: DataFrame, runs: DataFrame, tiers: dict | None = None, lead_t
     return asm.assemble_daily(report, days.withColumn("day_tier", F.coalesce("day_tier", F.lit("quiet_day"))))
 
 
+TLDR_TEMPLATE = (
+    "Sum up the day in one line of at most 200 characters, naming only what is listed.\n{titles}\n\n"
+    'Answer with JSON: {"tldr": "..."}'
+)
+
+
+def merged_members(bridge: DataFrame, folded: DataFrame | None) -> DataFrame:
+    """``(story_id, item_id, pos)``: a kept lead's own items, then those of the leads folded into it."""
+    own = bridge.select("story_id", "item_id", F.col("pos").cast("bigint").alias("pos")).distinct()
+    if folded is None:
+        return own
+    under = folded.filter("id <> lead_id").select(F.col("id").alias("story_id"), "lead_id").distinct()
+    moved = own.join(under, "story_id").select(F.col("lead_id").alias("story_id"), "item_id", (F.col("pos") + (1 << 32)).alias("pos"))
+    return own.unionByName(moved).groupBy("story_id", "item_id").agg(F.min("pos").alias("pos"))
+
+
+def story_summaries(rows: DataFrame, members: DataFrame, items: DataFrame, profile: Profile, model: Model,
+                    catalogue: list[str], n_links: int = 3) -> DataFrame:
+    """``(id, links, takeaway, why_it_matters, tags)`` of the report's stories: prompts from
+    their sources, the model's answers grounded in them, their links."""
+    first = first_per_key(rows.select("id", "title", "family", "tier", "mention_count", "representative_item_id"),
+                          ["id"], ["tier", "title"])
+    placed = stage(members.join(first.select(F.col("id").alias("story_id")), "story_id", "left_semi"))
+    bodies = placed.join(items.select(F.col("id").alias("item_id"), "raw_text"), "item_id")
+    thin = fl.with_thin_flag(first.withColumnRenamed("id", "story_id"), bodies).withColumnRenamed("story_id", "id")
+    blocks = asm.source_blocks(first, placed, items)
+    prompts = pr.prompt_rows(thin, blocks, list(profile.subfields))
+    asked = prompts.filter(F.col("prompt").isNotNull()).select("story_id", "gen_tier", "prompt")
+    answers = infer(asked, model).join(blocks, "story_id").join(first.select(F.col("id").alias("story_id"), "title"), "story_id")
+    written = pr.response_rows(answers.withColumnRenamed("block", "ground"), catalogue)
+    quiet = prompts.filter(F.col("prompt").isNull()).select("story_id", "takeaway")
+    every = written.unionByName(quiet, allowMissingColumns=True)
+    links = asm.story_links(first, placed, items, n_links)
+    return every.join(links, "story_id", "full").withColumnRenamed("story_id", "id")
+
+
+def daily_run(
+    stories: DataFrame, bridge: DataFrame, items: DataFrame, runs: DataFrame, profile: Profile, model: Model,
+    catalogue: list[str], lead_threshold: float = K.LEAD_COSINE,
+) -> tuple[DataFrame, DataFrame]:
+    """(digests, tagged stories) of all days: tiers, folded leads with their sources, links,
+    takeaways and the day's line out of the model's answers."""
+    rows = stories.withColumnRenamed("run_day", "day")
+    tagged = stage(rk.classify_stories(rows, profile.tiers))
+    leads = asm.leads_of(tagged).withColumn("pos", asm.lead_key())
+    folded = stage(fold_leads(leads, lead_threshold))
+    tops = asm.top_stories(tagged, folded)
+    links = bridge.select("run_day", "story_id", "item_id", "pos")
+    counts = folded_mentions(folded, links.select(F.col("run_day").alias("day"), "story_id", "item_id"))
+    tops = tops.join(counts.select("day", F.col("lead_id").alias("id"), F.col("mention_count").alias("__n")), ["day", "id"], "left")
+    tops = stage(tops.withColumn("mention_count", F.coalesce("__n", "mention_count")).drop("__n"))
+    report = stage(asm.section_rows(tops, asm.briefs(asm.non_leads(tagged, tops, folded))))
+    told = story_summaries(report, merged_members(bridge, folded), items, profile, model, catalogue)
+    titles = asm.grounding_titles(report)
+    line = pr.fill(TLDR_TEMPLATE, {"titles": F.array_join("titles", "\n")})
+    said = infer(titles.select("day", line.alias("prompt")), model)
+    tldrs = said.select("day", F.try_variant_get(X.parse_json_obj("response"), "$.tldr", "string").alias("tldr"))
+    days = runs.select(F.col("run_day").alias("day")).join(rk.day_summary(rows, profile.tiers), "day", "left")
+    days = days.withColumn("day_tier", F.coalesce("day_tier", F.lit("quiet_day")))
+    return asm.assemble_daily(report.join(told, "id", "left"), days, tldrs=tldrs), tagged
+
+
+def digest_table(digests: DataFrame) -> DataFrame:
+    """Nested digests as rows of the digest table, the report in one JSON column."""
+    return digests.select("id", "kind", F.col("date").cast("date").alias("date"), F.col("overall_tier").alias("tier"),
+                          F.col("quiet_day").alias("quiet"), F.to_json(F.struct("tldr", "sections", "story_ids")).alias("content"))
+
+
+def store_digests(table: DataFrame, digests: DataFrame) -> DataFrame:
+    """The digest table after the run; running it again changes nothing."""
+    return save_digests(table, digest_table(digests))
+
+
 # --- weekly -----------------------------------------------------------------------
 WEEKLY_TEMPLATE = (
     "Draft {n} of {total} of the issue for the week of {week_of} ({tier}, quiet: {quiet}).\n"
