@@ -15,7 +15,8 @@ from storyrank.operators import ranking as rk
 from storyrank.operators.grouping import exact_rank
 from storyrank.plans import assemble as asm
 from storyrank.plans.render import note_tags
-from storyrank.sources.landing import union_sources
+from storyrank.session import scratch
+from storyrank.sources.landing import gather_sources
 
 
 @query("WIN-01", with_views("""
@@ -239,8 +240,9 @@ def set_01(spark, d):
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), "url")
     plain = fx.table(spark, d, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "lang")
-    failed = web.limit(0)  # a source that gave nothing
-    return union_sources([web, failed, plain])
+    never = scratch(spark, "never-landed")
+    rows, _ = gather_sources(spark, {"web": lambda: web, "failed": lambda: spark.read.parquet(never), "plain": lambda: plain})
+    return rows
 
 
 @query("SET-02", with_views(f"with {BRIEFS_SQL.strip()} select day, id from rest", "doc_stories"))

@@ -256,6 +256,7 @@ def similar_items(
         def scan(batches):
             import pandas as pd
 
+            best: dict = {}  # of each query the nearest so far, so a task sends k rows a query
             for pdf in batches:
                 dims = pdf["embedding"].map(len)
                 out = []
@@ -265,7 +266,11 @@ def similar_items(
                         unit = unit_rows(np.nan_to_num(np.vstack(part["embedding"].to_numpy()).astype(np.float64),
                                                        nan=0.0, posinf=0.0, neginf=0.0))
                         out += _top_block(q_ids, q_unit, part["id"].tolist(), unit, k)
-                yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
+                for query, other, near in out:
+                    best.setdefault(query, []).append((-near, other))
+                best = {q: sorted(found)[:k] for q, found in best.items()}
+            yield pd.DataFrame([(q, other, -near) for q, found in best.items() for near, other in found],
+                               columns=["query_id", "id", "similarity"])
 
         found = rows.mapInPandas(scan, schema)
     else:

@@ -4,6 +4,9 @@ id, source, family, url, title, author, published_at, raw_text, metrics, raw.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -357,6 +360,21 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def gather_sources(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(rows of all sources, audit ``source, read, reason``). A source that cannot be read,
+    such as a folder that never landed, gives no rows and its reason instead of failing the run."""
+    frames, audit = [], []
+    for name, read in readers.items():
+        try:
+            frames.append(read())
+            audit.append((name, True, None))
+        except AnalysisException as exc:
+            audit.append((name, False, exc.getCondition()))
+    if not frames:
+        raise ValueError(f"no source could be read: {audit}")
+    return union_sources(frames), spark.createDataFrame(audit, "source string, read boolean, reason string")
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
     """All sources by column name; a missing column reads as NULL."""
     out = frames[0]

@@ -1,12 +1,14 @@
 """Plug-in sources as a Spark data source: ``spark.read.format("landed_items")``.
 
-A reader is a function from one landed file's bytes to raw records. Files are the
-partitions; a record that cannot be mapped is skipped, not raised.
+A reader is a function from one landed file, open as a binary stream, to raw records.
+Files are the partitions and are read as a stream; a record that cannot be parsed or mapped
+is skipped, not raised.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 from collections.abc import Callable, Iterator
 from datetime import datetime
@@ -14,7 +16,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-Reader = Callable[[bytes], Iterator[dict]]
+Reader = Callable[[io.RawIOBase], Iterator[dict]]
 READERS: dict[str, Reader] = {}
 
 SCHEMA = (
@@ -32,10 +34,13 @@ def source_reader(name: str) -> Callable[[Reader], Reader]:
 
 
 @source_reader("json_lines")
-def json_lines(data: bytes) -> Iterator[dict]:
-    for line in data.decode("utf-8").splitlines():
-        if line.strip():
+def json_lines(stream: io.RawIOBase) -> Iterator[dict]:
+    """One record a line; blank lines and lines that are no JSON give none."""
+    for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace"):
+        try:
             yield json.loads(line)
+        except ValueError:
+            continue
 
 
 def _filesystem(path: str):
@@ -69,14 +74,13 @@ class LandedItemsReader(DataSourceReader):
     def read(self, partition: LandedFile) -> Iterator[tuple]:
         files, _ = _filesystem(self.path)
         with files.open_input_stream(partition.path) as stream:
-            data = stream.read()
-        for record in self.reader(data):
-            try:
-                row = self._row(record)
-            except (AttributeError, KeyError, TypeError, ValueError):
-                continue
-            if row is not None:
-                yield row
+            for record in self.reader(stream):
+                try:
+                    row = self._row(record)
+                except (AttributeError, KeyError, TypeError, ValueError):
+                    continue
+                if row is not None:
+                    yield row
 
     def _row(self, record: dict):
         title = (record.get("title") or "").strip()

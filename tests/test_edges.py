@@ -14,7 +14,7 @@ from storyrank.operators.lookup import enrich_metrics, richer_body
 from storyrank.operators.similarity import similar_pairs
 from storyrank.operators.tables import upsert
 from storyrank.plans.jobs import run_days
-from storyrank.sources.landing import admit_hn
+from storyrank.sources.landing import admit_hn, gather_sources
 from storyrank.sources.scans import list_digests
 from storyrank.streaming.jobs import Throttle
 
@@ -115,3 +115,19 @@ def test_a_late_hit_is_judged_by_its_own_time():
     assert list(next(throttle.handleInputRows(("k",), batch(100), None))["admitted"]) == [True]
     assert list(next(throttle.handleInputRows(("k",), batch(80), None))["admitted"]) == [True]
     assert list(next(throttle.handleInputRows(("k",), batch(85, 105), None))["admitted"]) == [False, False]
+
+
+def test_a_missing_source_is_recorded(spark, tmp_path):
+    rows, audit = gather_sources(spark, {
+        "here": lambda: spark.range(2), "gone": lambda: spark.read.parquet(f"{tmp_path}/gone")})
+    assert rows.count() == 2
+    assert {(r["source"], r["read"]) for r in audit.collect()} == {("here", True), ("gone", False)}
+
+
+def test_a_bad_line_is_skipped(spark, tmp_path):
+    from storyrank.sources.plugin import register_source
+
+    register_source(spark)
+    (tmp_path / "a.json").write_text('{"title": "one"}\nnot json\n\n[1]\n{"title": "two"}\n')
+    got = spark.read.format("landed_items").load(str(tmp_path))
+    assert sorted(r["title"] for r in got.collect()) == ["one", "two"]
