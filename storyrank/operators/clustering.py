@@ -16,7 +16,7 @@ from storyrank.operators.grouping import exact_rank
 from storyrank.operators.similarity import BLOCK_ROWS, has_direction, link_edges, similar_pairs
 from storyrank.session import ensure_checkpoint_dir, stage
 
-MAX_COMPONENT = 3000
+MAX_EDGES = 200_000  # allowed pairs of a component that one task merges
 
 
 def dedup_groups(
@@ -68,7 +68,8 @@ def link_nodes(profile: DataFrame, within: list[str]) -> tuple[DataFrame, DataFr
     always end up together, so they stand as one node; papers without an id never join
     another paper and stay single (``solo``)."""
     solo = (F.col("p.family") == "academia") & F.col("p.paper").isNull()
-    sig = F.sha2(F.to_json(F.struct(*within, "embedding", "p")), 256)
+    parts = [*within, "embedding", "p"]
+    sig = F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(7), *parts)))
     marked = profile.withColumn("solo", F.coalesce(solo, F.lit(False))).withColumn(
         "sig", F.when(
             F.col("solo") | ~has_direction("embedding"), F.concat(F.lit("id:"), F.col("id").cast("string"))
@@ -158,24 +159,24 @@ def _complete_link_rounds(edges: DataFrame) -> DataFrame:
 
 def cluster_stories(
     items: DataFrame, threshold: float = K.STORY_COSINE, within: list[str] | None = None,
-    max_component: int = MAX_COMPONENT, block_rows: int = BLOCK_ROWS,
+    max_edges: int = MAX_EDGES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(id, group)``: complete-link clusters under the link rules.
 
     A group lies inside one connected component of the allowed pairs, so components are
-    clustered apart: up to ``max_component`` nodes in one task, larger ones in rounds over
+    clustered apart: up to ``max_edges`` pairs in one task, larger ones in rounds over
     the whole cluster. ``within`` (the day) keeps windows from meeting.
     """
     within = within or []
     nodes, owner = link_nodes(stage(link_profile(items, within)), within)
     edges = stage(allowed_edges(stage(nodes), threshold, within, block_rows))
     found = connected_components(edges)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    placed = edges.join(found.select(F.col("id").alias("id_a"), "component"), "id_a").join(sizes, "component")
+    placed = edges.join(found.select(F.col("id").alias("id_a"), "component"), "id_a")
+    placed = placed.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component")
     kind = items.schema["id"].dataType.simpleString()
-    small = placed.filter(F.col("size") <= max_component).groupBy("component").applyInPandas(
+    small = placed.filter(F.col("size") <= max_edges).groupBy("component").applyInPandas(
         lambda pdf: _complete_link(pdf), f"node {kind}, group {kind}")
-    big = placed.filter(F.col("size") > max_component)
+    big = placed.filter(F.col("size") > max_edges)
     grouped = small if big.isEmpty() else small.unionByName(_complete_link_rounds(big))
     return owner.join(grouped, "node", "left").select("id", F.coalesce("group", "node").alias("group"))
 
@@ -267,7 +268,7 @@ def fold_leads(
     rows = leads.select(*keys, "id", "embedding", order, top.alias("solo"))
     # Equal vectors outside the breakthroughs share their fate with the best-ranked copy.
     sig = F.when(F.col("solo") | ~has_direction("embedding"), F.col("id").cast("string")).otherwise(
-        F.sha2(F.to_json(F.struct(*keys, "embedding")), 256))
+        F.concat_ws("-", F.hex(F.xxhash64(*keys, "embedding")), F.hex(F.xxhash64(F.lit(7), *keys, "embedding"))))
     marked = stage(rows.withColumn("sig", sig))
     heads = marked.groupBy(*keys, "sig").agg(F.min_by("id", order).alias("head"), F.min(order).alias("head_pos"))
     nodes = marked.join(heads.select(*keys, F.col("head").alias("id"), F.col("head_pos")), [*keys, "id"])

@@ -111,8 +111,8 @@ def clusters(df):
 
 
 @pytest.mark.parametrize("seed", [5, 6, 7])
-@pytest.mark.parametrize("max_component", [3000, 2])
-def test_complete_link_equals_greedy(spark, seed, max_component):
+@pytest.mark.parametrize("max_edges", [200_000, 2])
+def test_complete_link_equals_greedy(spark, seed, max_edges):
     mat = vectors(40, 5, seed)
     sim = cosines(mat)
     rnd = random.Random(seed)
@@ -122,7 +122,7 @@ def test_complete_link_equals_greedy(spark, seed, max_component):
         if src[i] == src[j]:
             sim[i, j] = sim[j, i] = -1.0
     want = sorted(tuple(f"i{k:03d}" for k in g) for g in greedy(sim, 0.7))
-    got = clusters(cl.cluster_stories(items_of(spark, mat, fields), 0.7, max_component=max_component, block_rows=11))
+    got = clusters(cl.cluster_stories(items_of(spark, mat, fields), 0.7, max_edges=max_edges, block_rows=11))
     assert got == want
 
 
