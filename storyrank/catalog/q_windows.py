@@ -47,7 +47,23 @@ def win_02(spark, d):
     return exact_rank(leads, ["day"], rk.lead_order()).select("day", "id", "pos")
 
 
-@query("WIN-03")
+# One step per lead of a day, in rank order, carrying the places of the kept leads.
+FOLD_SQL = f"""
+{LEADS_SQL.strip()},
+placed as (select k.day, k.id, k.pos, k.tier, v.embedding::double[] as e from ranked k left join embeddings v on v.vec_id = k.doc_id),
+near as (select b.day, b.pos, list(a.pos) as earlier from placed a join placed b on a.day = b.day and a.pos < b.pos
+  where list_cosine_similarity(a.e, b.e) >= 0.25 and not (a.tier = 'breakthrough' and b.tier = 'breakthrough') group by 1, 2),
+steps as (select p.day, p.id, p.pos, coalesce(n.earlier, []) as earlier from placed p left join near n using (day, pos)),
+folded(day, id, pos, kept, under) as (
+  select day, id, pos, [pos], pos from steps where pos = 1
+  union all
+  select day, id, pos, case when first is null then list_append(kept, pos) else kept end, coalesce(first, pos)
+  from (select s.day, s.id, s.pos, f.kept, list_min(list_intersect(f.kept, s.earlier)) as first
+        from folded f join steps s on s.day = f.day and s.pos = f.pos + 1))"""
+
+
+@query("WIN-03", with_views(f"""with {FOLD_SQL.strip()}
+select f.day, f.id, l.id as lead_id from folded f join placed l on l.day = f.day and l.pos = f.under""", "doc_stories", recursive=True))
 def win_03(spark, d):
     """Leads of each day folded at a threshold that fits the fixture vectors."""
     rows = tagged(spark, d)
