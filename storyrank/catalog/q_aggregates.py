@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyrank import fixtures as fx
 from storyrank.catalog.q_filters import GATE_SQL, RELEASE_SQL, gated
 from storyrank.catalog.q_joins import (
-    BOOST_SQL, PAIRS_SQL, PUBLISHED_SQL, WEIGHTS_SQL, published, vector_items, vector_stories,
+    BOOST_SQL, ITEM_PAIRS_SQL, PAIRS_SQL, PUBLISHED_SQL, WEIGHTS_SQL, published, vector_items, vector_stories,
 )
 from storyrank.catalog.q_signals import (
     FAMILY_WEIGHT_SQL, IMPORTANCE_SQL, RUBRIC_SQL, STORIES_SQL, rubric_scores, stories,
@@ -84,7 +84,35 @@ def agg_03(spark, d):
     return cl.order_groups(label_members(spark, d))
 
 
-@query("AGG-04")
+# One merge a step. The state is the list of pairs that may still merge, best first (a pair is
+# named by its groups' smallest ids), and the merges so far; a third group stays near a
+# merged one only if it was near both parts, at the smaller similarity.
+COMPLETE_SQL = f"""
+{ITEM_PAIRS_SQL.strip()},
+open as (select list_sort(list({{'n': -similarity, 'a': id_a, 'b': id_b}})) as pairs from item_pairs
+  where not blocked and similarity >= {fx.CLUSTER_AT}),
+merge(step, pairs, x, y) as (
+  select 0, pairs, null::varchar, null::varchar from open
+  union all
+  select step + 1, list_sort(list_concat(
+      list_filter(pairs, lambda e: not list_contains([e.a, e.b], x) and not list_contains([e.a, e.b], y)),
+      list_transform(
+        list_filter(near_x, lambda u: len(list_filter(near_y, lambda v: v.c = u.c)) > 0),
+        lambda u: {{'n': greatest(u.n, list_filter(near_y, lambda v: v.c = u.c)[1].n), 'a': least(x, u.c), 'b': greatest(x, u.c)}}))),
+    x, y
+  from (select *,
+      list_transform(list_filter(pairs, lambda e: (e.a = x) <> (e.b = x) and e.a <> y and e.b <> y),
+        lambda e: {{'c': case when e.a = x then e.b else e.a end, 'n': e.n}}) as near_x,
+      list_transform(list_filter(pairs, lambda e: (e.a = y) <> (e.b = y) and e.a <> x and e.b <> x),
+        lambda e: {{'c': case when e.a = y then e.b else e.a end, 'n': e.n}}) as near_y
+    from (select step, pairs, pairs[1].a as x, pairs[1].b as y from merge where len(pairs) > 0))),
+up(id, grp) as (
+  select id, id from p
+  union all
+  select up.id, m.x from up join merge m on m.y = up.grp)"""
+
+
+@query("AGG-04", with_views(f"""with {COMPLETE_SQL.strip()} select id, min(grp) as "group" from up group by id""", "items", recursive=True))
 def agg_04(spark, d):
     """Complete-link clusters under the link rules over all items with a vector."""
     return cl.cluster_stories(vector_items(spark, d), fx.CLUSTER_AT)
