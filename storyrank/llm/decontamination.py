@@ -41,6 +41,7 @@ SHARED = 0.5  # least weight of the item's terms in a candidate, as a share of w
 SAME = 0.8  # common subsequence, as a share of the item's words, that is a leak by itself
 PARAPHRASE = 0.65  # and that is one if the answer is there as well
 ANSWER = 0.8  # share of the answer's words that must be there in order
+ROWS = 1000  # rows of a batch that are searched, and sent on, at once
 BLOCK = 2000  # items that are searched for at once
 SEED = 20240
 
@@ -308,6 +309,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_
               item_text: str = "text", answer_col: str | None = None, block: int = BLOCK) -> Iterator[Searcher]:
     """One fitted searcher for each block of items; items are read in blocks of bounded size,
     so a large benchmark costs more scans, not more memory."""
+    scan.small_batches(docs.sparkSession)
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(item_text).alias("t"), answer.alias("a"))
     blocks = max(1, -(-rows.count() // block))
@@ -361,10 +363,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
             searcher.prepare()
             for batch in batches:
-                keep = np.ones(len(batch), dtype=bool)
-                for f in searcher.leaks(batch.column(batch.schema.get_field_index(text_col))):
-                    keep[f[0]] = False
-                yield batch.filter(pa.array(keep))
+                for start in range(0, len(batch), ROWS):
+                    part = batch.slice(start, ROWS)
+                    keep = np.ones(len(part), dtype=bool)
+                    for f in searcher.leaks(part.column(part.schema.get_field_index(text_col))):
+                        keep[f[0]] = False
+                    yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(run, out.schema)
     return out

@@ -77,9 +77,7 @@ def signs(vector: str) -> Column:
     out = []
     for n in range(HASHES):
         for bit in range(64):
-            packed = F.col(f"{vector}.s{n}_{bit % 32}")
-            count = F.shiftrightunsigned(packed, 32) if bit >= 32 else packed.bitwiseAND(F.lit(FULL - 1))
-            out.append((2 * count - F.col(f"{vector}.n")).cast("double"))
+            out.append((2 * bit_count_of(f"{vector}.s{n}_", bit) - F.col(f"{vector}.n")).cast("double"))
     return F.array(*out)
 
 

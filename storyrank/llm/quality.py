@@ -110,6 +110,7 @@ def learn(rows: DataFrame, trees: int = 120) -> boosting.Trees:
 
 def with_scores(docs: DataFrame, trees: boosting.Trees, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the likelihood of label 1 for every row; one scan, no shuffle."""
+    scan.small_batches(docs.sparkSession)
     kept = docs.drop(name)
     schema = kept.withColumn(name, F.lit(0.0)).schema
 

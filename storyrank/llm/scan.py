@@ -22,6 +22,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def small_batches(spark) -> None:
+    """Texts go to Python a few MB at a time, so that a batch, its copies and the JVM's buffers
+    stay small beside an executor's heap. Values that the session has set itself stay."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
+
+
 @dataclass(frozen=True)
 class Piece:
     """Consecutive texts: ``data`` holds their bytes with one line feed after each."""
@@ -37,8 +46,10 @@ class Piece:
 
 def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Piece]:
     """The column's texts in order; null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1] or bytes(8), dtype=wide)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     body = column.buffers()[2]
     raw = np.frombuffer(body, dtype=np.uint8) if body is not None else np.empty(0, dtype=np.uint8)
     row = 0

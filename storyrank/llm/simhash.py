@@ -11,7 +11,6 @@ a group of copies leaves as many rows as it has members, never its pairs.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,9 @@ from storyrank.llm.text import ascii_lower, bit_count_of, bit_sums, whole, words
 from storyrank.operators.components import connected_components
 from storyrank.session import stage
 
-TILE = 2048
+TILE = 4096
+STRIP = 256  # rows of a tile that are compared at once
+TASK = 4 * TILE * TILE  # comparisons for one task
 FINE_FROM = 20_000_000  # distinct fingerprints from which eight segments pay for their copies
 
 
@@ -77,25 +78,26 @@ def _offsets(segments: int, width: int, radius: int, classes: bool) -> list[tupl
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of ``a`` followed by those of ``b``: indices not at their root, and the roots."""
-    rows, cols = [], []
-    for start in range(0, len(a), 256):
-        far = np.zeros((min(256, len(a) - start), len(b)), dtype=np.uint16)
+    """For rows of ``a`` followed by those of ``b``: indices not at their root, and the roots.
+
+    A strip of rows at a time is compared and its links are contracted at once, so a tile
+    in which everything is alike holds one strip's links and no more.
+    """
+    label = np.arange(len(a) + len(b))
+    for start in range(0, len(a), STRIP):
+        far = np.zeros((min(STRIP, len(a) - start), len(b)), dtype=np.uint16)
         for k in range(a.shape[1]):
-            far += np.bitwise_count(a[start:start + 256, k, None] ^ b[None, :, k])
+            far += np.bitwise_count(a[start:start + STRIP, k, None] ^ b[None, :, k])
         i, j = np.nonzero(far <= radius)
-        rows.append(i + start)
-        cols.append(j + len(a))
-    i, j = np.concatenate(rows), np.concatenate(cols)
-    label = np.arange(len(a) + len(b))
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
+        i, j = label[i + start], label[j + len(a)]
+        while (open_ := i != j).any():
+            low, high = np.minimum(i[open_], j[open_]), np.maximum(i[open_], j[open_])
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+            i, j = label[low], label[high]
+            again = i != j  # a high end that went to another root
+            i, j = i[again], j[again]
     moved = np.nonzero(label != np.arange(len(label)))[0]
     return moved, label[moved]
 
@@ -159,12 +161,21 @@ def links(prints: DataFrame, radius: int, segments: int = 4, width: int = 1,
     tiles = stage(tiles)
     steps = _offsets(segments, width, radius, size_class is not None)
     known = F.explode(F.array(*[F.array(*[F.lit(int(x)) for x in s]) for s in steps]))
+    # How many tiles each cell has is known, so a tile goes to each tile it meets under that
+    # tile's own key: no cell, however full, is one task.
+    cells = stage(counts.join(tiles.groupBy("cell").agg(F.sum(F.size("tile")).alias("rows")), "cell")
+                  .withColumnRenamed("cell", "to"))
     left = tiles.select("cell", F.col("no").alias("no_a"), F.col("tile").alias("tile_a"), known.alias("step"))
     left = left.select(
         F.zip_with("cell", "step", lambda c, s: c + s).alias("to"),
         F.forall("step", lambda s: s == 0).alias("own"), "no_a", "tile_a")
+    met = left.join(cells, "to")
+    work = met.agg(F.sum(F.size("tile_a") * F.col("rows"))).first()[0] or 0
+    parts = max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work // TASK))
+    spread = met.select("to", "own", "no_a", "tile_a", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("no_b"))
+    spread = spread.filter(~F.col("own") | (F.col("no_a") <= F.col("no_b"))).repartition(parts, "to", "no_b")
     right = tiles.select(F.col("cell").alias("to"), F.col("no").alias("no_b"), F.col("tile").alias("tile_b"))
-    pairs = left.join(right, "to").filter(~F.col("own") | (F.col("no_a") <= F.col("no_b")))
+    pairs = spread.join(right.repartition(parts, "to", "no_b"), ["to", "no_b"])
     return pairs.select("tile_a", "tile_b").mapInArrow(_compare(len(names), radius), "id_a long, id_b long")
 
 

@@ -346,6 +346,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     this or another row. Null text has no words; a null id is a row like any other;
     repeated rows are repeats of each other.
     """
+    scan.small_batches(docs.sparkSession)
     text = whole(F.col(text_col))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"),
                        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), text.alias("text"))

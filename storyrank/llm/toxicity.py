@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyrank.llm.scan import small_batches
 from storyrank.session import stage
 
 SAMPLE = 20_000  # labelled rows that are learned from, at most
@@ -28,6 +29,8 @@ ENTRIES = 2_000  # entries of a lexicon, at most
 LEAST_SUPPORT = 8  # toxic texts that an entry is found in
 LEAST_EVIDENCE = 30.0  # twice the log-likelihood ratio against the general share
 STEMS = range(4, 11)  # lengths of stems, in characters
+HELD = 100_000  # counts that a task holds before it sends them
+ROWS = 500  # rows of a batch that are scored, and sent on, at once
 
 # Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = (
@@ -75,9 +78,9 @@ class Lexicon:
             machine.make_automaton()
         return machine
 
-    def measures(self, texts: list[str | None]) -> np.ndarray:
+    def measures(self, texts: list[str | None], machine: ahocorasick.Automaton | None = None) -> np.ndarray:
         """Per text: 1, and three measures of its weights: summed, by length, by root of length."""
-        machine = self.automaton()
+        machine = machine or self.automaton()
         out = np.zeros((len(texts), 4))
         for row, text in enumerate(texts):
             plain = folded(text)
@@ -94,8 +97,8 @@ class Lexicon:
             out[row] = 1.0, math.log1p(total), total / (n + 20), total / math.sqrt(n + 20)
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.measures(texts) @ np.array(self.curve), -40, 40)))
+    def scores(self, texts: list[str | None], machine: ahocorasick.Automaton | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.measures(texts, machine) @ np.array(self.curve), -40, 40)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -108,6 +111,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = S
     those of smallest hash. The sample's ids are broadcast: ``limit`` bounds them. An id
     labelled more than once counts by its largest label; an id with several texts gives
     each. The rows are kept in the shared folder."""
+    small_batches(docs.sparkSession)
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("y"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -134,7 +138,7 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found.add(f" {word} ")
                 found.update(f" {word[:k]}" for k in STEMS if k <= len(word))
             (toxic if y else other).update(found)
-        if len(toxic) + len(other) > 400_000:
+        if len(toxic) + len(other) > HELD:
             yield flush()
     yield flush()
 
@@ -184,14 +188,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 def with_scores(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score for every row; null counts as the empty text. A column of that
     name is replaced. One scan, no shuffle; every batch holds whole texts."""
+    small_batches(docs.sparkSession)
     kept = docs.drop(name)
     schema = kept.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.automaton()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            scores = pa.array(lexicon.scores(texts), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                scores = pa.array(lexicon.scores(texts, machine), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
 
     return kept.mapInArrow(run, schema)
 
