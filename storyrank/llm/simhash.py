@@ -44,16 +44,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
     rows = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), words(ascii_lower(F.col("t"))).alias("w"))
     last = F.greatest(F.size("w") - shingle, F.lit(0))
     units = rows.filter(F.size("w") > 0).select(
-        "doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        "doc_id", "text_hash", "w", (last + 1).cast("long").alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
     gram = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(shingle)])
-    hashed = units.select("doc_id", "text_hash", F.xxhash64(gram).alias("h0"))
+    hashed = units.select("doc_id", "text_hash", "n", F.xxhash64(gram).alias("h0"))
     for n in range(1, len(seeds)):  # further words hash the first hash again with their seed
         hashed = hashed.withColumn(f"h{n}", F.xxhash64("h0", F.lit(seeds[n])))
     sums = [c for n in range(len(seeds)) for c in bit_sums(F.col(f"h{n}"), f"s{n}_")]
-    summed = hashed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("size"), *sums)
+    # A repeated row multiplies every count, the votes too: bits stay, the size is one text's.
+    summed = hashed.groupBy("doc_id", "text_hash").agg(F.min("n").alias("size"), F.count(F.lit(1)).alias("votes"), *sums)
 
     def word(n: int) -> Column:
-        bits = [F.when(2 * bit_count_of(f"s{n}_", b) > F.col("size"), F.lit(1 << b if b < 63 else -(1 << 63)))
+        bits = [F.when(2 * bit_count_of(f"s{n}_", b) > F.col("votes"), F.lit(1 << b if b < 63 else -(1 << 63)))
                 .otherwise(F.lit(0)) for b in range(64)]
         while len(bits) > 1:
             bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]

@@ -113,6 +113,13 @@ def test_near_copies_leave_one(make):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([10, *range(100, 120), 1, None], key=repr)
 
 
+def test_repeated_rows_and_a_copy_of_another_id(make):
+    text = text_of(prose(60, 200))
+    data = [(3, text, "en", "s", 0)] * 3 + [(5, text, "en", "s", 0), (6, text_of(prose(60, 200)[:-1] + ["new"]), "en", "s", 0)]
+    assert rows(simhash.representatives(make(data)), "doc_id") == [(3,)]
+    assert {r["size"] for r in simhash.fingerprints(make(data)).collect()} == {198}
+
+
 def brute_lines(data, size=3):
     first = {}
     known = [(i, t.split("\n")) for i, t, *_ in data if i is not None and t is not None]
