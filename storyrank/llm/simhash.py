@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
 def representatives(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] = (42, 43), radius: int = 26,
                     growth: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which each group of near-copies keeps its smallest id.
+    """The rows of ``docs`` of which each group of near-copies keeps its smallest id (of several
+    texts of that id in the group, the one of smallest hash).
 
     With five-word shingles and 128 bits, texts of similarity 0.8 differ in about 19 bits
     and link within 26 with a likelihood of 0.95; unrelated texts differ in 64. Only texts whose
@@ -208,21 +209,19 @@ def representatives(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] =
     similarity of ``1 / growth`` asks for that. Texts without words form one group. Rows
     without id stay; of repeated rows (same id, same text) one stays.
     """
-    prints = stage(fingerprints(docs, shingle, seeds, id_col, text_col))
+    prints = fingerprints(docs, shingle, seeds, id_col, text_col)
     words_ = [f"w{n}" for n in range(len(seeds))]
-    nodes = stage(prints.filter("doc_id is not null").groupBy("size", *words_)
-                  .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    # A node has a number of its own: an id may have several texts, each in another group.
+    nodes = prints.filter("doc_id is not null").groupBy("size", *words_).agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()))
     level = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(growth)))
     level = F.when(F.col("size") == 0, -9).otherwise(level)
-    unique = nodes.groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", *words_)])
-    edges = links(unique, radius, segments=1, width=radius + 1, size_class=level)
-    classes = connected_components(edges).filter("id <> component")
-    # A copy goes with its node's smallest id, a node with its component's.
-    lost = prints.join(nodes, ["size", *words_]).join(classes, "id", "left").filter(
-        (F.col("doc_id") != F.col("id")) | F.col("component").isNotNull()).select("doc_id", "text_hash").distinct()
+    edges = links(nodes, radius, segments=1, width=radius + 1, size_class=level)
+    groups = nodes.join(connected_components(edges), "id", "left").groupBy(F.coalesce("component", "id"))
+    keep = groups.agg(F.min("least").alias("k")).select(
+        F.col("k.doc_id").alias("__keep"), F.col("k.text_hash").alias("__keep_hash"))
     named = docs.withColumn("__text_hash", F.xxhash64(whole(F.col(text_col))))
-    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__lost_hash"))
-    kept = named.filter(F.col(id_col).isNotNull()).join(
-        lost, (F.col(id_col) == F.col("__lost")) & (F.col("__text_hash") == F.col("__lost_hash")), "left_anti")
+    kept = named.join(keep, (F.col(id_col) == F.col("__keep")) & (F.col("__text_hash") == F.col("__keep_hash")), "left_semi")
     once = kept.dropDuplicates([id_col, "__text_hash"])
     return once.unionByName(named.filter(F.col(id_col).isNull())).drop("__text_hash")

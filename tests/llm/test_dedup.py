@@ -120,6 +120,15 @@ def test_repeated_rows_and_a_copy_of_another_id(make):
     assert {r["size"] for r in simhash.fingerprints(make(data)).collect()} == {198}
 
 
+def test_an_id_with_several_texts(make):
+    a, b = prose(61, 200), prose(62, 300)
+    data = [(4, text_of(a[:-1] + ["x"])), (5, text_of(a)), (5, text_of(b)), (6, text_of(b[:-1] + ["y"])), (7, text_of(b)),
+            (8, text_of(prose(63, 100))), (8, text_of(prose(64, 100)))]
+    for order in (1, -1):
+        kept = simhash.representatives(make([(i, t, "en", "s", 0) for i, t in data[::order]]))
+        assert rows(kept, "doc_id", "text") == sorted([data[0], data[2], *data[5:]], key=repr)
+
+
 def brute_lines(data, size=3):
     first = {}
     known = [(i, t.split("\n")) for i, t, *_ in data if i is not None and t is not None]
