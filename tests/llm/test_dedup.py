@@ -129,6 +129,35 @@ def test_an_id_with_several_texts(make):
         assert rows(kept, "doc_id", "text") == sorted([data[0], data[2], *data[5:]], key=repr)
 
 
+def five(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2000])
+def test_near_copies_are_checked(make, block, monkeypatch):
+    monkeypatch.setattr(simhash.similar, "__defaults__", (block,))
+    data = []
+    for g in range(25):
+        base = prose(700 + g, 204)  # 200 shingles
+        other = [f"own{g}x{k}" for k in range(204)]
+        for n, cut in enumerate((0, 22, 23, 35)):  # similarities with the first: 178/222, 177/223, 165/235
+            data.append((10 * g + n, text_of(base[:204 - cut] + other[:cut]), "en", "s", 0))
+    sets = {i: five(t) for i, t, *_ in data}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert near(0, 1) > 0.8 > near(0, 2) > 0.79 and 0.69 < near(0, 3) < 0.71
+    # Alone with the first, the links at 0.8 hold and those below it do not.
+    pick = lambda *n: [r for r in data if r[0] % 10 in n]
+    first = [(10 * g,) for g in range(25)]
+    assert rows(simhash.representatives(make(pick(0, 1))), "doc_id") == sorted(first, key=repr)
+    for n in (2, 3):
+        got = rows(simhash.representatives(make(pick(0, n))), "doc_id")
+        assert got == sorted(first + [(10 * g + n,) for g in range(25)], key=repr)
+    # Together, the third joins the first through the second; so do links across blocks.
+    chained = make(pick(0, 1, 2))
+    assert rows(simhash.representatives(chained), "doc_id") == sorted(first, key=repr)
+
+
 def brute_lines(data, size=3):
     first = {}
     known = [(i, t.split("\n")) for i, t, *_ in data if i is not None and t is not None]
