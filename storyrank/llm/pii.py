@@ -3,8 +3,8 @@ thresholds; in the JVM alone.
 
 Generators propose spans with high recall. Spans that pass their kind's fixed rules are
 always reported. Of the others, trees decide: they are learned from the corpus itself,
-where a candidate counts as right if it overlaps a span of its kind that passed, on features that do
-not show the rule (lengths, separators, neighbours, words before). Features are small
+where a candidate counts as right if it overlaps a span of its kind that passed or, for numbers of
+persons and accounts, if its own check holds (``checks``), on features that do not show the rule (lengths, separators, neighbours, words before). Features are small
 whole numbers, so the training set is a table of counts of at most ``MOST_ROWS`` rows. The
 trees become one SQL expression; a kind's threshold is the lowest score that keeps
 ``PRECISION`` on the texts held out from the fit, and a kind that never reaches it adds nothing.
@@ -79,6 +79,18 @@ def valid(kind: Column, m: Column) -> Column:
             .when(kind == "phone", n.between(10, 15)).otherwise(F.lit(False)))
 
 
+def checks(m: Column) -> Column:
+    """The check of an ``id`` candidate: an account number's remainder by 97 (ISO 13616), or a
+    social security number in the ranges that are given out."""
+    plain = F.regexp_replace(m, " ", "")
+    turned = F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4)))
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(
+        c == "", acc).otherwise((acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+    account = m.rlike("^[A-Z]") & F.char_length(plain).between(15, 34) & (rest == 1)
+    return account | m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+
+
 def _level(c: Column, *cuts: int) -> Column:
     out = F.lit(len(cuts))
     for k in reversed(range(len(cuts))):
@@ -92,7 +104,7 @@ def _neighbour(c: Column) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each proposed span, and one without a kind for each text without any:
-    ``doc_id, th, kind, start, stop, base`` and the features. Repeated rows give one text."""
+    ``doc_id, th, kind, start, stop, base, checked`` and the features. Repeated rows give one text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("t"))
     rows = rows.withColumn("th", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b")))
     no = 0
@@ -119,7 +131,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # A sign of the rule right before (a plus and a country's number) must not be seen.
     pre_char = F.right(F.regexp_replace("pre", r"\+[0-9]{1,3} ?$", " "), F.lit(1))
     return spans.select(
-        "doc_id", "th", "kind", "start", "stop", "base", "gen",
+        "doc_id", "th", "kind", "start", "stop", "base",
+        F.when(F.col("kind") == "id", checks(m)).otherwise(F.lit(False)).alias("checked"), "gen",
         _level(F.char_length(m), 8, 10, 12, 14, 16, 19, 24).alias("length"),
         _level(F.char_length(F.regexp_replace(m, "[^0-9]", "")), 3, 7, 9, 10, 13, 15, 16).alias("digits"),
         _level(F.size(F.split(m, "[^A-Za-z0-9]+")), 1, 2, 3, 4, 6).alias("groups"),
@@ -163,7 +176,7 @@ def learn(spans: DataFrame, trees: int = 30, depth: int = 3) -> tuple[boosting.T
     """Trees and each kind's threshold from the counts of feature rows."""
     names = list(BINS)
     held = F.pmod(F.xxhash64("doc_id", "th"), F.lit(5)) == 0
-    seen = F.col("same_kind") | F.col("gen").eqNullSafe(F.lit(len(BASE)))  # the bracketed form is an address by its form
+    seen = F.col("same_kind") | F.col("checked") | F.col("gen").eqNullSafe(F.lit(len(BASE)))  # the bracketed form is an address by its form
     table = spans.filter("kind is not null").groupBy(*names, held.alias("held"), seen.alias("y")).agg(
         F.count(F.lit(1)).alias("n")).collect()  # MOST_ROWS at most
     table.sort(key=lambda r: tuple(r))
