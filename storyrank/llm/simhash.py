@@ -49,15 +49,16 @@ def _words_of(hashed: DataFrame, seeds: tuple[int, ...], *keys: str) -> DataFram
     return summed.select(*keys, "size", *[word(n) for n in range(len(seeds))])
 
 
-def shingle_set(text: Column, shingle: int) -> Column:
-    """The XXH64 values of the text's distinct shingles, cut as in ``fingerprints``, in order."""
-    def grams(w: Column) -> Column:
-        run = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(
-            F.concat_ws(" ", *[F.get(w, i + k) for k in range(shingle)])))
-        return F.when(F.size(w) > 0, F.sort_array(F.array_distinct(run))).otherwise(F.array().cast("array<bigint>"))
+def bound_words(text: Column) -> Column:
+    """The text's words as a generator, so that they are split once and not for each shingle."""
+    return F.explode_outer(F.array(words(ascii_lower(whole(text)))))
 
-    # The words are bound as a lambda's variable: they are split once, not for each shingle.
-    return F.get(F.transform(F.array(words(ascii_lower(whole(text)))), grams), F.lit(0))
+
+def shingle_set(w: Column, shingle: int) -> Column:
+    """The XXH64 values of the distinct shingles of ``bound_words``, cut as in ``fingerprints``, in order."""
+    run = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(
+        F.concat_ws(" ", *[F.get(w, i + k) for k in range(shingle)])))
+    return F.when(F.size(w) > 0, F.sort_array(F.array_distinct(run))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,),
@@ -287,9 +288,10 @@ def similar(docs: DataFrame, nodes: DataFrame, near: DataFrame, radius: int, sim
     members = members.join(counts, "component").select(
         "id", "component", "n_blocks", *names, F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(whole(F.col(text_col))).alias("__hash"), F.col(text_col).alias("__text"))
-    sets = texts.join(members, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(
+    sets = texts.join(members, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
+    sets = sets.select("id", *names, "component", "n_blocks", bound_words(F.col("__text")).alias("__words")).select(
         "component", "n_blocks", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int").alias("no"),
-        F.struct("id", *names, shingle_set(F.col("__text"), shingle).alias("grams")).alias("m"))
+        F.struct("id", *names, shingle_set(F.col("__words"), shingle).alias("grams")).alias("m"))
     blocks = stage(sets.groupBy("component", "n_blocks", "no").agg(F.collect_list("m").alias("block")))  # about `block` shingles
     own = blocks.select(F.col("block").alias("block_a"), F.lit(None).cast(blocks.schema["block"].dataType).alias("block_b"))
     left = blocks.filter("no + 1 < n_blocks").select(
@@ -314,7 +316,8 @@ def representatives(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] =
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"),
-        shingle_set(F.col(text_col), shingle).alias("g"))
+        bound_words(F.col(text_col)).alias("w"))
+    rows = rows.select("doc_id", "text_hash", F.explode_outer(F.array(shingle_set(F.col("w"), shingle))).alias("g"))
     marks = [F.xxhash64("g").alias("set_a"), F.xxhash64(F.lit(7), "g").alias("set_b")]
     keys = ["doc_id", "text_hash", "set_a", "set_b"]
     hashed = rows.select("doc_id", "text_hash", *marks, F.size("g").cast("long").alias("n"), F.explode_outer("g").alias("h0"))
