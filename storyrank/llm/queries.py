@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyrank.llm import decontamination, fingerprints, lines, mixing, pii, quality, simhash, substrings, toxicity, warc
+from storyrank.llm import decontamination, fingerprints, lines, mixing, pii, quality, simhash, substrings, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op13_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
