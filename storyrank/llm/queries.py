@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyrank.llm import decontamination, fingerprints, lines, mixing, pii, quality, simhash, substrings, toxicity, turns, warc, whitening
+from storyrank.llm import chosenpath, decontamination, fingerprints, lines, mixing, pii, quality, simhash, substrings, toxicity, turns, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,11 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query("op11_chosen_path_components")
+def chosen_path_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.similar_components(_table(spark, sf_dir, "documents"))
+
+
 @_query("op12_conversation_repair")
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(_table(spark, sf_dir, "conversations"))
