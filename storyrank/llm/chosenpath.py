@@ -10,18 +10,20 @@ then still large is compared tile by tile. Enough independent trees are grown fo
 target recall at exactly the threshold.
 
 Candidates only say which sets to read: inside each candidate component the full sets are
-compared in blocks and links confirmed on them. Every block holds the component's pivot, so
-a group of near-copies becomes one component in one pass; later passes compare only members
-that are not joined with the most frequent component, in blocks against all.
+compared in blocks and links confirmed on them. A first pass compares each block with
+itself; a second one compares what is not joined with the most frequent class of its
+component against the blocks of near sizes, so a group of near-copies stays linear.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,12 @@ TILE = 2048  # documents of a tile of a node that stays large
 NEAR = 0.55  # share of equal sketch tokens of a candidate: five deviations below 0.8
 SETTLED = 0.9  # share from which a document goes no further than its node's pivot
 RECALL = 0.9999  # of pairs at exactly the threshold, before components add to it
-BLOCK = 1 << 19  # shingles of a block of full sets
+BLOCK = 1 << 21  # shingles of a block of full sets
+STEPS = 2  # size classes to a factor of the threshold
+DENSE = 1 << 24  # cells of a matrix of frequent shingles
+FREQUENT = 8192  # shingles of it at most
+STRIP = 256  # its rows that are multiplied at once
+FIRST = 32  # sets that are read at a time, nearest first
 BROADCAST = 8192  # large nodes, with their pivots' tokens about 5 MB, that ride along with the scan
 NAMED = 100_000  # documents of candidates, of 40 bytes, that do so
 LEAST_COST = 64  # shingles that a smaller set counts for
@@ -83,7 +90,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _sketched(shingle: int):
-    """Per text: size, two sums that name the set, minwise tokens and the sketch of their last bytes."""
+    """Per text: size, two sums that name the set, minwise tokens and the sketch, a byte hashed from each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
@@ -101,7 +108,7 @@ def _sketched(shingle: int):
                 names[1, at] = np.add.reduceat(scan.mixed(grams ^ _ODD[0, 0]), starts)
                 for k in range(WIDTH):
                     tokens[at, k] = np.minimum.reduceat((grams ^ _ODD[k, 0]) * _ODD[k, 1], starts)
-            sketch = np.ascontiguousarray((tokens >> np.uint64(56)).astype(np.uint8)).view(np.int64).reshape(len(batch), WIDTH // 8)
+            sketch = np.ascontiguousarray((scan.mixed(tokens) >> np.uint64(56)).astype(np.uint8)).view(np.int64).reshape(len(batch), WIDTH // 8)
             arrays = [_signed(a) for a in (tokens, sketch)]
             lists = [pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel())) for a in arrays]
             keep = [batch.column(c) for c in batch.schema.names if c != "text"]
@@ -122,7 +129,7 @@ def sketches(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_col
 
 
 # --- trees -----------------------------------------------------------------------
-def _forest(sketch: np.ndarray, size: np.ndarray, first: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _forest(sketch: np.ndarray, size: np.ndarray, first: int, similarity: float, share: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
     """Rows not at their root, and the roots, joined by pairs alike in sketch and size, of rows
     before ``first`` with rows from it on, or of all if it is 0. Rows that are joined already
     are not compared again."""
@@ -132,7 +139,7 @@ def _forest(sketch: np.ndarray, size: np.ndarray, first: int, similarity: float)
         j = np.arange(first or i + 1, len(sketch))
         j = j[label[j] != label[i]]
         j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9]
-        j = j[(byte[j] == byte[i]).sum(axis=1) >= NEAR * WIDTH]
+        j = j[(byte[j] == byte[i]).sum(axis=1) >= share * WIDTH]
         if len(j):
             roots = np.unique(label[np.append(j, i)])
             label[np.isin(label, roots)] = roots[0]
@@ -146,7 +153,7 @@ def _rows_of(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids.to_numpy(), size.to_numpy(), flat
 
 
-def _compared(similarity: float):
+def _compared(similarity: float, share: float = NEAR):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.empty((2, 0), dtype=np.int64)]
@@ -158,7 +165,7 @@ def _compared(similarity: float):
                     first = len(ids)
                     more = _rows_of(right, k)
                     ids, size, sketch = (np.concatenate(p) for p in zip((ids, size, sketch), more, strict=True))
-                moved, roots = _forest(np.ascontiguousarray(sketch), size, first, similarity)
+                moved, roots = _forest(np.ascontiguousarray(sketch), size, first, similarity, share)
                 out.append(np.stack([ids[moved], ids[roots]]))
             a, b = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["id_a", "id_b"])
@@ -231,7 +238,7 @@ def candidates(nodes: DataFrame, similarity: float, recall: float = RECALL, dept
         tiles = wide.join(prints, "id").groupBy("node", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("no")).agg(
             F.collect_list(member).alias("left"))  # about `tile` rows
         met = met.unionByName(_block_pairs(stage(tiles), "node", "left"))
-    out = met.mapInArrow(_compared(similarity), "id_a long, id_b long")
+    out = met.mapInArrow(_compared(similarity, NEAR), "id_a long, id_b long")
     for edges in links:
         out = out.unionByName(edges)
     return out
@@ -263,101 +270,194 @@ def _grams(shingle: int):
     return run
 
 
-def _confirmed(sets: np.ndarray, starts: np.ndarray, label: np.ndarray, first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class _Block:
+    """Sets of a block: ``codes`` are places in ``known``, its different shingles, in order."""
+
+    ids: np.ndarray
+    sketch: np.ndarray
+    starts: np.ndarray
+    known: np.ndarray
+    codes: np.ndarray
+
+    def bytes(self) -> bytes:
+        """Codes rise inside a set, so their differences are small where sets are alike."""
+        steps = np.diff(self.codes, prepend=self.codes[:1])
+        parts = (self.ids, self.sketch, self.starts, self.known, steps.astype(np.int32))
+        return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(self.ids), len(self.known), len(self.codes), int(self.codes[0]) if len(self.codes) else 0]).tobytes(), *[np.ascontiguousarray(p).tobytes() for p in parts]]))
+
+    @staticmethod
+    def of(blob: bytes) -> _Block:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, known, codes, first = np.frombuffer(raw, np.int64, 4)
+        at, out = 32, []
+        for count, width in ((n, 1), (n, WIDTH // 8), (n + 1, 1), (known, 1)):
+            out.append(np.frombuffer(raw, np.int64, count * width, at))
+            at += 8 * count * width
+        steps = np.frombuffer(raw, np.int32, codes, at)
+        return _Block(out[0], out[1].reshape(n, -1), out[2], out[3], first + steps.cumsum(dtype=np.int64))
+
+    def only(self, keep: np.ndarray) -> _Block:
+        length = np.diff(self.starts)
+        return _Block(self.ids[keep], self.sketch[keep], np.append(0, length[keep].cumsum()), self.known, self.codes[np.repeat(keep, length)])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = []
+        for row in batch.column("held"):
+            ids, sketch, grams = row.values.flatten()
+            flat = grams.flatten().to_numpy()
+            known, codes = np.unique(flat, return_inverse=True)
+            starts = np.append(0, np.diff(grams.offsets.to_numpy()).astype(np.int64).cumsum())
+            owner = np.repeat(np.arange(len(ids)), np.diff(starts))
+            codes = codes[np.lexsort((codes, owner))]
+            blobs.append(_Block(ids.to_numpy(), sketch.flatten().to_numpy(), starts, known, codes).bytes())
+        keep = [c for c in batch.schema.names if c != "held"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(blobs, pa.binary())], names=[*keep, "blob"])
+
+
+def _both(a: _Block, b: _Block) -> _Block:
+    known, at = np.unique(np.concatenate([a.known, b.known]), return_inverse=True)
+    return _Block(np.append(a.ids, b.ids), np.concatenate([a.sketch, b.sketch]), np.append(a.starts, b.starts[1:] + a.starts[-1]),
+                  known, np.append(at[:len(a.known)][a.codes], at[len(a.known):][b.codes]))
+
+
+def _confirmed(sets: _Block, label: np.ndarray, first: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and the rows they turned out to be linked to (a forest over ``label``), by the sizes
-    of intersection and union. Rows of one label are not compared."""
-    length = np.diff(starts)
-    code = np.unique(sets, return_inverse=True)[1]
-    mark = np.zeros(len(sets), dtype=bool)
+    of intersection and union, of rows before ``first`` with those from it on, or of all if 0.
+
+    Rows of one label are not compared, nor those too unlike in size or sketch. What frequent
+    shingles two sets share comes from a product of matrices; with the smaller number of the
+    others it bounds the intersection, and only what may be a link by that bound is read.
+    """
+    n, length = len(sets.ids), np.diff(sets.starts)
+    often = np.bincount(sets.codes, minlength=len(sets.known))
+    top = np.argsort(-often, kind="stable")[:min(FREQUENT, max(DENSE // max(n, 1), 1))]
+    top = top[often[top] > 1]
+    place = np.full(len(sets.known), -1)
+    place[top] = np.arange(len(top))
+    owner = np.repeat(np.arange(n), length)
+    column = place[sets.codes]
+    dense = np.zeros((n, len(top)), dtype=np.float32)
+    dense[owner[column >= 0], column[column >= 0]] = 1
+    rare = length - dense.sum(axis=1, dtype=np.float64)
+    byte = np.ascontiguousarray(sets.sketch).view(np.uint8)
+    mark = np.zeros(len(sets.known), dtype=bool)
     label = label.copy()
     found_a, found_b = [], []
-    for i in range(first or len(label)):
-        j = np.arange(first or i + 1, len(label))
-        j = j[label[j] != label[i]]
+    for i in range(first or n):
+        low = first or i + 1
+        if i % STRIP == 0:
+            strip_low = first or i
+            shared = dense[i:min(i + STRIP, first or n)] @ dense[strip_low:].T
+        j = low + np.flatnonzero(label[low:] != label[i])
         j = j[100 * np.minimum(length[j], length[i]) >= percent * np.maximum(length[j], length[i])]
+        most = shared[i % STRIP, j - strip_low] + np.minimum(rare[i], rare[j])
+        fits = 100 * most >= percent * (length[i] + length[j] - most)
+        j, most = j[fits], most[fits]
+        near = (byte[j] == byte[i]).sum(axis=1) >= NEAR * WIDTH
+        j, most = j[near], most[near]
         if not len(j):
             continue
-        mine = code[starts[i]:starts[i + 1]]
+        j = j[np.argsort(-most, kind="stable")]
+        mine = sets.codes[sets.starts[i]:sets.starts[i + 1]]
         mark[mine] = True
-        offsets = length[j].cumsum() - length[j]
-        at = np.arange(length[j].sum()) + np.repeat(starts[j] - offsets, length[j])
-        both = np.add.reduceat(mark[code[at]], offsets, dtype=np.int64)
+        while len(j):
+            some, j = j[:FIRST], j[FIRST:]
+            size = length[some]
+            offsets = size.cumsum() - size
+            at = np.arange(size.sum()) + np.repeat(sets.starts[some] - offsets, size)
+            both = np.add.reduceat(mark[sets.codes[at]], offsets, dtype=np.int64)
+            some = some[100 * both >= percent * (length[i] + size - both)]
+            some = some[np.unique(label[some], return_index=True)[1]]
+            if len(some):
+                found_a.append(np.full(len(some), i))
+                found_b.append(some)
+                roots = np.unique(label[np.append(some, i)])
+                label[np.isin(label, roots)] = roots[0]
+                j = j[label[j] != label[i]]
         mark[mine] = False
-        j = j[100 * both >= percent * (length[i] + length[j] - both)]
-        j = j[np.unique(label[j], return_index=True)[1]]
-        if len(j):
-            found_a.append(np.full(len(j), i))
-            found_b.append(j)
-            roots = np.unique(label[np.append(j, i)])
-            label[np.isin(label, roots)] = roots[0]
     none = [np.empty(0, dtype=np.int64)]
     return np.concatenate(found_a or none), np.concatenate(found_b or none)
 
 
-def _sets_of(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, label, grams = lists[k].values.flatten()
-    return ids.to_numpy(), label.to_numpy(), np.diff(grams.offsets.to_numpy()), grams.flatten().to_numpy()
+def _links_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = np.concatenate([np.empty((2, 0), dtype=np.int64), *[np.stack(p) for p in pairs]], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["id_a", "id_b"])
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.empty((2, 0), dtype=np.int64)]
-            left, right = batch.column("left"), batch.column("right")
-            for k in range(len(batch)):
-                parts = [_sets_of(left, k)] + ([_sets_of(right, k)] if right[k].is_valid else [])
-                ids, label, length, grams = (np.concatenate(p) for p in zip(*parts, strict=True))
-                starts = np.append(0, length.astype(np.int64).cumsum())
-                i, j = _confirmed(grams, starts, label, len(parts[0][0]) if len(parts) > 1 else 0, percent)
-                out.append(np.stack([ids[i], ids[j]]))
-            a, b = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["id_a", "id_b"])
+def _confirm_own(percent: int):
+    def links(blob):
+        sets = _Block.of(blob.as_py())
+        i, j = _confirmed(sets, np.arange(len(sets.ids)), 0, percent)
+        return sets.ids[i], sets.ids[j]
+
+    return lambda batches: (_links_of(map(links, batch.column("blob"))) for batch in batches)
 
-    return run
+
+def _confirm_apart(percent: int):
+    """Rows of the left block that are apart against all rows of the right one."""
+    def links(left, labels, right, more):
+        a, b = _Block.of(left.as_py()), _Block.of(right.as_py())
+        of, to = {}, set()
+        for pairs in (labels, more):
+            ids, label, apart = (c.to_numpy(zero_copy_only=False) for c in pairs.values.flatten())
+            of.update(zip(ids.tolist(), label.tolist(), strict=True))
+            to.update(ids[apart].tolist())
+        a = a.only(np.array([i in to for i in a.ids.tolist()], dtype=bool))
+        sets = _both(a, b)
+        i, j = _confirmed(sets, np.array([of[i] for i in sets.ids.tolist()]), len(a.ids), percent)
+        return sets.ids[i], sets.ids[j]
+
+    return lambda batches: (_links_of(links(*row) for row in zip(*[b.column(c) for c in ("left", "labels", "right", "more")], strict=True)) for b in batches)
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, percent: int, shingle: int, id_col: str, text_col: str,
               block: int = BLOCK) -> DataFrame:
     """``(id, component)``: connected components of the links between full sets, for the nodes in ``near``.
 
-    All pairs inside a component of ``near`` are decided, but for those that are joined already.
+    All pairs inside a component of ``near`` are decided, but for those that are joined already
+    and those whose sketches are no candidates. A component of more than ``block`` shingles is cut
+    by classes of size, and only blocks of classes that can hold a link meet.
     """
     members = stage(connected_components(near).withColumnRenamed("component", "group").join(
-        nodes.select("id", "size", "least"), "id"))
+        nodes.select("id", "size", "sketch", "least"), "id"))
     cost = F.greatest(F.col("size"), F.lit(LEAST_COST))
-    counts = members.groupBy("group").agg(F.ceil(F.sum(cost) / block).cast("int").alias("parts"))
-    named = members.join(counts, "group").select("id", "group", "parts", F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
+    wide = members.groupBy("group").agg(F.sum(cost).alias("cost")).filter(F.col("cost") > block).select("group", F.lit(True).alias("wide"))
+    level = F.when(F.col("wide"), F.floor(F.log("size") / F.lit(math.log(100 / percent) / STEPS)).cast("int")).otherwise(0)
+    graded = stage(members.join(wide, "group", "left").withColumn("wide", F.coalesce("wide", F.lit(False))).withColumn("level", level))
+    counts = stage(graded.filter("wide").groupBy("group", "level").agg(F.ceil(F.sum(cost) / block).cast("int").alias("parts")))
+    placed = graded.join(counts, ["group", "level"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    number = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    named = placed.select("id", "group", "wide", "level", "sketch", number.alias("no"), F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(whole(F.col(text_col))).alias("__hash"), whole(F.col(text_col)).alias("text"))
     named = F.broadcast(named) if members.count() <= NAMED else named
     same = (F.col("t.__hash") == F.col("n.__hash")) & F.col("t.__id").eqNullSafe(F.col("n.__id"))
-    rows = texts.alias("t").join(named.alias("n"), same).select("id", "group", "parts", "text").dropDuplicates(["id"])
-    sets = rows.mapInArrow(_grams(shingle), "id long, group long, parts int, grams array<long>")
-    # Each block begins with its component's pivot, the smallest id.
-    number = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = sets.select("*", F.when(F.col("id") == F.col("group"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(number)).alias("nos"))
-    member = F.struct("id", F.col("id").alias("label"), "grams").alias("m")
-    blocks = stage(spread.select("group", "parts", F.explode("nos").alias("no"), member).groupBy("group", "parts", "no").agg(
-        F.sort_array(F.collect_list("m")).alias("held")))
-    own = blocks.select(F.col("held").alias("left"), F.lit(None).cast(blocks.schema["held"].dataType).alias("right"))
-    first = stage(own.mapInArrow(_confirm(percent), "id_a long, id_b long"))
+    rows = texts.alias("t").join(named.alias("n"), same).dropDuplicates(["id"]).select("id", "group", "wide", "level", "no", "sketch", "text")
+    sets = rows.mapInArrow(_grams(shingle), "id long, group long, wide boolean, level int, no int, sketch array<long>, grams array<long>")
+    held = sets.groupBy("group", "wide", "level", "no").agg(F.collect_list(F.struct("id", "sketch", "grams")).alias("held"))  # about `block` shingles
+    # Blocks of small components are compared alone, as they come; those of wide ones are kept for the next pass.
+    blocks = stage(held.mapInArrow(_packed, "group long, wide boolean, level int, no int, blob binary"))
+    first = stage(blocks.select("blob").mapInArrow(_confirm_own(percent), "id_a long, id_b long"))
     joined = connected_components(first, nodes=members.select("id"))
-    several = members.join(counts.filter("parts > 1"), "group")
-    if several.isEmpty():
+    if counts.isEmpty():
         return joined
-    # Blocks of what is not joined with a group's most frequent component, against all its blocks.
-    placed = stage(several.select("id", "group").join(joined, "id"))
-    common = placed.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(
+    # What is not joined with a wide component's most frequent class meets the blocks of near sizes.
+    labels = stage(placed.filter("wide").select("id", "group", "level", number.alias("no")).join(joined, "id"))
+    common = labels.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"))
-    labels = placed.join(common, "group").select("id", "component", (F.col("component") != F.col("main")).alias("apart"))
-    flat = blocks.filter("parts > 1").select("group", "parts", "no", F.explode("held").alias("m")).select(
-        "group", "parts", "no", "m.id", "m.grams").filter((F.col("id") != F.col("group")) | (F.col("no") == 0))
-    flat = flat.join(labels, "id")
-    fresh = F.collect_list(F.struct("id", F.col("component").alias("label"), "grams")).alias("held")
-    again = stage(flat.groupBy("group", "parts", "no").agg(fresh))
-    rest = flat.filter("apart").groupBy("group", "parts", "no").agg(fresh)
-    left = rest.select("group", F.col("no").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("no"), F.col("held").alias("left"))
-    pairs = left.filter("no <> own").join(again.select("group", "no", F.col("held").alias("right")), ["group", "no"]).select("left", "right")
-    second = pairs.mapInArrow(_confirm(percent), "id_a long, id_b long")
+    told = labels.join(common, "group").groupBy("group", "level", "no").agg(
+        F.collect_list(F.struct("id", F.col("component").alias("label"), (F.col("component") != F.col("main")).alias("apart"))).alias("labels"),
+        F.max(F.col("component") != F.col("main")).alias("any"))
+    kept = stage(blocks.filter("wide").select("group", "level", "no", "blob").join(told, ["group", "level", "no"]))
+    steps = F.explode(F.sequence(F.lit(-STEPS), F.lit(STEPS)))
+    left = kept.filter("any").select("group", F.col("level").alias("own"), F.col("no").alias("own_no"), F.col("blob").alias("left"), "labels", steps.alias("step"))
+    left = left.withColumn("level", F.col("own") + F.col("step")).join(counts, ["group", "level"])
+    left = left.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("own <> level or own_no <> no")
+    right = kept.select("group", "level", "no", F.col("blob").alias("right"), F.col("labels").alias("more"))
+    pairs = left.join(right, ["group", "level", "no"]).select("left", "labels", "right", "more")
+    second = pairs.mapInArrow(_confirm_apart(percent), "id_a long, id_b long")
     return connected_components(first.unionByName(second), nodes=members.select("id"))
 
 
