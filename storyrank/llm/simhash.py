@@ -320,7 +320,9 @@ def representatives(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] =
     rows = rows.select("doc_id", "text_hash", F.explode_outer(F.array(shingle_set(F.col("w"), shingle))).alias("g"))
     marks = [F.xxhash64("g").alias("set_a"), F.xxhash64(F.lit(7), "g").alias("set_b")]
     keys = ["doc_id", "text_hash", "set_a", "set_b"]
-    hashed = rows.select("doc_id", "text_hash", *marks, F.size("g").cast("long").alias("n"), F.explode_outer("g").alias("h0"))
+    # The marks are made before the rows are multiplied: beside the explode they would be made for each shingle.
+    marked = rows.select("doc_id", "text_hash", *marks, F.size("g").cast("long").alias("n"), "g")
+    hashed = marked.select("doc_id", "text_hash", "set_a", "set_b", "n", F.explode_outer("g").alias("h0"))
     prints = _words_of(hashed, seeds, *keys)
     words_ = [f"w{n}" for n in range(len(seeds))]
     # A node is a set with a number of its own: an id may have several texts, each in another group.
