@@ -41,6 +41,7 @@ SHARED = 0.5  # least weight of the item's terms in a candidate, as a share of w
 SAME = 0.8  # common subsequence, as a share of the item's words, that is a leak by itself
 PARAPHRASE = 0.65  # and that is one if the answer is there as well
 ANSWER = 0.8  # share of the answer's words that must be there in order
+SLICE = 1 << 18  # bytes of texts that are worked on at once
 ROWS = 1000  # rows of a batch that are searched, and sent on, at once
 BLOCK = 2000  # items that are searched for at once
 SEED = 20240
@@ -50,7 +51,7 @@ FOUND = "item_id long, cosine double, overlap double, answer double, first_word
 
 def _words(column: pa.Array) -> Iterator[tuple[scan.Piece, np.ndarray, np.ndarray]]:
     """Pieces with the hash of each lower-cased word, trimmed of ASCII punctuation, and its row."""
-    for piece in scan.pieces(column):
+    for piece in scan.pieces(column, SLICE):
         data = scan.LOWER[piece.data]
         starts, ends = scan.spans(data, SEPARATORS)
         row_at = np.repeat(np.arange(len(piece)), piece.ends - piece.starts + 1)
@@ -169,6 +170,7 @@ def latent_space(docs: DataFrame, items: Items, weight: np.ndarray, text_col: st
                 for row, part in zip(total, y.reshape(SKETCH, n), strict=True):
                     row += np.bincount(term, part[no] * w, TERMS)
         some = np.flatnonzero(total.any(axis=0))
+        scan.give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array(some), *[pa.array(row[some].astype(np.float32)) for row in total]], names=names)
 
@@ -369,6 +371,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names
                     for f in searcher.leaks(part.column(part.schema.get_field_index(text_col))):
                         keep[f[0]] = False
                     yield part.filter(pa.array(keep))
+            scan.give_back()
 
         out = out.mapInArrow(run, out.schema)
     return out

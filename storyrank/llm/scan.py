@@ -6,6 +6,7 @@ so temporaries stay small beside the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +32,15 @@ def small_batches(spark) -> None:
             spark.conf.set(name, value)
 
 
+def give_back() -> None:
+    """Memory that numpy has let go of goes back to the system, as a worker that waits for its
+    next task would keep it beside the executor's heap."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 @dataclass(frozen=True)
 class Piece:
     """Consecutive texts: ``data`` holds their bytes with one line feed after each."""
