@@ -34,10 +34,10 @@ from storyrank.session import stage
 
 WIDTH = 64  # minwise tokens of a set
 DEPTH = 4  # branchings below the root
-SMALL = 256  # documents of a node that is compared exhaustively
+SMALL = 64  # documents of a node that is compared exhaustively
 TILE = 2048  # documents of a tile of a node that stays large
 NEAR = 0.55  # share of equal sketch tokens of a candidate: five deviations below 0.8
-SETTLED = 0.9  # share from which a document goes no further than its node's pivot
+SETTLED = 0.85  # share from which a document goes no further than its node's pivot
 RECALL = 0.9999  # of pairs at exactly the threshold, before components add to it
 BLOCK = 1 << 21  # shingles of a block of full sets
 STEPS = 2  # size classes to a factor of the threshold
@@ -45,7 +45,7 @@ DENSE = 1 << 24  # cells of a matrix of frequent shingles
 FREQUENT = 8192  # shingles of it at most
 STRIP = 256  # its rows that are multiplied at once
 FIRST = 32  # sets that are read at a time, nearest first
-BROADCAST = 8192  # large nodes, with their pivots' tokens about 5 MB, that ride along with the scan
+BROADCAST = 8192  # large nodes, with their pivots' sketches about 1 MB, that ride along with the scan
 NAMED = 100_000  # documents of candidates, of 40 bytes, that do so
 LEAST_COST = 64  # shingles that a smaller set counts for
 _ODD = np.random.default_rng(2024).integers(0, 1 << 63, size=(WIDTH, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,8 +108,7 @@ def _sketched(shingle: int):
                 names[1, at] = np.add.reduceat(scan.mixed(grams ^ _ODD[0, 0]), starts)
                 for k in range(WIDTH):
                     tokens[at, k] = np.minimum.reduceat((grams ^ _ODD[k, 0]) * _ODD[k, 1], starts)
-            sketch = np.ascontiguousarray((scan.mixed(tokens) >> np.uint64(56)).astype(np.uint8)).view(np.int64).reshape(len(batch), WIDTH // 8)
-            arrays = [_signed(a) for a in (tokens, sketch)]
+            arrays = [_signed(tokens), (scan.mixed(tokens) >> np.uint64(56)).astype(np.uint8).view(np.int8)]
             lists = [pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel())) for a in arrays]
             keep = [batch.column(c) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -125,7 +124,7 @@ def sketches(docs: DataFrame, shingle: int = 2, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), whole(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_sketched(shingle), f"doc_id {kind}, text_hash long, size long, set_a long, set_b long, "
-                                               "tokens array<long>, sketch array<long>")
+                                               "tokens array<long>, sketch array<tinyint>")
 
 
 # --- trees -----------------------------------------------------------------------
@@ -134,12 +133,11 @@ def _forest(sketch: np.ndarray, size: np.ndarray, first: int, similarity: float,
     before ``first`` with rows from it on, or of all if it is 0. Rows that are joined already
     are not compared again."""
     label = np.arange(len(sketch))
-    byte = sketch.view(np.uint8)
     for i in range(first or len(sketch)):
         j = np.arange(first or i + 1, len(sketch))
         j = j[label[j] != label[i]]
         j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9]
-        j = j[(byte[j] == byte[i]).sum(axis=1) >= share * WIDTH]
+        j = j[(sketch[j] == sketch[i]).sum(axis=1) >= share * WIDTH]
         if len(j):
             roots = np.unique(label[np.append(j, i)])
             label[np.isin(label, roots)] = roots[0]
@@ -149,7 +147,7 @@ def _forest(sketch: np.ndarray, size: np.ndarray, first: int, similarity: float,
 
 def _rows_of(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, size, sketch = lists[k].values.flatten()
-    flat = sketch.flatten().to_numpy().reshape(len(ids), WIDTH // 8)
+    flat = sketch.flatten().to_numpy().reshape(len(ids), WIDTH)
     return ids.to_numpy(), size.to_numpy(), flat
 
 
@@ -174,22 +172,23 @@ def _compared(similarity: float, share: float = NEAR):
 
 
 def _roots(nodes: DataFrame, trees: int, similarity: float) -> DataFrame:
-    """``(id, node, tokens)``: each tree's first branching, by tokens of its own; the wanted share
+    """``(id, node, sketch)``: each tree's first branching, by tokens of its own; the wanted share
     of the trees selects two."""
     second = max(0, min(round(trees * (1 / similarity - 1)), WIDTH - trees))
     picks = [(t % WIDTH, t) for t in range(trees)] + [(trees + t, t) for t in range(second)]
     pick = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in picks])).alias("p")
-    return nodes.select("id", "tokens", pick).select(
-        "id", F.xxhash64("p.t", "p.k", F.get("tokens", F.col("p.k"))).alias("node"), "tokens")
+    return nodes.select("id", "tokens", "sketch", pick).select(
+        "id", F.xxhash64("p.t", "p.k", F.get("tokens", F.col("p.k"))).alias("node"), "sketch")
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """Each row of ``(id, node, tokens)`` once for each token that its node selects."""
+    """Each row of ``(id, node, sketch)`` once for each token that its node selects. Below the root
+    a token's byte stands for it: other tokens of that byte join the child and go at the next."""
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(WIDTH)).cast("int")
     second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20)) < F.lit(int((1 / similarity - 1) * (1 << 20)))
     picks = F.when(second, F.array_distinct(F.array(pick(1), pick(2)))).otherwise(F.array(pick(1)))
-    return rows.select("id", "node", "tokens", F.explode(picks).alias("k")).select(
-        "id", F.xxhash64("node", "k", F.get("tokens", F.col("k"))).alias("node"), "tokens")
+    return rows.select("id", "node", "sketch", F.explode(picks).alias("k")).select(
+        "id", F.xxhash64("node", "k", F.get("sketch", F.col("k"))).alias("node"), "sketch")
 
 
 def _small_nodes(rows: DataFrame, counts: DataFrame, small: int) -> DataFrame:
@@ -215,13 +214,13 @@ def candidates(nodes: DataFrame, similarity: float, recall: float = RECALL, dept
         if not number or level == depth:
             break
         heads = heads.select("node", "pivot").join(
-            nodes.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
+            nodes.select(F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
         if number <= BROADCAST:
             large = rows.join(F.broadcast(heads), "node")
         else:  # a node of very many documents is split by the join itself
-            large = rows.select("id", "node").join(heads, "node").join(nodes.select("id", "tokens"), "id")
-        alike = F.aggregate(F.zip_with("tokens", "pivot_tokens", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        large = stage(large.select("id", "node", "pivot", "tokens", (alike / WIDTH).alias("alike")))
+            large = rows.select("id", "node").join(heads, "node").join(nodes.select("id", "sketch"), "id")
+        alike = F.aggregate(F.zip_with("sketch", "pivot_sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+        large = stage(large.select("id", "node", "pivot", "sketch", (alike / WIDTH).alias("alike")))
         links.append(large.filter((F.col("alike") >= NEAR) & (F.col("id") != F.col("pivot"))).select(
             F.col("id").alias("id_a"), F.col("pivot").alias("id_b")))
         rows = _children(large.filter(F.col("alike") < SETTLED), similarity)
@@ -291,11 +290,10 @@ class _Block:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n, known, codes, first = np.frombuffer(raw, np.int64, 4)
         at, out = 32, []
-        for count, width in ((n, 1), (n, WIDTH // 8), (n + 1, 1), (known, 1)):
-            out.append(np.frombuffer(raw, np.int64, count * width, at))
-            at += 8 * count * width
-        steps = np.frombuffer(raw, np.int32, codes, at)
-        return _Block(out[0], out[1].reshape(n, -1), out[2], out[3], first + steps.cumsum(dtype=np.int64))
+        for count, kind in ((n, np.int64), (n * WIDTH, np.int8), (n + 1, np.int64), (known, np.int64), (codes, np.int32)):
+            out.append(np.frombuffer(raw, kind, count, at))
+            at += out[-1].nbytes
+        return _Block(out[0], out[1].reshape(n, WIDTH), out[2], out[3], first + out[4].cumsum(dtype=np.int64))
 
     def only(self, keep: np.ndarray) -> _Block:
         length = np.diff(self.starts)
@@ -342,7 +340,6 @@ def _confirmed(sets: _Block, label: np.ndarray, first: int, percent: int) -> tup
     dense = np.zeros((n, len(top)), dtype=np.float32)
     dense[owner[column >= 0], column[column >= 0]] = 1
     rare = length - dense.sum(axis=1, dtype=np.float64)
-    byte = np.ascontiguousarray(sets.sketch).view(np.uint8)
     mark = np.zeros(len(sets.known), dtype=bool)
     label = label.copy()
     found_a, found_b = [], []
@@ -356,7 +353,7 @@ def _confirmed(sets: _Block, label: np.ndarray, first: int, percent: int) -> tup
         most = shared[i % STRIP, j - strip_low] + np.minimum(rare[i], rare[j])
         fits = 100 * most >= percent * (length[i] + length[j] - most)
         j, most = j[fits], most[fits]
-        near = (byte[j] == byte[i]).sum(axis=1) >= NEAR * WIDTH
+        near = (sets.sketch[j] == sets.sketch[i]).sum(axis=1) >= NEAR * WIDTH
         j, most = j[near], most[near]
         if not len(j):
             continue
@@ -435,7 +432,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, percent: int,
     named = F.broadcast(named) if members.count() <= NAMED else named
     same = (F.col("t.__hash") == F.col("n.__hash")) & F.col("t.__id").eqNullSafe(F.col("n.__id"))
     rows = texts.alias("t").join(named.alias("n"), same).dropDuplicates(["id"]).select("id", "group", "wide", "level", "no", "sketch", "text")
-    sets = rows.mapInArrow(_grams(shingle), "id long, group long, wide boolean, level int, no int, sketch array<long>, grams array<long>")
+    sets = rows.mapInArrow(_grams(shingle), "id long, group long, wide boolean, level int, no int, sketch array<tinyint>, grams array<long>")
     held = sets.groupBy("group", "wide", "level", "no").agg(F.collect_list(F.struct("id", "sketch", "grams")).alias("held"))  # about `block` shingles
     # Blocks of small components are compared alone, as they come; those of wide ones are kept for the next pass.
     blocks = stage(held.mapInArrow(_packed, "group long, wide boolean, level int, no int, blob binary"))
