@@ -6,10 +6,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyrank.functions.vectors import unit_rows
+from storyrank.session import stage
 
 BLOCK_ROWS = 2048
+MAX_PIVOTS = 256  # cells of a group
+RINGS = 16  # rings of a cell
+REFERENCES = 32  # pivots whose angles bound a block
+SAMPLE = 1024  # rows of a group that pivots are picked from
+MARGIN = 1e-6  # rounding of angles
 MAX_BROADCAST_QUERIES = 4096
 
 
@@ -120,11 +127,165 @@ def _pairs(
         F.size(vec).alias("__dim"),
     )
     keys = [*within, "__dim"]
-    spread = _block_pairs(blocked(rows, keys, "__id", block_rows))
+    spread = _spread(rows, keys, threshold, block_rows).select(*keys, "__id", "__v", "__solo", "__b", "__p", "__q")
     id_type = df.schema[ident].dataType
     kernel = _pair_kernel(threshold, pa.string() if id_type.typeName() == "string" else pa.int64(), forest)
     schema = f"id_a {id_type.simpleString()}, id_b {id_type.simpleString()}, similarity double"
-    return spread.drop("__nb").groupBy(*keys, "__p", "__q").applyInArrow(kernel, schema)
+    return spread.groupBy(*keys, "__p", "__q").applyInArrow(kernel, schema)
+
+
+# --- metric cells -----------------------------------------------------------------
+def _spread(rows: DataFrame, keys: list[str], threshold: float, block_rows: int) -> DataFrame:
+    """Each row once for each pair of blocks it takes part in (``__b`` its own, ``__p <= __q`` the pair).
+
+    A group of one block meets itself. In larger groups blocks are cells around pivots, and
+    pairs of blocks that no two rows within the threshold can lie in are left out.
+    """
+    counted = blocked(rows, keys, "__id", block_rows)
+    if threshold <= 0:
+        return _block_pairs(counted)
+    small, large = counted.filter("__nb = 1"), counted.filter("__nb > 1")
+    alone = small.withColumns({"__b": F.lit(0).cast("long"), "__p": F.lit(0).cast("long"), "__q": F.lit(0).cast("long")})
+    if large.isEmpty():
+        return alone
+    placed, pairs = _near_blocks(large, keys, threshold, block_rows)
+    ends = pairs.select(*keys, F.explode(F.array_distinct(F.array("__p", "__q"))).alias("__b"), "__p", "__q")
+    met = placed.join(ends, [*keys, "__b"])
+    return alone.drop("__nb").unionByName(met.select(*alone.drop("__nb").columns))
+
+
+def _pick_pivots(rows: pa.Table, number: int) -> np.ndarray:
+    """Directions that lie far apart: each next one is the farthest from those before it."""
+    unit = unit_rows(_matrix(rows["__v"]))
+    unit = unit[np.linalg.norm(unit, axis=1) > 0.5]
+    if not len(unit):
+        return np.zeros((1, 0))
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(number, len(unit)):
+        far = int(near.argmin())
+        if near[far] > 1 - 1e-12:
+            break
+        chosen.append(far)
+        near = np.maximum(near, unit @ unit[far])
+    return unit[chosen]
+
+
+def _pivot_kernel(keys: list[str], block_rows: int):
+    def kernel(table: pa.Table) -> pa.Table:
+        number = min(MAX_PIVOTS, -(-table["__n"][0].as_py() // block_rows))
+        pivots = _pick_pivots(table, number)
+        return table.select(keys).slice(0, 1).append_column("__pivots", pa.array([pivots.ravel().tolist()], pa.list_(pa.float64()))).append_column(
+            "__count", pa.array([len(pivots)], pa.int32()))
+
+    return kernel
+
+
+def _cell_kernel(keys: list[str], theta: float, names: list[str]):
+    """Cell, ring and the angles to the first pivots: for each block of the task its least and largest."""
+    def kernel(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        unit = unit_rows(_matrix(rows["__v"]))
+        some = np.flatnonzero(np.linalg.norm(unit, axis=1) > 0.5)  # without a direction nothing is near
+        centre = pivots["__pivots"][0].values.to_numpy().reshape(pivots["__count"][0].as_py(), -1)
+        if not centre.shape[1]:
+            some = some[:0]
+            centre = np.zeros((1, unit.shape[1]))
+        angle = np.arccos(np.clip(unit[some] @ centre.T, -1.0, 1.0))
+        cell = angle.argmin(axis=1) if len(some) else np.empty(0, dtype=np.int64)
+        ring = np.minimum(angle[np.arange(len(some)), cell] // theta, RINGS - 1).astype(np.int64)
+        code = cell * RINGS + ring
+        order = np.argsort(code, kind="stable")
+        some, code, angle = some[order], code[order], angle[order, :REFERENCES]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        low, high = [None] * len(some), [None] * len(some)
+        for a, z in zip(starts, np.append(starts[1:], len(code)), strict=True):
+            low[a], high[a] = angle[a:z].min(axis=0).tolist(), angle[a:z].max(axis=0).tolist()
+        out = rows.select(names).take(pa.array(some))
+        for name, values, kind in (("__code", code, pa.int64()), ("__low", low, pa.list_(pa.float64())), ("__high", high, pa.list_(pa.float64()))):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    return kernel
+
+
+def _near_kernel(keys: list[str], theta: float):
+    """Pairs of blocks whose angles to every pivot leave room for two rows within ``theta``."""
+    def kernel(table: pa.Table) -> pa.Table:
+        code, at = np.unique(table["__code"].to_numpy(), return_inverse=True)
+        k = table["k"].to_numpy()
+        low, high = np.zeros((2, len(code), k.max() + 1))
+        low[at, k], high[at, k] = table["low"].to_numpy(), table["high"].to_numpy()
+        a, b = [], []
+        for i in range(len(code)):
+            gap = np.maximum(low[i] - high[i:], low[i:] - high[i]).max(axis=1)
+            near = i + np.flatnonzero(gap <= theta + MARGIN)
+            a.append(np.full(len(near), code[i]))
+            b.append(code[near])
+        a, b = np.concatenate(a), np.concatenate(b)
+        first = table.select(keys).take(pa.array(np.zeros(len(a), dtype=np.int64)))
+        return first.append_column("__a", pa.array(a)).append_column("__z", pa.array(b))
+
+    return kernel
+
+
+def _near_blocks(large: DataFrame, keys: list[str], threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their block ``__b``, and the pairs of blocks that may hold near rows.
+
+    A group's pivots are picked from a bounded sample; which ones does not change the result.
+    Each row goes to its nearest pivot's cell and, by its angle, to a ring of it. By the
+    triangle inequality two rows are at least as far apart as their angles to any one pivot
+    differ, so blocks whose angles to some pivot differ by more than the threshold's are not
+    compared. Blocks are cut to ``block_rows`` rows by hash, and what is kept of a group (at
+    most ``MAX_PIVOTS * RINGS`` blocks by ``REFERENCES`` angles) fits one task.
+    """
+    theta = float(np.arccos(min(threshold, 1.0)))
+    field = {f.name: f for f in large.schema.fields}
+    key_fields = [field[k] for k in keys]
+    sizes = large.groupBy(*keys).agg(F.count("*").alias("__n"))
+    first = Window.partitionBy(*keys).orderBy(F.xxhash64("__id"), "__id")
+    sample = large.select(*keys, "__id", "__v").withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= SAMPLE)
+    sample = sample.join(sizes, keys)
+    pivots = sample.groupBy(*keys).applyInArrow(_pivot_kernel(keys, block_rows), T.StructType(
+        [*key_fields, T.StructField("__pivots", T.ArrayType(T.DoubleType())), T.StructField("__count", T.IntegerType())]))
+    parts = large.select(*keys, "__nb").distinct()
+    sent = pivots.join(parts, keys).select(*keys, "__pivots", "__count", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)).alias("__b"))
+    names = [*keys, "__id", "__v", "__solo"]
+    angles = T.ArrayType(T.DoubleType())
+    placed = large.groupBy(*keys, "__b").cogroup(sent.groupBy(*keys, "__b")).applyInArrow(
+        _cell_kernel(keys, max(theta, 1e-3), names),
+        T.StructType([*[field[n] for n in names], T.StructField("__code", T.LongType()), T.StructField("__low", angles), T.StructField("__high", angles)]))
+    placed = stage(placed)
+    ends = placed.filter(F.col("__low").isNotNull()).select(
+        *keys, "__code", F.posexplode(F.arrays_zip("__low", "__high")).alias("k", "e"))
+    bounds = ends.groupBy(*keys, "__code", "k").agg(F.min("e.__low").alias("low"), F.max("e.__high").alias("high"))
+    near = bounds.groupBy(*keys).applyInArrow(_near_kernel(keys, theta), T.StructType(
+        [*key_fields, T.StructField("__a", T.LongType()), T.StructField("__z", T.LongType())]))
+    cut = placed.groupBy(*keys, "__code").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("__parts"))
+    number = lambda code, part: F.col(code) * F.lit(1 << 32) + part
+    side = lambda code, name: cut.select(*keys, F.col("__code").alias(code), F.col("__parts").alias(name))
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    pairs = near.join(side("__a", "__na"), [*keys, "__a"]).join(side("__z", "__nz"), [*keys, "__z"])
+    pairs = pairs.withColumn("__i", each("__na")).withColumn("__j", each("__nz")).filter("__a <> __z or __i <= __j").select(
+        *keys, number("__a", F.col("__i")).alias("__p"), number("__z", F.col("__j")).alias("__q"))
+    rows = placed.join(cut, [*keys, "__code"]).select(
+        *names, number("__code", F.pmod(F.xxhash64("__id"), F.col("__parts"))).alias("__b"))
+    return rows, pairs
+
+
+def compared_blocks(
+    df: DataFrame, threshold: float, ident: str = "id", vec: str = "embedding", within: list[str] | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(within, __dim, __p, __q, comparisons)``: the pairs of blocks that ``similar_pairs`` compares
+    in its groups of several blocks, with the number of pairs of rows in each."""
+    keys = [*(within or []), "__dim"]
+    rows = df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(
+        *(within or []), F.col(ident).alias("__id"), F.col(vec).alias("__v"), F.lit(False).alias("__solo"), F.size(vec).alias("__dim"))
+    placed, pairs = _near_blocks(blocked(rows, keys, "__id", block_rows).filter("__nb > 1"), keys, threshold, block_rows)
+    held = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    side = lambda end, n: held.select(*keys, F.col("__b").alias(end), F.col("__n").alias(n))
+    own = F.col("__np") * (F.col("__np") - 1) / 2
+    return pairs.join(side("__p", "__np"), [*keys, "__p"]).join(side("__q", "__nq"), [*keys, "__q"]).select(
+        *keys, "__p", "__q", F.when(F.col("__p") == F.col("__q"), own).otherwise(F.col("__np") * F.col("__nq")).cast("long").alias("comparisons"))
 
 
 def has_direction(vec: str) -> Column:
@@ -145,8 +306,9 @@ def similar_pairs(
 ) -> DataFrame:
     """Unordered pairs ``(id_a < id_b, similarity)`` with cosine at or above ``threshold``.
 
-    Exact. Rows of one ``within`` group are hashed to even blocks, every pair of blocks is
-    one matrix product, and no task holds more than two blocks. Equal vectors stand as one:
+    Exact. A ``within`` group of more than a block is cut into cells around pivots; every pair
+    of blocks that may hold near rows is one matrix product, the others are skipped by the
+    triangle inequality, and no task holds more than two blocks. Equal vectors stand as one:
     copies are linked to their smallest id (similarity 1), and that id carries the pairs
     with other vectors, so a group of copies adds rows, not squares of rows. With
     ``collapse=False`` each row pairs on its own. Two rows flagged ``solo`` never pair.
