@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyrank import fixtures as fx
@@ -10,6 +11,13 @@ from storyrank.catalog.q_sources import (
 )
 from storyrank.catalog.registry import query, with_views
 from storyrank.operators import tables as tb
+from storyrank.operators.stored import StoredTable, merge_digests, merge_embeddings, merge_items, merge_stories
+from storyrank.session import scratch
+
+
+def _stored(rows: DataFrame, keys: list[str]) -> StoredTable:
+    """The rows as a stored table in the shared folder."""
+    return StoredTable.create(rows, scratch(rows.sparkSession, "stored"), keys, buckets=8)
 
 
 def _e0(col="embedding"):
@@ -29,7 +37,9 @@ def snk_01(spark, d):
     pages = fx.table(spark, d, "pages").select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.lit("web").alias("source"),
         F.lit(None).cast("array<float>").alias("embedding"))
-    return tb.upsert_items(target, batch.union(pages)).select("id", "source", _e0())
+    table = _stored(target, ["id"])
+    merge_items(table, batch.union(pages))
+    return table.read().select("id", "source", _e0())
 
 
 @query("SNK-02", """
@@ -42,7 +52,9 @@ def snk_02(spark, d):
     vec = fx.table(spark, d, "embeddings")
     known = vec.select(F.concat(F.lit("item-"), F.col("vec_id").cast("string")).alias("id"), "embedding")
     unknown = vec.select(F.concat(F.lit("nowhere-"), F.col("vec_id").cast("string")).alias("id"), "embedding")
-    return tb.set_embeddings(items, known.union(unknown)).select("id", _e0())
+    table = _stored(items, ["id"])
+    merge_embeddings(table, known.union(unknown))
+    return table.read().select("id", _e0())
 
 
 @query("SNK-03", """
@@ -60,8 +72,9 @@ def snk_03(spark, d):
     batch = stories.join(wanted, "story_id", "left_semi").select(F.col("story_id").alias("id"), F.lit("new").alias("title"),
                                         F.lit("2024-01-30 00:00:00").cast("timestamp").alias("created_at"))
     moved = members.join(wanted, "story_id", "left_semi").select("story_id", F.concat(F.lit("moved-"), "item_id").alias("item_id"))
-    out, kept = tb.upsert_stories(rows, members, batch, moved.union(moved))
-    return out.withColumnRenamed("id", "story_id").join(kept, "story_id")
+    stories, bridge = _stored(rows, ["id"]), _stored(members.select("story_id", "item_id"), ["story_id"])
+    merge_stories(stories, bridge, batch, moved.union(moved))
+    return stories.read().withColumnRenamed("id", "story_id").join(bridge.read(), "story_id")
 
 
 @query("SNK-04", with_views("""
@@ -91,7 +104,9 @@ def snk_05(spark, d):
     weekly = changed.filter("kind = 'weekly'")
     added = changed.filter("tier = 'minor'").withColumn("id", F.concat(F.lit("new-"), "id"))
     batch = weekly.unionByName(added).withColumn("tier", F.lit("notable")).drop("quiet")
-    return tb.save_digests(old, batch)
+    table = _stored(old, ["id"])
+    merge_digests(table, batch)
+    return table.read()
 
 
 @query("SNK-06", with_views("""
