@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from storyrank.functions.text import _c
 
@@ -56,22 +56,32 @@ def unit_rows(mat: np.ndarray) -> np.ndarray:
     return mat / norms
 
 
-@pandas_udf(T.DoubleType())
-def cosine_bulk(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Row-wise cosine of two vector columns, one Arrow batch at a time."""
-    out = np.zeros(len(a))
-    usable = [
-        i for i, (x, y) in enumerate(zip(a, b, strict=True))
-        if x is not None and y is not None and len(x) == len(y) and len(x) > 0
-    ]
-    by_dim: dict[int, list[int]] = {}
-    for i in usable:
-        by_dim.setdefault(len(a.iloc[i]), []).append(i)
-    for dim, rows in by_dim.items():
-        x = unit_rows(to_matrix([a.iloc[i] for i in rows], dim))
-        y = unit_rows(to_matrix([b.iloc[i] for i in rows], dim))
-        out[rows] = np.clip(np.einsum("ij,ij->i", x, y), -1.0, 1.0)
-    return pd.Series(out)
+def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of each row's entries, and the entries, out of the list's own buffers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    length = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    values = column.values.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    return offsets[:-1], length, np.nan_to_num(values, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+@arrow_udf(T.DoubleType())
+def cosine_bulk(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Row-wise cosine of two vector columns, computed on the flat buffers of a batch."""
+    (at, n, x), (bt, m, y) = _list_parts(a), _list_parts(b)
+    out = np.zeros(len(n))
+    rows = np.flatnonzero((n == m) & (n > 0))
+    if len(rows):
+        size = n[rows]
+        starts = size.cumsum() - size
+        step = np.arange(size.sum()) - np.repeat(starts, size)
+        u, v = x[np.repeat(at[rows], size) + step], y[np.repeat(bt[rows], size) + step]
+        dot, uu, vv = (np.add.reduceat(p, starts) for p in (u * v, u * u, v * v))
+        norms = np.sqrt(uu) * np.sqrt(vv)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[rows] = np.where(norms > 0, np.clip(dot / norms, -1.0, 1.0), 0.0)
+    return pa.array(out, pa.float64())
 
 
 def vector_sums(df: DataFrame, keys: list[str], vec: str, weight: Column | None = None) -> DataFrame:

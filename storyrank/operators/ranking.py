@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from storyrank import constants as K
 from storyrank.functions import signals as S
 from storyrank.functions.text import _c, announce_score, is_release_title
-from storyrank.functions.vectors import cosine_bulk
+from storyrank.functions.vectors import cosine
 from storyrank.operators.filters import source_lengths
 from storyrank.params import Profile, tier_thresholds
-from storyrank.session import ensure_checkpoint_dir
+
+
+SKETCH = 10_000  # a sketch's rank is off by one in this many values at most
+BRACKET = 200_000  # values around a wanted rank that are counted one by one
 
 
 def personal_score(embedding, interest: Column | str) -> Column:
     """Cosine to the interest vector, never below 0; 0 when either is missing."""
-    return F.greatest(F.lit(0.0), cosine_bulk(_c(embedding).cast("array<double>"), _c(interest).cast("array<double>")))
+    return F.greatest(F.lit(0.0), cosine(embedding, interest))
 
 
 def story_citation(stories: DataFrame, members: DataFrame, key: str = "story_id") -> DataFrame:
@@ -147,32 +150,43 @@ def tier_sweep(
 
 
 # --- quantiles --------------------------------------------------------------------
-def quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
-    """Nearest-rank quantiles ``(q, value)``, exact. Equal values are counted together,
-    the counts are range-partitioned by value and kept by a reliable checkpoint; only the
-    ranges that hold a wanted rank are then summed up inside."""
-    ensure_checkpoint_dir(df.sparkSession)
-    hist = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
-        F.count("*").alias("n"))
-    ranged = hist.repartitionByRange("v").withColumn("pid", F.spark_partition_id()).checkpoint()
-    sums = ranged.groupBy("pid").agg(F.sum("n").alias("pn"))
-    order = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = sums.withColumn("start", F.coalesce(F.sum("pn").over(order), F.lit(0)))
-    total = sums.agg(F.sum("pn")).scalar()
-    wanted = starts.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).withColumn(
-        "rank", F.bround(F.col("q") * (total - 1)).cast("bigint")
-    ).filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("pn")))
-    inside = ranged.join(wanted.select("pid", "start", "q", "rank"), "pid")
+def quantiles(df: DataFrame, col: str, qs: list[float], accuracy: int = SKETCH, most: int = BRACKET) -> DataFrame:
+    """Nearest-rank quantiles ``(q, value)``, exact, by selection.
+
+    A mergeable sketch brackets each wanted rank; a second scan counts what lies below each
+    bracket and inside it. Brackets of more than ``most`` values are cut again by a sketch of
+    their own. Only the values inside the last brackets are shuffled, as counts of equal ones;
+    the column never is. Nulls are left out; without values there are no rows, as without ``qs``.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    qs = sorted({float(q) for q in qs})
+    ends = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    total = ends[2]
+    if not total or not qs:
+        return df.sparkSession.createDataFrame([], "q double, value double")
+    open_ = {q: (ends[0], ends[1], 0, total) for q in qs}  # least, largest, values below, values inside
+    rank = {q: round(q * (total - 1)) for q in qs}  # half to even
+    while any(low < high and n > most for low, high, _, n in open_.values()):
+        wide = [q for q in qs if open_[q][0] < open_[q][1] and open_[q][3] > most]
+        inside = {q: F.when(F.col("v").between(*open_[q][:2]), F.col("v")) for q in wide}
+        share = {q: (rank[q] - open_[q][2]) / max(open_[q][3] - 1, 1) for q in wide}
+        near = [F.percentile_approx(inside[q], [max(0.0, share[q] - 2 / accuracy), min(1.0, share[q] + 2 / accuracy)], accuracy) for q in wide]
+        cuts = dict(zip(wide, values.agg(*near).first(), strict=True))
+        counts = values.agg(*[F.count_if(c) for q in wide for c in (F.col("v") < cuts[q][0], F.col("v").between(*cuts[q]))]).first()
+        for k, q in enumerate(wide):
+            below, n = counts[2 * k], counts[2 * k + 1]
+            if not below <= rank[q] < below + n or n == open_[q][3]:
+                most = max(most, open_[q][3])  # no narrower bracket of this one; it is worked on as it is
+                continue
+            open_[q] = (*cuts[q], below, n)
+    bounds = F.explode(F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip((q, *open_[q][:3], rank[q]), ("q", "low", "high", "below", "rank"), strict=True)]) for q in qs]))
+    any_ = None
+    for low, high, _, _ in open_.values():
+        any_ = F.col("v").between(low, high) if any_ is None else any_ | F.col("v").between(low, high)
+    held = values.filter(any_).groupBy("v").agg(F.count("*").alias("n")).select("v", "n", bounds.alias("b")).select("v", "n", "b.*")
     run = Window.partitionBy("q").orderBy("v")
-    found = inside.withColumn("upto", F.col("start") + F.sum("n").over(run)).filter(F.col("upto") > F.col("rank"))
-    return found.groupBy("q").agg(F.min("v").alias("value"))
-
-
-def quantiles_approx(df: DataFrame, col: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
-    """The same table from one mergeable sketch, within 1 / accuracy of the wanted rank."""
-    wanted = F.array(*[F.lit(float(q)) for q in qs])
-    found = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("v"))
-    return found.select(F.explode(F.arrays_zip(wanted.alias("q"), F.col("v").alias("value"))).alias("z")).select("z.*")
+    found = held.filter(F.col("v").between(F.col("low"), F.col("high"))).withColumn("upto", F.col("below") + F.sum("n").over(run))
+    return found.filter(F.col("upto") > F.col("rank")).groupBy("q").agg(F.min("v").alias("value"))
 
 
 def family_counts(stories: DataFrame) -> DataFrame:

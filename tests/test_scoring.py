@@ -129,3 +129,24 @@ def test_coverage_of_empty_day(spark):
     spine = spark.createDataFrame([("d",), ("e",)], "day string")
     got = {r["day"]: (r["coverage"], r["uncovered_titles"]) for r in ev.coverage(stories, done, spine=spine).collect()}
     assert got == {"d": (0.5, ["b"]), "e": (1.0, [])}
+
+
+def test_quantiles_by_selection(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7D WHEN id % 50 = 1 THEN NULL ELSE (id * 7919 % 4999) / 3D - 200 END AS v")
+    values = sorted(r[0] for r in rows.collect() if r[0] is not None)
+    qs = [0.0, 0.1, 0.33, 0.5, 0.9, 0.999, 1.0]
+    want = {q: values[round(q * (len(values) - 1))] for q in qs}
+    for most, accuracy in ((200_000, 10_000), (40, 100), (1, 20)):
+        got = {r["q"]: r["value"] for r in rk.quantiles(rows, "v", qs, accuracy, most).collect()}
+        assert got == want
+    assert rk.quantiles(rows.filter("v IS NULL"), "v", qs).count() == 0
+    same = spark.range(100).selectExpr("1D AS v")
+    assert {r["value"] for r in rk.quantiles(same, "v", qs, most=1).collect()} == {1.0}
+
+
+def test_cosine_on_buffers(spark):
+    rows = spark.createDataFrame([
+        ([1.0, 2.0], [2.0, 4.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([], []), ([0.0, 0.0], [1.0, 1.0]),
+        ([1.0, None], [1.0, 5.0]), ([float("nan"), 1.0], [3.0, 1.0]), ([-1.0, -1.0], [1.0, 1.0])], "a array<double>, b array<double>").repartition(1)
+    for r in rows.select(V.cosine("a", "b").alias("x"), V.cosine_bulk("a", "b").alias("y")).collect():
+        assert abs(r["x"] - r["y"]) < 1e-12
