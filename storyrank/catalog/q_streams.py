@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -49,17 +50,41 @@ def signals_of(ev):
         F.col("ts").alias("created_at"))
 
 
+@contextmanager
+def keyed_state(spark):
+    """The state store that keyed processors need, for the queries inside."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def arrivals(ev):
+    """Every fiftieth row arrives two days after it was published."""
+    return ev.select(
+        "event_id", "event_type", "ts", fx.family_of(F.col("user_id") % 4).alias("family"), F.col("ts").alias("published_at"),
+        F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("interval 48 hours")).otherwise(F.col("ts")).alias("fetched_at"))
+
+
 @query("STR-01", """
-select 'e' || cast(event_id % 1000 as varchar) as id, event_type as source, ts as published_at from events
-qualify row_number() over (partition by event_id % 1000 order by ts desc, event_id desc) = 1""")
+select 'e' || cast(event_id // 10 as varchar) as id, max_by(event_type, (ts, event_id)) as source, max(ts) as published_at,
+  count(*) filter (event_id % 50 = 0 and user_id % 4 <> 0) as n_late
+from events group by event_id // 10""")
 def str_01(spark, d):
-    """Ids come again and again with changed values; the newest version stands."""
-    items = event_stream(spark, d).select(
-        F.concat(F.lit("e"), (F.col("event_id") % 1000).cast("string")).alias("id"), F.col("event_type").alias("source"),
-        F.col("ts").alias("published_at"), "event_id")
-    log = scratch(spark, "stream-items")
-    st.stream_ingest(items, log, scratch(spark, "ckpt"), ["published_at", "event_id"])
-    return st.ingested(spark, log).select("id", "source", "published_at")
+    """Ids come again and again with changed values; the newest version stands, late rows are told."""
+    items = arrivals(event_stream(spark, d)).select(
+        F.concat(F.lit("e"), F.expr("event_id div 10").cast("string")).alias("id"), F.col("event_type").alias("source"),
+        "family", "published_at", "fetched_at", "event_id")
+    log, late = scratch(spark, "stream-items"), scratch(spark, "stream-late")
+    st.stream_ingest(items, log, scratch(spark, "ckpt"), ["published_at", "event_id"], late)
+    counts = st.read_log(spark, late).groupBy("id").agg(F.count("*").alias("n_late"))
+    return st.ingested(spark, log).join(counts, "id", "left").select(
+        "id", "source", "published_at", F.coalesce("n_late", F.lit(0)).cast("long").alias("n_late"))
 
 
 _ARRIVAL = """select event_id, case user_id % 4 when 0 then 'academia' when 1 then 'industry' when 2 then 'community' else 'meta' end as family,
@@ -69,10 +94,7 @@ _ARRIVAL = """select event_id, case user_id % 4 when 0 then 'academia' when 1 th
 @query("STR-02", f"""
 select event_id, not (delay = 48 and family <> 'academia') as on_time from ({_ARRIVAL})""")
 def str_02(spark, d):
-    """Every fiftieth row arrives two days after it was published."""
-    rows = event_stream(spark, d).select(
-        "event_id", fx.family_of(F.col("user_id") % 4).alias("family"), F.col("ts").alias("published_at"),
-        F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("interval 48 hours")).otherwise(F.col("ts")).alias("fetched_at"))
+    rows = arrivals(event_stream(spark, d)).select("event_id", "family", "published_at", "fetched_at")
     kept, late = scratch(spark, "stream-kept"), scratch(spark, "stream-late")
     st.stream_window_gate(rows, kept, late, scratch(spark, "ckpt"))
     return st.read_log(spark, kept).select("event_id", F.lit(True).alias("on_time")).union(
@@ -82,9 +104,9 @@ def str_02(spark, d):
 @query("STR-03", with_views(f"with {BOOST_SQL.strip()} select target_id, round(boost, 6)::double as boost from boosts", "feedback"))
 def str_03(spark, d):
     log = scratch(spark, "stream-boosts")
-    epoch = "2024-01-20 00:00:00"
-    st.stream_boosts(signals_of(event_stream(spark, d)), log, scratch(spark, "ckpt"), epoch)
-    return st.boosts_at(spark, log, epoch, fx.AS_OF).select("target_id", F.round("boost", 6).alias("boost"))
+    with keyed_state(spark):
+        st.stream_boosts(signals_of(event_stream(spark, d)), log, scratch(spark, "ckpt"), delay=DELAY)
+    return st.boosts_at(spark, log, fx.AS_OF).select("target_id", F.round("boost", 6).alias("boost"))
 
 
 @query("STR-04", """
@@ -103,15 +125,8 @@ def str_05(spark, d):
     """The throttle with three hits an hour per kind of event, as keyed state."""
     hits = event_stream(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("who"), "ts")
     log = scratch(spark, "stream-throttle")
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
+    with keyed_state(spark):
         st.run_available(st.stream_throttle(hits, 3, 3600), scratch(spark, "ckpt"), st.log_batches(log))
-    finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
     return st.read_log(spark, log).select("id", "who", "admitted")
 
 

@@ -7,6 +7,7 @@ row per key over the log.
 
 from __future__ import annotations
 
+import math
 from bisect import insort
 from collections.abc import Callable, Iterator
 
@@ -42,27 +43,33 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- ingest -----------------------------------------------------------------------
+def newest_versions(stream: DataFrame, order: list[str]) -> DataFrame:
+    """Of each id the newest version by ``order``, and its newest vector, as keyed state of a
+    streaming aggregate; an id's row is given whenever the id came again."""
+    rest = [c for c in stream.columns if c not in ("id", "embedding")]
+    place = F.struct(*order)
+    aggs = [F.max_by(F.struct(*rest), place).alias("__row")]
+    if "embedding" in stream.columns:
+        aggs.append(F.max_by("embedding", F.when(F.col("embedding").isNotNull(), place)).alias("embedding"))
+    return stream.groupBy("id").agg(*aggs).select("id", "__row.*", *(["embedding"] if len(aggs) > 1 else []))
+
+
 def stream_ingest(stream: DataFrame, log: str, checkpoint: str, order: list[str], late: str | None = None) -> None:
-    """Every arrival goes to the log, of each id in a micro-batch the last by ``order``. With
-    ``late`` (rows then carry family and fetched_at), rows that came after their look-back
-    are written there as well, so that they can be told and counted; none is dropped."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        last_per_key(batch, ["id"], order).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        if late:
-            batch.filter(~on_time()).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+    """The item table's changes go to the log: for each id of a micro-batch its row as it then
+    stands, the newest by ``order`` (not the last to arrive), with its newest vector.
 
-    run_available(stream, checkpoint, write)
+    No row is dropped for its age. With ``late`` (rows then carry family, published_at and
+    fetched_at), those that came after their look-back are written there too, so that they
+    can be told and counted.
+    """
+    run_available(newest_versions(stream, order), checkpoint, log_batches(log), "update")
+    if late:
+        run_available(stream.filter(~on_time()), f"{checkpoint}-late", log_batches(late))
 
 
 def ingested(spark: SparkSession, log: str) -> DataFrame:
-    """The item table: the newest version of each id by arrival, an older vector kept if it has none."""
-    rows = read_log(spark, log)
-    latest = last_per_key(rows.drop("embedding") if "embedding" in rows.columns else rows, ["id"], ["batch"])
-    if "embedding" not in rows.columns:
-        return latest.drop("batch")
-    vecs = rows.filter(F.col("embedding").isNotNull()).groupBy("id").agg(
-        F.max_by("embedding", "batch").alias("embedding"))
-    return latest.drop("batch").join(vecs, "id", "left")
+    """The item table as of the last batch."""
+    return last_per_key(read_log(spark, log), ["id"], ["batch"]).drop("batch")
 
 
 # --- late rows --------------------------------------------------------------------
@@ -86,26 +93,70 @@ def stream_window_gate(stream: DataFrame, kept: str, late: str, checkpoint: str)
 
 
 # --- boosts -----------------------------------------------------------------------
-def running_boosts(stream: DataFrame, epoch, half_life_days: float = K.FEEDBACK_HALF_LIFE_DAYS) -> DataFrame:
-    """Per target the sum of reaction weights as they will count at ``epoch``; decay turns
-    this sum as a whole, so nothing needs to be looked at twice."""
-    rows = stream.withColumn("__w", signal_weight()).filter(F.col("__w").isNotNull())
-    days = (F.unix_micros("created_at") - F.unix_micros(F.lit(epoch).cast("timestamp"))) / 86_400_000_000.0
-    grown = F.col("__w") * F.pow(F.lit(2.0), days / half_life_days)
-    return rows.groupBy("target_id").agg(F.sum(grown).alias("total"))
+class Boost(StatefulProcessor):
+    """Remembers of a target its sum of reaction weights as of its last reaction. The sum is
+    carried on to each later reaction, so no fixed date is needed; a target whose sum has
+    decayed to nothing is forgotten when its timer, set by the stream's watermark, is due."""
 
+    def __init__(self, half_life_days: float, least: float) -> None:
+        self.life, self.least = half_life_days * 86_400_000_000, least
 
-def stream_boosts(stream: DataFrame, log: str, checkpoint: str, epoch) -> None:
-    run_available(running_boosts(stream, epoch), checkpoint, log_batches(log), "update")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.sum = handle, handle.getValueState("sum", "total double, at long")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total, at = self.sum.get() if self.sum.exists() else (0.0, None)
+        for frame in rows:
+            t, w = frame["t"].to_numpy(), frame["w"].to_numpy()
+            now = int(max(t.max(), t.min() if at is None else at))
+            total = (total * 0.5 ** ((now - at) / self.life) if at is not None else 0.0) + float((w * 0.5 ** ((now - t) / self.life)).sum())
+            at = now
+        self.sum.update((total, at))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        lives = max(math.log2(max(abs(total), self.least) / self.least), 0.0)
+        self.handle.registerTimer(int((at + lives * self.life) // 1000) + 1)
+        yield pd.DataFrame({"target_id": [key[0]], "total": [total], "at": [at], "forgotten": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sum.clear()
+        yield pd.DataFrame({"target_id": [key[0]], "total": [0.0], "at": [timerValues.getCurrentWatermarkInMs() * 1000], "forgotten": [True]})
 
-def boosts_at(spark: SparkSession, log: str, epoch, as_of, half_life_days: float = K.FEEDBACK_HALF_LIFE_DAYS) -> DataFrame:
-    """``(target_id, boost)`` as of a moment not before the last reaction."""
-    latest = last_per_key(read_log(spark, log), ["target_id"], ["batch"])
-    days = S.age_days(F.lit(epoch).cast("timestamp"), as_of) / half_life_days
+    def close(self) -> None:
+        pass
+
+
+def running_boosts(stream: DataFrame, half_life_days: float = K.FEEDBACK_HALF_LIFE_DAYS, least: float = 1e-9, delay: str = "1 hour") -> DataFrame:
+    """``(target_id, total, at, forgotten)`` whenever a target's sum changes: what its reactions count at
+    ``at``, its last one. A reaction without a weight or a time does not count; one that comes
+    ``delay`` behind the newest is dropped by the watermark."""
+    rows = stream.withColumn("w", signal_weight()).filter(F.col("w").isNotNull() & F.col("created_at").isNotNull())
+    rows = rows.withWatermark("created_at", delay).select("target_id", "created_at", "w", F.unix_micros("created_at").alias("t"))
+    return rows.groupBy("target_id").transformWithStateInPandas(
+        statefulProcessor=Boost(half_life_days, least), outputStructType="target_id string, total double, at long, forgotten boolean",
+        outputMode="Append", timeMode="EventTime")
+
+
+def stream_boosts(stream: DataFrame, log: str, checkpoint: str, **settings) -> None:
+    run_available(running_boosts(stream, **settings), checkpoint, log_batches(log))
+
+
+def boosts_at(spark: SparkSession, log: str, as_of, half_life_days: float = K.FEEDBACK_HALF_LIFE_DAYS) -> DataFrame:
+    """``(target_id, boost)`` as of a moment not before the last reaction; forgotten targets are left out."""
+    latest = last_per_key(read_log(spark, log), ["target_id"], ["batch"]).filter("NOT forgotten")
+    days = S.age_days(F.timestamp_micros("at"), as_of) / half_life_days
     return latest.select("target_id", (F.col("total") * F.pow(F.lit(0.5), days)).alias("boost"))
 
 
+def compact_log(spark: SparkSession, log: str, target: str, keys: list[str], order: list[str]) -> None:
+    """The log's last row of each key as a log of one batch in the folder ``target``; the old
+    log stays. It reads as the old one does, and later batches may be written behind it."""
+    rows = read_log(spark, log)
+    last = rows.agg(F.max("batch")).first()[0]
+    if last is not None:
+        last_per_key(rows, keys, order).drop("batch").write.mode("overwrite").parquet(f"{target}/batch={last}")
+
+
 # --- engagement and sessions ------------------------------------------------------
 def running_engagement(stream: DataFrame, key: str, length: str = "36 hours", slide: str | None = "3 hours", delay: str = "1 hour") -> DataFrame:
     """Counts and sums per key over sliding (or, without ``slide``, tumbling) windows. In
