@@ -45,11 +45,6 @@ def l2_normalize(v, dim: int | None = None) -> Column:
     return F.when(norm == 0, x).otherwise(F.transform(x, lambda e: e / norm))
 
 
-def to_matrix(values: list | np.ndarray, dim: int) -> np.ndarray:
-    flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in values]) if len(values) else np.zeros(0)
-    return np.nan_to_num(flat.reshape(-1, dim), nan=0.0, posinf=0.0, neginf=0.0)
-
-
 def unit_rows(mat: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(mat, axis=1, keepdims=True)
     norms[norms == 0.0] = 1.0
