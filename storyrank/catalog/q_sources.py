@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from storyrank import fixtures as fx
 from storyrank.catalog.registry import query, with_views
-from storyrank.operators.similarity import similar_items
+from storyrank.operators.nearest import similar_items
 from storyrank.session import scratch
 from storyrank.sources import landing, scans
 

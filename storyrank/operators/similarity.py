@@ -1,4 +1,4 @@
-"""Exact similarity joins: block-partitioned pairs and k-nearest items."""
+"""Exact similarity joins: block-partitioned pairs."""
 
 from __future__ import annotations
 
@@ -17,10 +17,9 @@ RINGS = 16  # rings of a cell
 REFERENCES = 32  # pivots whose angles bound a block
 SAMPLE = 1024  # rows of a group that pivots are picked from
 MARGIN = 1e-6  # rounding of angles
-MAX_BROADCAST_QUERIES = 4096
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of one list column as float64, non-finite parts read as 0."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(arr, pa.ChunkedArray):
@@ -74,7 +73,7 @@ def _pair_kernel(threshold: float, id_type: pa.DataType, forest: bool):
         right = np.flatnonzero(block == q)
         if len(left) == 0 or len(right) == 0:
             return schema.empty_table()
-        unit = unit_rows(_matrix(table["__v"]))
+        unit = unit_rows(matrix(table["__v"]))
         ids = table["__id"].to_numpy()
         solo = table["__solo"].to_numpy(zero_copy_only=False)
         sim = np.clip(unit[left] @ unit[right].T, -1.0, 1.0)
@@ -156,7 +155,7 @@ def _spread(rows: DataFrame, keys: list[str], threshold: float, block_rows: int)
 
 def _pick_pivots(rows: pa.Table, number: int) -> np.ndarray:
     """Directions that lie far apart: each next one is the farthest from those before it."""
-    unit = unit_rows(_matrix(rows["__v"]))
+    unit = unit_rows(matrix(rows["__v"]))
     unit = unit[np.linalg.norm(unit, axis=1) > 0.5]
     if not len(unit):
         return np.zeros((1, 0))
@@ -183,7 +182,7 @@ def _pivot_kernel(keys: list[str], block_rows: int):
 def _cell_kernel(keys: list[str], theta: float, names: list[str]):
     """Cell, ring and the angles to the first pivots: for each block of the task its least and largest."""
     def kernel(rows: pa.Table, pivots: pa.Table) -> pa.Table:
-        unit = unit_rows(_matrix(rows["__v"]))
+        unit = unit_rows(matrix(rows["__v"]))
         some = np.flatnonzero(np.linalg.norm(unit, axis=1) > 0.5)  # without a direction nothing is near
         centre = pivots["__pivots"][0].values.to_numpy().reshape(pivots["__count"][0].as_py(), -1)
         if not centre.shape[1]:
@@ -227,47 +226,63 @@ def _near_kernel(keys: list[str], theta: float):
     return kernel
 
 
-def _near_blocks(large: DataFrame, keys: list[str], threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their block ``__b``, and the pairs of blocks that may hold near rows.
+def block_number(code: str, part: Column) -> Column:
+    return F.col(code) * F.lit(1 << 32) + part
 
-    A group's pivots are picked from a bounded sample; which ones does not change the result.
-    Each row goes to its nearest pivot's cell and, by its angle, to a ring of it. By the
-    triangle inequality two rows are at least as far apart as their angles to any one pivot
-    differ, so blocks whose angles to some pivot differ by more than the threshold's are not
-    compared. Blocks are cut to ``block_rows`` rows by hash, and what is kept of a group (at
-    most ``MAX_PIVOTS * RINGS`` blocks by ``REFERENCES`` angles) fits one task.
+
+def in_cells(
+    rows: DataFrame, keys: list[str], width: float, names: list[str], block_rows: int,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (``__nb``, ``__b`` by ``blocked``) in cells and rings of ``width``: the rows with their ``__code``,
+    the pivots, each code's least and largest angle to the first pivots, and its size with the blocks it is cut to.
+
+    Pivots come from a bounded sample of a group. Rows without a direction are left out.
     """
-    theta = float(np.arccos(min(threshold, 1.0)))
-    field = {f.name: f for f in large.schema.fields}
+    field = {f.name: f for f in rows.schema.fields}
     key_fields = [field[k] for k in keys]
-    sizes = large.groupBy(*keys).agg(F.count("*").alias("__n"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     first = Window.partitionBy(*keys).orderBy(F.xxhash64("__id"), "__id")
-    sample = large.select(*keys, "__id", "__v").withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= SAMPLE)
+    sample = rows.select(*keys, "__id", "__v").withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= SAMPLE)
     sample = sample.join(sizes, keys)
     pivots = sample.groupBy(*keys).applyInArrow(_pivot_kernel(keys, block_rows), T.StructType(
         [*key_fields, T.StructField("__pivots", T.ArrayType(T.DoubleType())), T.StructField("__count", T.IntegerType())]))
-    parts = large.select(*keys, "__nb").distinct()
+    parts = rows.select(*keys, "__nb").distinct()
     sent = pivots.join(parts, keys).select(*keys, "__pivots", "__count", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)).alias("__b"))
-    names = [*keys, "__id", "__v", "__solo"]
     angles = T.ArrayType(T.DoubleType())
-    placed = large.groupBy(*keys, "__b").cogroup(sent.groupBy(*keys, "__b")).applyInArrow(
-        _cell_kernel(keys, max(theta, 1e-3), names),
-        T.StructType([*[field[n] for n in names], T.StructField("__code", T.LongType()), T.StructField("__low", angles), T.StructField("__high", angles)]))
-    placed = stage(placed)
+    placed = stage(rows.groupBy(*keys, "__b").cogroup(sent.groupBy(*keys, "__b")).applyInArrow(
+        _cell_kernel(keys, width, names),
+        T.StructType([*[field[n] for n in names], T.StructField("__code", T.LongType()), T.StructField("__low", angles), T.StructField("__high", angles)])))
     ends = placed.filter(F.col("__low").isNotNull()).select(
         *keys, "__code", F.posexplode(F.arrays_zip("__low", "__high")).alias("k", "e"))
     bounds = ends.groupBy(*keys, "__code", "k").agg(F.min("e.__low").alias("low"), F.max("e.__high").alias("high"))
+    cut = placed.groupBy(*keys, "__code").agg(
+        F.count("*").alias("__size"), F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("__parts"))
+    return placed, pivots, bounds, cut
+
+
+def _near_blocks(large: DataFrame, keys: list[str], threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their block ``__b``, and the pairs of blocks that may hold near rows.
+
+    A group's pivots are picked from a bounded sample; which ones does not change the result.
+    Each row goes to its nearest pivot's cell and, by its angle, to a ring of it. By the
+    triangle inequality two rows are at least as far apart as their angles to any one pivot
+    differ, so blocks whose angles to some pivot differ by more than the threshold's are not
+    compared. Blocks are cut to ``block_rows`` rows by hash, and what is kept of a group (at
+    most ``MAX_PIVOTS * RINGS`` blocks by ``REFERENCES`` angles) fits one task.
+    """
+    theta = float(np.arccos(min(threshold, 1.0)))
+    names = [*keys, "__id", "__v", "__solo"]
+    placed, _, bounds, cut = in_cells(large, keys, max(theta, 1e-3), names, block_rows)
+    key_fields = [large.schema[k] for k in keys]
     near = bounds.groupBy(*keys).applyInArrow(_near_kernel(keys, theta), T.StructType(
         [*key_fields, T.StructField("__a", T.LongType()), T.StructField("__z", T.LongType())]))
-    cut = placed.groupBy(*keys, "__code").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("__parts"))
-    number = lambda code, part: F.col(code) * F.lit(1 << 32) + part
     side = lambda code, name: cut.select(*keys, F.col("__code").alias(code), F.col("__parts").alias(name))
     each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
     pairs = near.join(side("__a", "__na"), [*keys, "__a"]).join(side("__z", "__nz"), [*keys, "__z"])
     pairs = pairs.withColumn("__i", each("__na")).withColumn("__j", each("__nz")).filter("__a <> __z or __i <= __j").select(
-        *keys, number("__a", F.col("__i")).alias("__p"), number("__z", F.col("__j")).alias("__q"))
+        *keys, block_number("__a", F.col("__i")).alias("__p"), block_number("__z", F.col("__j")).alias("__q"))
     rows = placed.join(cut, [*keys, "__code"]).select(
-        *names, number("__code", F.pmod(F.xxhash64("__id"), F.col("__parts"))).alias("__b"))
+        *names, block_number("__code", F.pmod(F.xxhash64("__id"), F.col("__parts"))).alias("__b"))
     return rows, pairs
 
 
@@ -372,95 +387,3 @@ def link_edges(
         .join(copied, [*within, vec]).filter(F.col("id_b") != F.col("id_a"))
     )
     return edges.select("id_a", "id_b").unionByName(stars.select("id_a", "id_b"))
-
-
-# --- k nearest --------------------------------------------------------------------
-def _top_block(q_ids, q_unit: np.ndarray, ids, unit: np.ndarray, k: int):
-    sim = np.clip(q_unit @ unit.T, 0.0, 1.0)
-    for row, qid in enumerate(q_ids):
-        if len(ids) > k:
-            floor = np.partition(sim[row], len(ids) - k)[len(ids) - k]
-            best = np.flatnonzero(sim[row] >= floor)
-        else:
-            best = np.arange(len(ids))
-        order = sorted(best.tolist(), key=lambda j: (-sim[row, j], ids[j]))[:k]
-        for j in order:
-            yield qid, ids[j], float(sim[row, j])
-
-
-def similar_items(
-    items: DataFrame, queries: DataFrame, k: int = 20, since=None,
-    max_broadcast: int = MAX_BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``(query_id, id, similarity, rank)``: the ``k`` nearest items of each query.
-
-    A small set of queries (its size is checked) rides along with the scan and every batch
-    ships only its own best ``k``; more queries than that meet the items block by block.
-    """
-    items = items.filter(F.col("embedding").isNotNull())
-    if since is not None:
-        items = items.filter(F.col("published_at") >= F.lit(since).cast("timestamp"))
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    i_type = items.schema["id"].dataType.simpleString()
-    schema = f"query_id {q_type}, id {i_type}, similarity double"
-    rows = items.select("id", "embedding")
-    small = queries.select("query_id", "embedding").limit(max_broadcast + 1).collect()
-    if len(small) <= max_broadcast:
-        by_dim: dict[int, tuple[list, list]] = {}
-        for r in small:
-            ids, vecs = by_dim.setdefault(len(r["embedding"]), ([], []))
-            ids.append(r["query_id"])
-            vecs.append(r["embedding"])
-        packed = {dim: (ids, unit_rows(np.nan_to_num(np.array(v, dtype=np.float64), nan=0.0, posinf=0.0, neginf=0.0)))
-                  for dim, (ids, v) in by_dim.items()}
-        shared = items.sparkSession.sparkContext.broadcast(packed)
-
-        def scan(batches):
-            import pandas as pd
-
-            best: dict = {}  # of each query the nearest so far, so a task sends k rows a query
-            for pdf in batches:
-                dims = pdf["embedding"].map(len)
-                out = []
-                for dim, (q_ids, q_unit) in shared.value.items():
-                    part = pdf[dims == dim]
-                    if len(part):
-                        unit = unit_rows(np.nan_to_num(np.vstack(part["embedding"].to_numpy()).astype(np.float64),
-                                                       nan=0.0, posinf=0.0, neginf=0.0))
-                        out += _top_block(q_ids, q_unit, part["id"].tolist(), unit, k)
-                for query, other, near in out:
-                    best.setdefault(query, []).append((-near, other))
-                best = {q: sorted(found)[:k] for q, found in best.items()}
-            yield pd.DataFrame([(q, other, -near) for q, found in best.items() for near, other in found],
-                               columns=["query_id", "id", "similarity"])
-
-        found = rows.mapInPandas(scan, schema)
-    else:
-        blocks = blocked(rows, [], "id", block_rows)
-        n_blocks = items.agg(F.greatest(F.ceil(F.count("*") / F.lit(block_rows)), F.lit(1)).cast("int"))
-        q_parts = blocked(queries.select("query_id", "embedding"), [], "query_id", block_rows).withColumnRenamed("__b", "__qb")
-        q_rows = q_parts.select(
-            "query_id", "embedding", "__qb",
-            F.explode(F.sequence(F.lit(0), n_blocks.scalar() - 1)).alias("__b"))
-        i_rows = blocks.select(
-            "id", "embedding", "__b",
-            F.explode(F.sequence(
-                F.lit(0),
-                queries.agg(F.greatest(F.ceil(F.count("*") / F.lit(block_rows)), F.lit(1)).cast("int")).scalar() - 1,
-            )).alias("__qb"))
-
-        def meet(left, right):
-            import pandas as pd
-
-            out = []
-            q_dims, i_dims = left["embedding"].map(len), right["embedding"].map(len)
-            for dim in set(q_dims) & set(i_dims):
-                qs, its = left[q_dims == dim], right[i_dims == dim]
-                mats = [unit_rows(np.nan_to_num(np.vstack(x["embedding"].to_numpy()).astype(np.float64),
-                                                nan=0.0, posinf=0.0, neginf=0.0)) for x in (qs, its)]
-                out += _top_block(qs["query_id"].tolist(), mats[0], its["id"].tolist(), mats[1], k)
-            return pd.DataFrame(out, columns=["query_id", "id", "similarity"])
-
-        found = q_rows.groupBy("__b", "__qb").cogroup(i_rows.groupBy("__b", "__qb")).applyInPandas(meet, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -10,7 +10,8 @@ from storyrank.operators import clustering as cl
 from storyrank.operators import feedback as fb
 from storyrank.operators.components import connected_components
 from storyrank.operators.grouping import exact_rank, first_per_key, top_n
-from storyrank.operators.similarity import similar_items, similar_pairs
+from storyrank.operators.nearest import similar_items
+from storyrank.operators.similarity import similar_pairs
 
 
 def vectors(n, d, seed, copies=0):
