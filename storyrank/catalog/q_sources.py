@@ -202,6 +202,39 @@ def src_12(spark, d):
     return _hit_columns(landing.read_hn(spark, land_hits(spark, d)))
 
 
+def land_broken_hits(spark, d) -> str:
+    """The hits, and of every 53rd event a line cut short, a line without a list and a page with
+    entries that are no records beside a good one and one whose points are no number."""
+    path, n = land_hits(spark, d), F.col("event_id").cast("string")
+    good = F.concat(F.lit('{"objectID":"r'), n, F.lit('","title":"Saved '), n, F.lit('","points":3}'))
+    odd = F.concat(F.lit('{"objectID":"m'), n, F.lit('","title":"Odd '), n, F.lit('","points":"many"}'))
+    lines = F.array(F.concat(F.lit('{"hits":[{"objectID":"c'), n), F.concat(F.lit('{"none":'), n, F.lit("}")), F.lit(" "),
+                    F.concat(F.lit('{"hits":['), good, F.lit(","), n, F.lit(",null,"), odd, F.lit("]}")))
+    fx.table(spark, d, "events").filter("event_id % 53 = 0").select(F.explode(lines).alias("value")).write.mode("append").text(path)
+    return path
+
+
+_BROKEN = "from (select cast(event_id as varchar) as n from events where event_id % 53 = 0)"
+
+
+@query("SRC-12-saved", f"""{_HIT_ITEMS}
+union all select sha256('https://news.ycombinator.com/item?id=' || p || n), case p when 'r' then 'Saved ' else 'Odd ' end || n,
+  'https://news.ycombinator.com/item?id=' || p || n, null, '', case p when 'r' then 3.0 else 0.0 end, 0.0
+{_BROKEN} cross join (values ('r'), ('m')) v(p)""")
+def src_12_saved(spark, d):
+    return _hit_columns(landing.read_hn(spark, land_broken_hits(spark, d)))
+
+
+@query("SRC-12-faults", f"""
+select 'hn' as source, 'not_json' as reason, '{{"hits":[{{"objectID":"c' || n as raw {_BROKEN}
+union all select 'hn', 'no_records', '{{"none":' || n || '}}' {_BROKEN}
+union all select 'hn', 'not_an_object', n {_BROKEN}
+union all select 'hn', 'not_an_object', 'null' {_BROKEN}
+union all select 'hn', 'mistyped', '{{"objectID":"m' || n || '","points":"many","title":"Odd ' || n || '"}}' {_BROKEN}""")
+def src_12_faults(spark, d):
+    return landing.faults(spark, land_broken_hits(spark, d), "hn").select("source", "reason", "raw")
+
+
 def land_posts(spark, d) -> str:
     n = F.col("event_id")
     post = F.struct(F.struct(
@@ -316,8 +349,8 @@ def _write_feeds(df, key, root: str, path: str) -> None:
         "maxRecordsPerFile", 1).text(path)
 
 
-def land_feed(spark, d, path: str | None = None) -> str:
-    """RSS items, one per page of the table; every seventh has no date."""
+def land_feed(spark, d, path: str | None = None, rows: str = "true") -> str:
+    """RSS items, one per page of the table (those that ``rows`` says); every seventh has no date."""
     n = F.col("page_id")
     when = F.timestamp_micros(F.lit(1704067200 * 1_000_000) + n * 3_600_000_000)
     stamp = F.concat(F.lit("<pubDate>Mon, "), F.date_format(when, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>"))
@@ -327,7 +360,7 @@ def land_feed(spark, d, path: str | None = None) -> str:
         F.lit("<description>"), _xml(F.col("html")), F.lit("</description></item>"),
     )
     path = path or scratch(spark, "landing-rss")
-    _write_feeds(fx.table(spark, d, "pages").select("page_id", _printable(line).alias("value")), "page_id", "rss", path)
+    _write_feeds(fx.table(spark, d, "pages").filter(rows).select("page_id", _printable(line).alias("value")), "page_id", "rss", path)
     return path
 
 
@@ -341,6 +374,23 @@ def src_16(spark, d):
     return out.select("source", "title", "url", "published_at")
 
 
+def land_broken_feed(spark, d) -> str:
+    """The feed, and for every 29th page a file that breaks off after its first item."""
+    path, n = land_feed(spark, d), F.col("page_id").cast("string")
+    text = F.concat(F.lit("<rss><item><title>Kept "), n, F.lit("</title></item><item><title>Lost "), n, F.lit("</titl></item></rss>"))
+    files = fx.table(spark, d, "pages").filter("page_id % 29 = 0").select(text.alias("value"))
+    files.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("SRC-16-faults", """
+with n as (select cast(page_id as varchar) as n from pages where page_id % 29 = 0)
+select 'broken_xml' as reason, 'Lost ' || n as lost from n""")
+def src_16_faults(spark, d):
+    rows = landing.faults(spark, land_broken_feed(spark, d), "rss:pages")
+    return rows.select("reason", F.regexp_extract("raw", "Lost [0-9]+", 0).alias("lost"))
+
+
 def land_atom(spark, d) -> str:
     n = F.col("doc_id")
     cats = (F.when(n % 3 == 0, '<category term="cs.CL"/><category term="x.Y"/>')
@@ -381,6 +431,21 @@ def src_18(spark, d):
     return landing.feed_catalogue(feeds).select("name", "url")
 
 
+@query("SRC-18-entries", """
+select 'rss:feed' || cast(page_id % 3 as varchar) as source, case page_id % 3 when 0 then 'industry' else 'community' end as family,
+  'Page ' || cast(page_id as varchar) as title, url
+from pages where page_id % 4 < 3 and page_id % 3 < 2 and (page_id % 7 = 0 or page_id >= 24)""")
+def src_18_entries(spark, d):
+    """Feeds below one folder, each with its own; one folder is in no catalogue, one feed never landed."""
+    root = scratch(spark, "landing-feeds")
+    for k in range(3):
+        land_feed(spark, d, f"{root}/feed{k}", f"page_id % 3 = {k} and page_id % 4 < 3")
+    feeds = spark.createDataFrame(
+        [("feed0", "u0", "industry"), ("feed1", "u1", "community"), ("feed9", "u9", "academia")], "slug string, url string, family string")
+    rows = landing.catalogue_entries(spark, root, feeds, "2024-01-02 00:00:00")
+    return landing.feed_items(rows, F.col("name"), F.col("family")).select("source", "family", "title", "url")
+
+
 def land_golden(spark, d) -> str:
     n = F.col("doc_id")
     item = F.struct(

@@ -261,6 +261,22 @@ def set_01(spark, d):
     return rows
 
 
+@query("SET-01-audit", """
+select 'web' as source, true as read, null as reason, count(*) as rows from pages
+union all select 'failed', false, 'PATH_NOT_FOUND', 0
+union all select 'damaged', false, 'FAILED_READ_FILE', 0
+union all select 'plain', true, null, count(*) from documents""")
+def set_01_audit(spark, d):
+    """A folder that never landed fails when planned, one whose files are no Parquet when read."""
+    web, plain = fx.table(spark, d, "pages").select("url"), fx.table(spark, d, "documents").select("lang")
+    never, damaged = scratch(spark, "never-landed"), scratch(spark, "damaged")
+    fx.table(spark, d, "pages").select("url").write.text(damaged)
+    _, audit = gather_sources(spark, {
+        "web": lambda: web, "failed": lambda: spark.read.parquet(never),
+        "damaged": lambda: spark.read.schema("url string").parquet(damaged), "plain": lambda: plain})
+    return audit.withColumn("reason", F.substring_index("reason", ".", 1))
+
+
 @query("SET-02", with_views(f"with {BRIEFS_SQL.strip()} select day, id from rest", "doc_stories"))
 def set_02(spark, d):
     rows = tagged(spark, d)

@@ -4,38 +4,43 @@ id, source, family, url, title, author, published_at, raw_text, metrics, raw.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyrank import constants as K
 from storyrank.functions import text as X
 from storyrank.operators.grouping import first_per_key
+from storyrank.session import scratch
+from storyrank.sources.quarantine import json_faults, line_faults, page_records, xml_faults
 
 ITEM_COLUMNS = (
     "id", "source", "family", "url", "title", "author", "published_at", "raw_text", "metrics", "raw",
 )
 
-HN_SCHEMA = (
-    "hits array<struct<objectID string, title string, story_title string, url string, author string,"
+HIT = (
+    "objectID string, title string, story_title string, url string, author string,"
     " created_at string, created_at_i bigint, points bigint, num_comments bigint, story_text string,"
-    " comment_text string, _tags array<string>>>"
+    " comment_text string, _tags array<string>"
 )
-FORUM_SCHEMA = (
-    "data struct<children array<struct<data struct<id string, title string, stickied boolean,"
+POST = (
+    "data struct<id string, title string, stickied boolean,"
     " hidden boolean, permalink string, url string, url_overridden_by_dest string,"
     " created_utc double, selftext string, score bigint, ups bigint, num_comments bigint,"
-    " author string, subreddit string, link_flair_text string>>>>"
+    " author string, subreddit string, link_flair_text string>"
 )
 PAPER_SCHEMA = (
     "title string, url string, publishedAt string, paper struct<id string, title string,"
     " summary string, upvotes bigint, publishedAt string, authors array<struct<name string>>>"
 )
-NOTE_SCHEMA = (
-    "notes array<struct<id string, content variant, cdate bigint, tcdate bigint, invitation string>>"
-)
+NOTE = "id string, content variant, cdate bigint, tcdate bigint, invitation string"
+PAGES = {  # where a page lists its records, and their fields
+    "hn": (["hits"], HIT), "reddit": (["data", "children"], POST), "openreview": (["notes"], NOTE),
+}
 RSS_SCHEMA = (
     "title string, link string, guid string, pubDate string, updated string, created string,"
     " description string, summary string, `content:encoded` string, `dc:creator` string, author string"
@@ -79,7 +84,7 @@ def _first_of(rows: DataFrame, key: str, at: str) -> DataFrame:
 
 # --- community hits ---------------------------------------------------------------
 def hn_hits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HN_SCHEMA).json(path).select(F.inline("hits"))
+    return page_records(spark, path, *PAGES["hn"])
 
 
 def admit_hn(hits: DataFrame) -> DataFrame:
@@ -117,8 +122,7 @@ def read_hn(spark: SparkSession, path: str) -> DataFrame:
 
 # --- forum listings ---------------------------------------------------------------
 def forum_posts(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(FORUM_SCHEMA).json(path)
-    return rows.select(F.explode("data.children.data").alias("p")).select("p.*")
+    return page_records(spark, path, *PAGES["reddit"]).filter("data is not null").select("data.*")
 
 
 def admit_reddit(posts: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def _unwrapped(field: str, kind: str = "string") -> Column:
 
 
 def read_openreview(spark: SparkSession, path: str) -> DataFrame:
-    notes = spark.read.schema(NOTE_SCHEMA).json(path).select(F.inline("notes"))
+    notes = page_records(spark, path, *PAGES["openreview"])
     authors = _unwrapped("authors", "array<string>")
     listed = F.when(F.size(authors) > 0, F.array_join(F.slice(authors, 1, 6), ", "))
     millis = F.coalesce(F.nullif("cdate", F.lit(0)), F.col("tcdate"))
@@ -360,19 +364,40 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def faults(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """``source, file, reason, raw``: what the reader of ``source`` could not read, or only in part."""
+    if source in PAGES:
+        return json_faults(spark, path, *PAGES[source], source)
+    if source == "hf_papers":
+        return line_faults(spark, path, PAPER_SCHEMA, source)
+    return xml_faults(spark, path, {"item": RSS_SCHEMA, "entry": ATOM_SCHEMA}, source)
+
+
+def _reason(exc: Exception) -> str:
+    """The error condition, also of an error met while the rows were read."""
+    if isinstance(exc, PySparkException) and exc.getCondition():
+        return exc.getCondition()
+    named = re.search(r"\[([A-Z][A-Z0-9_.]+)\]", str(exc))
+    return named.group(1) if named else type(exc).__name__
+
+
 def gather_sources(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(rows of all sources, audit ``source, read, reason``). A source that cannot be read,
-    such as a folder that never landed, gives no rows and its reason instead of failing the run."""
+    """(rows of all sources, audit ``source, read, reason, rows``). A source that cannot be planned, such as a
+    folder that never landed, or that fails while it is read, such as a damaged archive, gives no rows and its
+    reason instead of failing the run. Each source is written to the shared folder once; nothing reads it again."""
     frames, audit = [], []
     for name, read in readers.items():
+        path = scratch(spark, "source")
         try:
-            frames.append(read())
-            audit.append((name, True, None))
-        except AnalysisException as exc:
-            audit.append((name, False, exc.getCondition()))
+            read().write.parquet(path)
+            kept = spark.read.parquet(path)
+            audit.append((name, True, None, kept.count()))
+            frames.append(kept)
+        except (PySparkException, Py4JJavaError) as exc:
+            audit.append((name, False, _reason(exc), 0))
     if not frames:
         raise ValueError(f"no source could be read: {audit}")
-    return union_sources(frames), spark.createDataFrame(audit, "source string, read boolean, reason string")
+    return union_sources(frames), spark.createDataFrame(audit, "source string, read boolean, reason string, rows long")
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
