@@ -3,11 +3,13 @@ thresholds; in the JVM alone.
 
 Generators propose spans with high recall. Spans that pass their kind's fixed rules are
 always reported. Of the others, trees decide: they are learned from the corpus itself,
-where a candidate counts as right if it overlaps a span of its kind that passed or, for numbers of
-persons and accounts, if its own check holds (``checks``), on features that do not show the rule (lengths, separators, neighbours, words before). Features are small
-whole numbers, so the training set is a table of counts of at most ``MOST_ROWS`` rows. The
-trees become one SQL expression; a kind's threshold is the lowest score that keeps
-``PRECISION`` on the texts held out from the fit, and a kind that never reaches it adds nothing.
+where a candidate counts as right if it overlaps a span of its kind that passed or if its kind's own check
+holds (``checks`` of persons' and accounts' numbers, ``random_looking`` secrets, known heads of keys, bracketed
+addresses), on features that show little of the rule (lengths, separators, neighbours, words before). Features
+are small whole numbers, so the training set is a table of counts of at most ``MOST_ROWS`` rows. The trees
+become one SQL expression; a kind's threshold is the lowest score that keeps ``PRECISION`` on the texts held out
+from the fit. Where a kind has fewer than ``LEAST`` examples held out that its check accepts, nothing can be
+calibrated and the check decides alone; a kind with enough examples that never reaches ``PRECISION`` adds nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from storyrank.llm import boosting
 from storyrank.llm.text import whole
 from storyrank.session import stage
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
 # The base patterns. Possessive where giving back could not help, and started
 # only where a run starts or the last match ended, so that long runs cost linear time.
 BASE = {
@@ -29,22 +31,29 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64} ?[(\[{] ?at ?[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[{] ?dot ?[)\]}]|\.) ?[A-Za-z0-9-]{1,63}){1,4}",
-    "phone": r"(?<![0-9])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9])",
-    "id": r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])",
-}
-HINT = {"email": "[@(\\[{]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", "id": "[0-9]"}
+LOOSE = (
+    ("email", r"[A-Za-z0-9._%+-]{1,64} ?[(\[{] ?at ?[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[{] ?dot ?[)\]}]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
+    ("phone", r"(?<![0-9])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9])"),
+    ("id", r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])"),
+    # A value given to a name of a secret.
+    ("secret", r"(?<=[\"':= ])(?<=(?i:passwo?r?d|pwd|passphrase|secret|token|key|credentials?)[\"']?[ \t]{0,2}[:=][ \t]{0,2}[\"']?)[^\s\"',;<>&()]{8,}+"),
+    # Heads that well-known issuers give their keys and tokens.
+    ("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk[-_][A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+               r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)?)"),
+)
+HINT = {"email": "[@(\\[{]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", "id": "[0-9]",
+        "secret": "(?i:pass|pwd|secret|token|key|credential)|AKIA|ASIA|gh[pousr]_|sk[-_]|xox|AIza|eyJ"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CONTEXT = {  # words in the last characters before a candidate
     "mail": r"(?:mail|contact|write|addres)", "phone": r"(?:phone|tel\b|tel[:.]|call|mobile|fax|whatsapp)",
     "card": r"(?:card|visa|master|credit|iban|account|pay)", "host": r"(?:\bip\b|host|server|addr)",
     "other": r"(?:version|\bv\.?$|isbn|order|invoice|page|token|key|id\b|no\.?$|#)",
 }
+EMAIL_LOOSE, KEY_HEADS = len(BASE), len(BASE) + len(LOOSE) - 1  # generators whose form is the check
 BEFORE, AFTER = 24, 2
 PRECISION = 0.8  # against spans that passed only: the right ones among the others count as wrong here
 LEAST = 20  # accepted examples that a threshold rests on
-BINS = {"gen": 7, "length": 8, "digits": 8, "groups": 6, "parens": 2, "before": 4, "after": 4, "word": 6}
+BINS = {"gen": 9, "length": 6, "digits": 6, "groups": 4, "parens": 2, "before": 3, "after": 3, "word": 6}
 MOST_ROWS = 2 * 2 * int(np.prod(list(BINS.values())))
 
 
@@ -91,6 +100,12 @@ def checks(m: Column) -> Column:
     return account | m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
 
 
+def random_looking(m: Column) -> Column:
+    """The check of a secret: letters and digits mixed, few of them twice."""
+    different = F.size(F.array_distinct(F.split(m, "")))
+    return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (different >= F.least(F.lit(10), F.ceil(F.char_length(m) * 0.6)))
+
+
 def _level(c: Column, *cuts: int) -> Column:
     out = F.lit(len(cuts))
     for k in reversed(range(len(cuts))):
@@ -99,7 +114,7 @@ def _level(c: Column, *cuts: int) -> Column:
 
 
 def _neighbour(c: Column) -> Column:
-    return F.when(c == "", 0).when(c.rlike("[\\s]"), 1).when(c.rlike("[\\p{L}0-9]"), 2).otherwise(3)
+    return F.when(c.rlike("^\\s?$"), 0).when(c.rlike("[\\p{L}0-9]"), 1).otherwise(2)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +124,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("th", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b")))
     no = 0
     lists = []
-    for rule, patterns in ((True, BASE), (False, LOOSE)):
-        for kind, pattern in patterns.items():
+    for rule, patterns in ((True, BASE.items()), (False, LOOSE)):
+        for kind, pattern in patterns:
             got = F.when(F.col("t").rlike(HINT[kind]), matches(F.col("t"), pattern)).otherwise(
                 F.array().cast(f"array<{SPOT}>"))
             lists.append((no, kind, rule, got))
@@ -132,10 +147,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pre_char = F.right(F.regexp_replace("pre", r"\+[0-9]{1,3} ?$", " "), F.lit(1))
     return spans.select(
         "doc_id", "th", "kind", "start", "stop", "base",
-        F.when(F.col("kind") == "id", checks(m)).otherwise(F.lit(False)).alias("checked"), "gen",
-        _level(F.char_length(m), 8, 10, 12, 14, 16, 19, 24).alias("length"),
-        _level(F.char_length(F.regexp_replace(m, "[^0-9]", "")), 3, 7, 9, 10, 13, 15, 16).alias("digits"),
-        _level(F.size(F.split(m, "[^A-Za-z0-9]+")), 1, 2, 3, 4, 6).alias("groups"),
+        (F.when(F.col("gen").isin(EMAIL_LOOSE, KEY_HEADS), True).when(F.col("kind") == "id", checks(m))
+         .when(F.col("kind") == "secret", random_looking(m)).otherwise(F.lit(False))).alias("checked"), "gen",
+        _level(F.char_length(m), 10, 12, 15, 19, 28).alias("length"),
+        _level(F.char_length(F.regexp_replace(m, "[^0-9]", "")), 3, 8, 10, 13, 15).alias("digits"),
+        _level(F.size(F.split(m, "[^A-Za-z0-9]+")), 1, 2, 4).alias("groups"),
         m.rlike("[()]").cast("int").alias("parens"), _neighbour(pre_char).alias("before"),
         _neighbour(F.left("post", F.lit(1))).alias("after"), word.alias("word")).distinct()
 
@@ -176,7 +192,7 @@ def learn(spans: DataFrame, trees: int = 30, depth: int = 3) -> tuple[boosting.T
     """Trees and each kind's threshold from the counts of feature rows."""
     names = list(BINS)
     held = F.pmod(F.xxhash64("doc_id", "th"), F.lit(5)) == 0
-    seen = F.col("same_kind") | F.col("checked") | F.col("gen").eqNullSafe(F.lit(len(BASE)))  # the bracketed form is an address by its form
+    seen = F.col("same_kind") | F.col("checked")
     table = spans.filter("kind is not null").groupBy(*names, held.alias("held"), seen.alias("y")).agg(
         F.count(F.lit(1)).alias("n")).collect()  # MOST_ROWS at most
     table.sort(key=lambda r: tuple(r))
@@ -186,7 +202,7 @@ def learn(spans: DataFrame, trees: int = 30, depth: int = 3) -> tuple[boosting.T
     out = np.array([r["held"] for r in table], dtype=bool)
     fitted = boosting.fit(x[~out], y[~out], n[~out], trees=trees, depth=depth, rate=0.3)
     score = fitted.margin(x) if len(table) else np.empty(0)
-    kinds = np.array([([*BASE, *LOOSE][int(g)]) for g in x[:, 0]]) if len(table) else np.empty(0, dtype=str)
+    kinds = np.array([([*BASE, *[k for k, _ in LOOSE]][int(g)]) for g in x[:, 0]]) if len(table) else np.empty(0, dtype=str)
     limits = {}
     for kind in KINDS:
         mine = out & (kinds == kind)
@@ -197,6 +213,8 @@ def learn(spans: DataFrame, trees: int = 30, depth: int = 3) -> tuple[boosting.T
         good = np.flatnonzero(last & (hit >= PRECISION * all_) & (all_ >= LEAST))
         if len(good):
             limits[kind] = float(s[good[-1]])
+        elif len(hit) and hit[-1] >= LEAST:
+            limits[kind] = float("inf")
     return fitted, limits
 
 
@@ -212,7 +230,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for kind, value in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)
     chosen = spans.withColumn("score", margin).withColumn(
-        "ok", F.col("base") | F.coalesce(~F.col("near_base") & (F.col("score") >= limit), F.lit(False)))
+        "ok", F.col("base") | F.coalesce(~F.col("near_base") & F.when(limit.isNull(), F.col("checked")).otherwise(F.col("score") >= limit), F.lit(False)))
     added = F.col("ok") & ~F.col("base")
     order = Window.partitionBy("doc_id", "th", "ok").orderBy("start", "stop", "kind", "gen")
     rank = lambda get: (get("score"), get("stop") - get("start"))
