@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyrank.llm.text import whole
 from storyrank.session import stage
 
 TEMPERATURE = 0.5
@@ -57,15 +58,15 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
 
 def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE,
                 epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id",
-                source_col: str = "source") -> DataFrame:
+                source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every document as often as a Poisson draw of its source's rate says, in global disorder.
 
-    The draw inverts the distribution at a number hashed from the seed, the id and the
-    digest of the text, so a rerun gives the same mix and repeated rows get the same
+    The draw inverts the distribution at a number hashed from the seed and the id, or for a row without
+    id the digest of its text, so a rerun gives the same mix and repeated rows get the same
     count each. ``copy`` counts a document's copies from 1 (a column of that name is replaced). Rows are dealt to partitions
-    by the hash of id and copy and sorted by it inside: that is the shuffled order, and
+    by the hash of id, text and copy and sorted by it inside: that is the shuffled order, and
     no source or id weighs on one partition. A null source is a source of its own, a null
-    id hashes as the empty text. Rates ride along as one row for each source.
+    text counts as empty. Rates ride along as one row for each source.
     """
     rates = source_rates(docs, weights, temperature, epochs, source_col)
     table = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"),
@@ -74,13 +75,13 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, temperature:
     if table.count() <= BROADCAST_SOURCES:  # a row is one number and a short table: a few MB at most
         table = F.broadcast(table)
     drawn = docs.drop("copy").join(table, F.col(source_col).eqNullSafe(F.col("__source")))
-    u = unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    u = unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.md5(whole(text_col)))))
     count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     laid = (
         drawn.withColumn("__u", u).withColumn("__n", count).filter("__n > 0")
         .drop("__cdf", "__source", "__u", "__rate")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
-        .withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+        .withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col("copy")))
     )
     mixed = laid.repartition(F.col("__key")).sortWithinPartitions("__key")
     return mixed.drop("__n", "__key")
@@ -95,10 +96,11 @@ k as (
   from r, unnest(range(0, ceil(rate + {SPREAD} * sqrt(rate) + 20)::bigint + 1)) as t(i)),
 f as (select source, rate, i, sum(p) over (partition by source order by i) as cdf from k),
 d as (
-  select doc_id, source, ('0x' || substr(md5('{SEED}:' || doc_id::varchar), 1, 12))::bigint / 281474976710656.0 as u
+  select row_number() over () as r, doc_id, source, text,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '#' || md5(coalesce(text, '')))), 1, 12))::bigint / 281474976710656.0 as u
   from documents),
 n as (
-  select d.doc_id, d.source, f.rate, count(*) filter (where f.cdf <= d.u) as copies
-  from d join f on d.source = f.source group by all)
-select n.doc_id, n.source, d.text, copy from n join documents d using (doc_id), unnest(range(1, copies + 1)) as t(copy)
+  select r, count(*) filter (where f.cdf <= d.u) as copies
+  from d join f on d.source is not distinct from f.source group by r)
+select doc_id, source, text, copy from n join d using (r), unnest(range(1, copies + 1)) as t(copy)
 """

@@ -216,8 +216,9 @@ def brute_mix(data, seed=mixing.SEED):
     root = {s: n ** 0.5 for s, n in counts.items()}
     rate = {s: len(data) * root[s] / sum(root.values()) / counts[s] for s in counts}
     out = []
-    for i, _, _, s, _ in data:
-        u = int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:12], 16) / 2 ** 48
+    for i, t, _, s, _ in data:
+        own = "#" + hashlib.md5((t or "").encode()).hexdigest() if i is None else i
+        u = int(hashlib.md5(f"{seed}:{own}".encode()).hexdigest()[:12], 16) / 2 ** 48
         k, p = 0, math.exp(-rate[s])
         total = p
         while total <= u:
@@ -236,6 +237,16 @@ def test_mixing(edges, make):
     assert 2700 < mixed.count() < 3300
 
 
+def test_mixing_rows_without_ids(make):
+    """Rows without an id draw by their text, and do not gather in one partition."""
+    data = [(None, f"t {i}", "en", "big", 1) for i in range(4000)] + [(7, f"u {i}", "en", "big", 1) for i in range(400)]
+    mixed = mixing.poisson_mix(make(data))
+    assert rows(mixed, "doc_id", "source", "copy") == brute_mix(data)
+    assert len({r["text"] for r in mixed.filter("doc_id is null").collect()}) < 3000
+    sizes = [r["count"] for r in mixed.groupBy(mixing.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_mixing_by_weights(make, spark):
     data = [(i, "t", "en", ("a", "b", "c")[i % 3], 1) for i in range(3000)]
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("zz", 5.0), ("c", None)], "source string, weight double")
