@@ -16,7 +16,7 @@ from storyrank.catalog.registry import query, with_views
 from storyrank.operators import feedback as fb
 from storyrank.operators import filters as fl
 from storyrank.operators import ranking as rk
-from storyrank.operators.inference import EchoModel, HashEmbedder
+from storyrank.operators.inference import EchoModel, HashEmbedder, ListingModel
 from storyrank.params import Profile
 from storyrank.plans import assemble as asm
 from storyrank.plans import jobs
@@ -129,11 +129,15 @@ def pip_03(spark, d):
 def pip_04(spark, d):
     stories, members, items = talks(spark, d)
     rows = stories.withColumn("importance", F.col("final_rank"))
-    model = EchoModel({"title": "string", "lede": "string", "body_markdown": "string"})
+    model = ListingModel({"title": "string", "lede": "string", "body_markdown": "string",
+                          "shortlist": "entries", "on_my_radar": "entries"})
     judge = EchoModel({"insight": "number", "accuracy": "number", "narrative": "number",
                        "personal_fit": "number", "honesty": "number"})
     out = jobs.weekly(rows, members, items, Profile(), model, judge)
-    return out.select("id", "week_of", "title", "overall_tier", "quiet_week", "winning_candidate")
+    linked = F.filter("shortlist", lambda e: e["url"].isNotNull())
+    return out.select(
+        "id", "week_of", "title", "overall_tier", "quiet_week", "winning_candidate",
+        F.size("shortlist").alias("n_shortlist"), F.size("on_my_radar").alias("n_radar"), F.size(linked).alias("n_linked"))
 
 
 @query("PIP-05")
