@@ -270,14 +270,17 @@ def src_13(spark, d):
                       F.col("metrics")["comments"].alias("comments"))
 
 
-def land_papers(spark, d) -> str:
+def land_papers(spark, d, whole_ids: bool = False) -> str:
+    """Trending papers: one per document. Ids have five digits, so that larger numbers are cut
+    and may meet; with ``whole_ids`` they keep all digits."""
     n = F.col("doc_id")
+    digits = F.greatest(F.lit(5), F.length(n.cast("string"))) if whole_ids else F.lit(5)
     name = lambda k: F.struct(F.concat(F.lit(f" A{k} "), n.cast("string")).alias("name"))
     blank = F.struct(F.lit("  ").alias("name"))
     rows = fx.table(spark, d, "documents").select(
         F.lit("2024-01-05T06:07:08Z").alias("publishedAt"),
         F.struct(
-            F.when(n % 4 != 0, F.concat(F.lit("2401."), F.lpad(n.cast("string"), 5, "0"))).alias("id"),
+            F.when(n % 4 != 0, F.concat(F.lit("2401."), F.lpad(n.cast("string"), digits, F.lit("0")))).alias("id"),
             F.when(n % 9 != 0, F.concat(F.lit("Paper "), n.cast("string"))).alias("title"),
             F.col("text").alias("summary"),
             (n % 5).alias("upvotes"),

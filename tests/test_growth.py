@@ -26,3 +26,21 @@ def test_laid_out_rows_are_never_broadcast(spark, tmp_path):
     placed = jobs.run_days(spark.read.parquet(f"{tmp_path}/i"), runs)
     assert "BuildRight" in plan(placed) and "BuildLeft" not in plan(placed)
     assert placed.count() == 2
+
+
+def test_papers_of_many_digits_stay_apart(spark, tmp_path):
+    """PIP-01 beyond 100,000 documents: as many items as its SQL counts."""
+    import duckdb
+
+    import __spark_entry__ as entry_module
+
+    docs = spark.range(99_990, 100_030).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionAll(
+        spark.range(1_000_000, 1_000_030).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+    (tmp_path / "events.parquet").symlink_to("/root/testdata/sf0.001/events.parquet")
+    want = sorted(con.execute(entry_module.oracle_sql()["PIP-01"]).fetchall())
+    got = sorted((r["source"], r["n"]) for r in entry_module.queries()["PIP-01"](spark, str(tmp_path)).collect())
+    assert got == want
