@@ -44,3 +44,16 @@ def test_papers_of_many_digits_stay_apart(spark, tmp_path):
     want = sorted(con.execute(entry_module.oracle_sql()["PIP-01"]).fetchall())
     got = sorted((r["source"], r["n"]) for r in entry_module.queries()["PIP-01"](spark, str(tmp_path)).collect())
     assert got == want
+
+
+def test_throttle_of_uneven_arrivals(spark, tmp_path):
+    """STR-05 on events whose arrivals land in different numbers of files equals the batch throttle."""
+    import __spark_entry__ as entry_module
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events = events.sort("ts").limit(400).unionAll(events.sort("ts").limit(400).withColumn("event_id", F.col("event_id") + 100_000))
+    events.repartitionByRange(7, "ts").write.parquet(f"{tmp_path}/events.parquet")
+    queries = entry_module.queries()
+    want = {(r["id"], r["admitted"]) for r in queries["WIN-12"](spark, str(tmp_path)).collect()}
+    got = [(r["id"], r["admitted"]) for r in queries["STR-05"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) == 800
