@@ -56,12 +56,8 @@ item_pairs as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.e, b.
 
 @query("JON-02", with_views(f"with {ITEM_PAIRS_SQL.strip()} select id_a, id_b, blocked from item_pairs", "items"))
 def jon_02(spark, d):
-    profile = cl.link_profile(vector_items(spark, d), [])
-    pairs = similar_pairs(profile, 0.35)
-    left = profile.select(F.col("id").alias("id_a"), F.col("p").alias("a"))
-    right = profile.select(F.col("id").alias("id_b"), F.col("p").alias("b"))
-    return pairs.join(left, "id_a").join(right, "id_b").select(
-        "id_a", "id_b", cl.cannot_link().alias("blocked"))
+    pairs = similar_pairs(cl.link_profile(vector_items(spark, d), []), 0.35, carry="p")
+    return pairs.select("id_a", "id_b", cl.cannot_link().alias("blocked"))
 
 
 @query("JON-03", """
