@@ -57,3 +57,19 @@ def test_throttle_of_uneven_arrivals(spark, tmp_path):
     want = {(r["id"], r["admitted"]) for r in queries["WIN-12"](spark, str(tmp_path)).collect()}
     got = [(r["id"], r["admitted"]) for r in queries["STR-05"](spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want) == 800
+
+
+def test_merge_rounds_keep_the_size_estimate_short(spark):
+    """AGG-04: the estimated size of checkpointed rows must not multiply from round to round."""
+    import random
+
+    from storyrank.operators import clustering as cl
+
+    rng = random.Random(5)
+    pairs = [(f"n{a:02d}", f"n{b:02d}", rng.random()) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.8]
+    edges = spark.createDataFrame(pairs, "id_a string, id_b string, similarity double")
+    merged = cl._complete_link_rounds(edges)
+    size = int(str(merged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size.bit_length() < 200
+    want = cl._complete_link(edges.toPandas())
+    assert {(r["node"], r["group"]) for r in merged.collect()} == set(want.itertuples(index=False, name=None))
