@@ -123,10 +123,11 @@ select * from (values ('pair not allowed', 0::bigint), ('pair of groups left to
   ('item in several groups', 0::bigint)) t("check", violations)""")
 def agg_05(spark, d):
     items = vector_items(spark, d)
-    nodes, owner = cl.link_nodes(stage(cl.link_profile(items, [])), [])
-    edges = stage(cl.allowed_edges(stage(nodes), fx.CLUSTER_AT, []))
-    groups = cl.cluster_stories(items, fx.CLUSTER_AT)
-    on_nodes = stage(owner.join(groups, "id").select(F.col("node").alias("id"), "group").distinct())
+    nodes, _ = cl.link_nodes(stage(cl.link_profile(items, [])), [])
+    nodes = stage(nodes)
+    edges = stage(cl.allowed_edges(nodes, fx.CLUSTER_AT, []))
+    merged = cl.merged_nodes(edges).withColumnRenamed("node", "id")
+    on_nodes = stage(nodes.select("id").join(merged, "id", "left").select("id", F.coalesce("group", "id").alias("group")))
     return cl.cluster_violations(on_nodes, edges)
 
 

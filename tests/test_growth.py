@@ -73,3 +73,14 @@ def test_merge_rounds_keep_the_size_estimate_short(spark):
     assert size.bit_length() < 200
     want = cl._complete_link(edges.toPandas())
     assert {(r["node"], r["group"]) for r in merged.collect()} == set(want.itertuples(index=False, name=None))
+
+
+def test_invariants_compare_the_vectors_once(spark, small, monkeypatch):
+    """AGG-05 checks the groups against the pairs that they were merged from."""
+    import __spark_entry__ as entry_module
+    from storyrank.operators import clustering as cl
+
+    called, similar_pairs = [], cl.similar_pairs
+    monkeypatch.setattr(cl, "similar_pairs", lambda *a, **k: called.append(1) or similar_pairs(*a, **k))
+    got = entry_module.queries()["AGG-05"](spark, small).collect()
+    assert len(called) == 1 and sorted(r["violations"] for r in got) == [0, 0, 0]
