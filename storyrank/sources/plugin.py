@@ -11,8 +11,9 @@ import hashlib
 import io
 import json
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,6 +24,9 @@ SCHEMA = (
     "id string, source string, family string, url string, title string, author string,"
     " published_at timestamp, raw_text string"
 )
+NAMES = [field.split()[0] for field in SCHEMA.split(",")]
+TYPES = [pa.timestamp("us", tz="UTC") if field.endswith(" timestamp") else pa.string() for field in SCHEMA.split(",")]
+BATCH_CHARS = 2_000_000  # text that a task holds before it hands its rows on
 
 
 def source_reader(name: str) -> Callable[[Reader], Reader]:
@@ -71,7 +75,19 @@ class LandedItemsReader(DataSourceReader):
             if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))
         ]
 
-    def read(self, partition: LandedFile) -> Iterator[tuple]:
+    def read(self, partition: LandedFile) -> Iterator[pa.RecordBatch]:
+        """Batches cut by the length of their texts: cut by rows alone, a task would hold 10,000 whole pages."""
+        held, chars = [], 0
+        for row in self._rows(partition):
+            held.append(row)
+            chars += sum(len(value) for value in row if isinstance(value, str))
+            if chars >= BATCH_CHARS or len(held) == 10_000:
+                yield _batch(held)
+                held, chars = [], 0
+        if held:
+            yield _batch(held)
+
+    def _rows(self, partition: LandedFile) -> Iterator[tuple]:
         files, _ = _filesystem(self.path)
         with files.open_input_stream(partition.path) as stream:
             for record in self.reader(stream):
@@ -89,11 +105,15 @@ class LandedItemsReader(DataSourceReader):
         url, body = record.get("url"), record.get("body") or ""
         basis = (url or "").strip().lower() or " ".join(f"{title}\n{body}".split()).lower()
         stamp = record.get("published_at")
-        at = datetime.fromisoformat(stamp.replace("Z", "+00:00")) if stamp else None
+        at = datetime.fromisoformat(stamp.replace("Z", "+00:00")).astimezone(timezone.utc) if stamp else None
         return (hashlib.sha256(basis.encode("utf-8")).hexdigest(), self.source, self.family, url, title,
                 record.get("author"), at, body)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
+
+
 class LandedItems(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -1,6 +1,7 @@
 """Steps that must not grow with more than their input: what is broadcast, repeated or held."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,18 @@ def test_invariants_compare_the_vectors_once(spark, small, monkeypatch):
     monkeypatch.setattr(cl, "similar_pairs", lambda *a, **k: called.append(1) or similar_pairs(*a, **k))
     got = entry_module.queries()["AGG-05"](spark, small).collect()
     assert len(called) == 1 and sorted(r["violations"] for r in got) == [0, 0, 0]
+
+
+def test_sources_hold_few_rows(spark, tmp_path):
+    """UDF-01: what a task holds does not grow with the length of the bodies."""
+    from storyrank.sources.plugin import LandedFile, LandedItemsReader, json_lines, register_source
+
+    path = tmp_path / "landed.json"
+    lines = [json.dumps({"title": f"t{i}", "body": "x" * 50_000, "published_at": "2024-01-05T01:00:00+01:00"}) for i in range(200)]
+    path.write_text("\n".join([*lines[:100], "no json", '{"title": " "}', *lines[100:]]))
+    reader = LandedItemsReader({"path": str(path)}, json_lines)
+    sizes = [batch.num_rows for batch in reader.read(LandedFile(str(path)))]
+    assert sum(sizes) == 200 and max(sizes) <= 40
+    register_source(spark)
+    back = spark.read.format("landed_items").load(str(tmp_path))
+    assert back.count() == 200 and back.filter("published_at = timestamp'2024-01-05 00:00:00' AND url IS NULL AND author IS NULL").count() == 200
