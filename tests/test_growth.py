@@ -100,3 +100,16 @@ def test_sources_hold_few_rows(spark, tmp_path):
     register_source(spark)
     back = spark.read.format("landed_items").load(str(tmp_path))
     assert back.count() == 200 and back.filter("published_at = timestamp'2024-01-05 00:00:00' AND url IS NULL AND author IS NULL").count() == 200
+
+
+def test_models_hold_few_rows(spark):
+    """UDF-03: what a task holds as Python objects does not grow with the Arrow batch."""
+    from storyrank.operators.inference import BATCH, infer
+
+    class Sized:
+        def generate(self, prompts):
+            return [str(len(prompts))] * len(prompts)
+
+    got = infer(spark.range(1000).selectExpr("id", "if(id = 3, null, 'x') AS prompt").coalesce(1), Sized()).collect()
+    assert sorted(r["id"] for r in got) == list(range(1000)) and got[3]["prompt"] is None
+    assert max(int(r["response"]) for r in got) == BATCH
