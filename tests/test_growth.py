@@ -113,3 +113,23 @@ def test_models_hold_few_rows(spark):
     got = infer(spark.range(1000).selectExpr("id", "if(id = 3, null, 'x') AS prompt").coalesce(1), Sized()).collect()
     assert sorted(r["id"] for r in got) == list(range(1000)) and got[3]["prompt"] is None
     assert max(int(r["response"]) for r in got) == BATCH
+
+
+def test_the_daily_run_asks_the_model_once(spark, small, tmp_path, monkeypatch):
+    """PIP-03: the answers are kept; the digests read, saved and saved again hold the same ones."""
+    import __spark_entry__ as entry_module
+    from storyrank.catalog import q_jobs
+    from storyrank.operators.inference import EchoModel
+
+    log = str(tmp_path / "asked")
+
+    class Counted(EchoModel):
+        def generate(self, prompts):
+            with open(log, "a") as out:
+                out.writelines(f"{hash(p)}\n" for p in prompts)
+            return EchoModel.generate(self, prompts)
+
+    monkeypatch.setattr(q_jobs, "EchoModel", Counted)
+    assert entry_module.queries()["PIP-03"](spark, small).count() > 0
+    asked = open(log).read().split()
+    assert len(asked) == len(set(asked))
