@@ -133,3 +133,13 @@ def test_the_daily_run_asks_the_model_once(spark, small, tmp_path, monkeypatch):
     assert entry_module.queries()["PIP-03"](spark, small).count() > 0
     asked = open(log).read().split()
     assert len(asked) == len(set(asked))
+
+
+def test_a_replayed_post_stands_once_a_day(spark):
+    """PIP-06: a post of the front page that is among the industry samples too."""
+    at = dt.datetime(2024, 1, 10, 12)
+    items = spark.createDataFrame(
+        [(f"i{k}", "hn", "industry", f"Title {k}", at, [1.0, 0.1 * k], {"upvotes": 100.0}) for k in range(3)],
+        "id string, source string, family string, title string, published_at timestamp, embedding array<float>, metrics map<string,double>")
+    runs = spark.createDataFrame([(dt.date(2024, 1, 10), dt.datetime(2024, 1, 11))], "run_day date, as_of timestamp")
+    assert sorted(r["id"] for r in jobs.replay_pool(items, runs).collect()) == ["i0", "i1", "i2"]
