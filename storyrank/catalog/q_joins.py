@@ -30,7 +30,8 @@ boosts as (
 @query("JON-01", f"with {PAIRS_SQL.strip()} select id_a, id_b, round(similarity, 6) as similarity from pairs where similarity >= 0.40")
 def jon_01(spark, d):
     vec = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return similar_pairs(vec, 0.40).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    pairs = similar_pairs(vec, 0.40, collapse=False).filter("id_a < id_b")  # copies pair with each other and with all that is near
+    return pairs.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
 def vector_items(spark, d):

@@ -91,3 +91,37 @@ def test_rows_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
     assert {(r["id_a"], r["id_b"]) for r in found} == brute(frame, 0.3).keys()
     at = {r["id"]: r["embedding"] for r in frame.collect()}
     assert found and all(r["a"] == at[r["id_a"]] and r["b"] == at[r["id_b"]] for r in found)
+
+
+def _tables(spark, path, vectors):
+    """The tables behind items, with ``vectors`` (vec_id, embedding)."""
+    docs = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").select("vec_id").distinct()
+    title = "concat('gains of ', vec_id % 3, ' new models ', vec_id % 5)"
+    docs.selectExpr("vec_id AS doc_id", f"concat({title}, '\\nbody') AS text", "'en' AS lang", "concat('src', vec_id % 2) AS source", "20L AS n_chars").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    docs.selectExpr("vec_id AS page_id", "concat('https://a.example/', vec_id % 4) AS url", "'x' AS html").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(i, 0, e) for i, e in vectors], "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    spark.range(3).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1D AS value", "concat('{\"k\": ', id, '}') AS props").coalesce(1).write.parquet(f"{path}/events.parquet")
+
+
+@pytest.mark.parametrize("query", ["JON-01"])
+@pytest.mark.parametrize("block_rows", [None, 16])
+def test_copies_pair_with_all_that_is_near(spark, tmp_path, monkeypatch, query, block_rows):
+    """Equal vectors under several ids, and an id that comes twice: the pairs of the SQL, in one block and in many."""
+    import duckdb
+
+    import __spark_entry__ as entry_module
+    from storyrank.catalog import q_joins
+
+    if block_rows:
+        monkeypatch.setattr(q_joins, "similar_pairs", lambda *a, **k: similarity.similar_pairs(*a, **k, block_rows=block_rows))
+    rnd = np.random.default_rng(11)
+    some = [[float(x) for x in v] for v in rnd.standard_normal((40, 6)).astype(np.float32)]
+    copies = [some[0]] * 30 + [some[1]] * 5 + [[2 * x for x in some[0]]]
+    vectors = [*enumerate([*some, *copies]), (7, some[7]), (8, some[9])]
+    _tables(spark, tmp_path, vectors)
+    con = duckdb.connect()
+    for name in ("documents", "pages", "embeddings", "events"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(entry_module.oracle_sql()[query]).fetchall())
+    got = sorted(tuple(r) for r in entry_module.queries()[query](spark, str(tmp_path)).collect())
+    assert got == want and len(want) > 31 * 30 // 2
