@@ -57,7 +57,8 @@ item_pairs as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.e, b.
 
 @query("JON-02", with_views(f"with {ITEM_PAIRS_SQL.strip()} select id_a, id_b, blocked from item_pairs", "items"))
 def jon_02(spark, d):
-    pairs = similar_pairs(cl.link_profile(vector_items(spark, d), []), 0.35, carry="p")
+    profile = cl.link_profile(vector_items(spark, d), [])
+    pairs = similar_pairs(profile, 0.35, collapse=False, carry="p").filter("id_a < id_b")
     return pairs.select("id_a", "id_b", cl.cannot_link().alias("blocked"))
 
 

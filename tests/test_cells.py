@@ -103,7 +103,7 @@ def _tables(spark, path, vectors):
     spark.range(3).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1D AS value", "concat('{\"k\": ', id, '}') AS props").coalesce(1).write.parquet(f"{path}/events.parquet")
 
 
-@pytest.mark.parametrize("query", ["JON-01"])
+@pytest.mark.parametrize("query", ["JON-01", "JON-02"])
 @pytest.mark.parametrize("block_rows", [None, 16])
 def test_copies_pair_with_all_that_is_near(spark, tmp_path, monkeypatch, query, block_rows):
     """Equal vectors under several ids, and an id that comes twice: the pairs of the SQL, in one block and in many."""
