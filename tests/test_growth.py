@@ -143,3 +143,67 @@ def test_a_replayed_post_stands_once_a_day(spark):
         "id string, source string, family string, title string, published_at timestamp, embedding array<float>, metrics map<string,double>")
     runs = spark.createDataFrame([(dt.date(2024, 1, 10), dt.datetime(2024, 1, 11))], "run_day date, as_of timestamp")
     assert sorted(r["id"] for r in jobs.replay_pool(items, runs).collect()) == ["i0", "i1", "i2"]
+
+
+def test_bodies_are_not_laid_out_over_the_runs(spark, small, monkeypatch):
+    """PIP-03: no step keeps bodies, and the items are read as often as they are needed, without a shuffle for their counts."""
+    import __spark_entry__ as entry_module
+    from storyrank import fixtures as fx
+
+    held, stage = [], jobs.stage
+    monkeypatch.setattr(jobs, "stage", lambda df: held.append(df.columns) or stage(df))
+    assert entry_module.queries()["PIP-03"](spark, small).count() > 0
+    assert held and not any("raw_text" in columns for columns in held)
+    assert sum("source_line" in columns for columns in held) == 1
+    assert "hashpartitioning((" not in fx.items(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_bodies_and_written_lines_stand_for_bodies(spark):
+    """Sizes and lines that are made before a join give the same lengths and blocks as the bodies."""
+    from storyrank.operators import filters as fl
+    from storyrank.plans import assemble as asm
+
+    items = spark.createDataFrame(
+        [("a", "hn", "One ", "https://a.example", "  body\nof a "), ("b", None, "Two", None, None), ("c", "hn", None, "", ""),
+         ("d", "hn", "Four", "https://d.example", " " + "word " * 300), ("d", "hn", "Four", "https://d.example", " " + "word " * 300)],
+        "id string, source string, title string, url string, raw_text string")
+    stories = spark.createDataFrame([("s", "S", "a"), ("t", "T", None), ("u", None, None)], "id string, title string, representative_item_id string")
+    members = spark.createDataFrame([("s", "b", 1), ("s", "d", 2), ("s", "a", 0), ("t", "c", 0), ("t", None, 1)], "story_id string, item_id string, pos int")
+    lines = items.select("id", "url", fl.body_size().alias("body_size"), asm.source_line().alias("source_line"))
+    for make in (
+        lambda rows: asm.source_blocks(stories, members, rows),
+        lambda rows: fl.source_lengths(members.join(rows.withColumnRenamed("id", "item_id"), "item_id")),
+    ):
+        got = sorted(map(tuple, make(lines).collect()))
+        assert got == sorted(map(tuple, make(items).collect())) and got
+
+
+def test_what_earlier_steps_shuffled_goes_when_it_is_let_go(spark):
+    import time
+
+    from storyrank.session import release, stage
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in manager.getAllFiles().mkString(",").split(",") if "/shuffle_" in x}
+    before = files()
+    kept = stage(spark.range(1000).repartition(3))
+    made = files() - before
+    until = time.time() + 30
+    while made & files() and time.time() < until:
+        release(spark)
+    assert made and not made & files() and kept.count() == 1000
+
+
+def test_items_meet_their_counts_at_every_remainder(spark, tmp_path):
+    """Counts of keys beyond the remainders belong to no item; negative ids have negative remainders."""
+    from storyrank import fixtures as fx
+
+    ids = [-101, -1, 0, 5, 99, 100, 205]
+    spark.createDataFrame([(i, "t", "en", "s", 1) for i in ids], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    keys = [-1, -1, 0, 5, 5, 5, 99, 100, 205, None]
+    spark.createDataFrame([(i, "view", json.dumps({"k": k})) for i, k in enumerate(keys)], "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["item_no"]: r["upvotes"] for r in fx.items(spark, str(tmp_path)).collect()}
+    n = {-1: 2, 0: 1, 5: 3, 99: 1}
+    assert got == {i: n[int(f"-{abs(i) % 100}") if i < 0 else i % 100] * (1 + (-(abs(i) % 97) if i < 0 else i % 97)) for i in ids}
